@@ -1,0 +1,236 @@
+"""Charging along a trip: where the battery runs low when it only charges in full."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from dwellgrid.functions.geo import bankers_round, haversine_km
+from dwellgrid.functions.text import text_or_empty
+from dwellgrid.operators.filters import TRIP_KEY, filter_stops
+from dwellgrid.operators.ordered import Scan, Step, by_key, hot_keys
+from dwellgrid.params import Filter, TripCharging
+from dwellgrid.session import materialize
+
+# A trip of up to this many stops is folded as one array; longer ones are worked out with joins.
+MAX_FOLDED_STOPS = 20_000
+CHUNK_KM = 100.0
+
+EVENT_COLUMNS = [*TRIP_KEY, "stop_seq", "lat", "lon", "address", "charge_kwh", "charge_min"]
+_EVENTS = "array<struct<stop_seq:int,lat:double,lon:double,address:string,charge_kwh:double>>"
+
+
+def _sim_stops(stops: DataFrame, flt: Filter) -> DataFrame:
+    return filter_stops(stops, flt).select(
+        *TRIP_KEY, "stop_seq", "lat", "lon", text_or_empty("address").alias("address")
+    )
+
+
+def _limits(run: TripCharging) -> tuple[float, float]:
+    return run.capacity_kwh * run.start_soc_pct / 100.0, run.capacity_kwh * run.threshold_pct / 100.0
+
+
+def _folded(stops: DataFrame, run: TripCharging) -> DataFrame:
+    """Per trip the state after its last stop: charge left, kilometres, stops and charge events."""
+    start, threshold = _limits(run)
+    ordered = F.array_sort(F.collect_list(F.struct("stop_seq", "lat", "lon", "address")))
+    nowhere = F.lit(None).cast("double")
+    initial = F.struct(
+        F.lit(start).alias("soc"), nowhere.alias("lat"), nowhere.alias("lon"), F.lit(0.0).alias("km"),
+        F.array().cast(_EVENTS).alias("events"),
+    )
+
+    def visit(state: Column, stop: Column) -> Column:
+        leg = F.coalesce(haversine_km(state["lat"], state["lon"], stop["lat"], stop["lon"]), F.lit(0.0))
+        soc = state["soc"] - leg * run.kwh_per_km
+        empty = soc < threshold
+        charge = F.struct(
+            stop["stop_seq"].alias("stop_seq"), stop["lat"].alias("lat"), stop["lon"].alias("lon"),
+            stop["address"].alias("address"), (run.capacity_kwh - F.greatest(soc, F.lit(0.0))).alias("charge_kwh"),
+        )
+        return F.struct(
+            F.when(empty, F.lit(float(run.capacity_kwh))).otherwise(soc).alias("soc"),
+            stop["lat"].alias("lat"),
+            stop["lon"].alias("lon"),
+            (state["km"] + leg).alias("km"),
+            F.when(empty, F.concat(state["events"], F.array(charge))).otherwise(state["events"]).alias("events"),
+        )
+
+    trips = stops.groupBy(*TRIP_KEY).agg(ordered.alias("_stops"))
+    return trips.select(
+        *TRIP_KEY, F.size("_stops").cast("long").alias("stops"), F.aggregate("_stops", initial, visit).alias("_end")
+    )
+
+
+def _minutes(kwh: Column, run: TripCharging) -> Column:
+    return kwh / max(run.max_charge_kw, 1.0) * 60.0
+
+
+def _travelled(stops: DataFrame, chunk_hot_rows: int) -> DataFrame:
+    """Stops of long trips with the kilometres made up to each."""
+
+    def distance(rows: DataFrame, scan: Scan) -> DataFrame:
+        seen = scan(rows, [Step("_before", "lag", F.struct("lat", "lon"))])
+        leg = F.coalesce(haversine_km("_before.lat", "_before.lon", "lat", "lon"), F.lit(0.0))
+        return scan(seen.withColumn("_leg", leg), [Step("_km", "sum", F.col("_leg"))]).withColumn(
+            "km", F.col("_km") + F.col("_leg")
+        )
+
+    chunk = F.floor(F.col("stop_seq") / 10_000)
+    order = ["stop_seq", "lat", "lon", "address"]
+    return by_key(stops, TRIP_KEY, order, chunk, distance, chunk_hot_rows).select(*stops.columns, "km")
+
+
+def _charged_on_long_trips(travelled: DataFrame, run: TripCharging) -> DataFrame:
+    """Charge events without following a trip stop by stop.
+
+    After a full charge the next one is due at the first stop beyond a fixed distance, so every stop
+    points at one later stop. The events are the stops reached from the first one; pointers that
+    double their reach find them in log2(events) rounds of joins.
+    """
+    start, threshold = _limits(run)
+    reach = (run.capacity_kwh - threshold) / run.kwh_per_km
+    marks = travelled.select(
+        *TRIP_KEY, (-F.col("km")).alias("_at"), F.lit(1).alias("_probe"), (-F.col("stop_seq")).alias("_seq")
+    )
+    probes = travelled.select(
+        *TRIP_KEY, (-(F.col("km") + reach)).alias("_at"), F.lit(0).alias("_probe"), (-F.col("stop_seq")).alias("_seq")
+    )
+
+    def look_ahead(rows: DataFrame, scan: Scan) -> DataFrame:
+        stop = F.when(F.col("_probe") == 1, -F.col("_seq"))
+        return scan(rows, [Step("to", "last", stop)])
+
+    chunk = F.floor(F.col("_at") / CHUNK_KM)
+    looked = by_key(marks.unionByName(probes), TRIP_KEY, ["_at", "_probe", "_seq"], chunk, look_ahead, 0)
+    jump = looked.where((F.col("_probe") == 0) & F.col("to").isNotNull()).select(
+        *TRIP_KEY, (-F.col("_seq")).alias("stop_seq"), "to"
+    )
+    first = travelled.where(F.lit(start) - F.col("km") * run.kwh_per_km < threshold).groupBy(*TRIP_KEY).agg(
+        F.min("stop_seq").alias("stop_seq")
+    )
+    jump, reached = materialize(jump, "jumps"), materialize(first, "reached")
+    size = -1
+    while size != (now := reached.count()):
+        size = now
+        landed = reached.join(jump, [*TRIP_KEY, "stop_seq"]).select(*TRIP_KEY, F.col("to").alias("stop_seq"))
+        reached = materialize(reached.unionByName(landed).distinct(), "reached")
+        onward = jump.select(*TRIP_KEY, F.col("stop_seq").alias("to"), F.col("to").alias("_to"))
+        jump = materialize(jump.join(onward, [*TRIP_KEY, "to"]).select(*TRIP_KEY, "stop_seq", F.col("_to").alias("to")), "jumps")
+    charged = travelled.join(reached, [*TRIP_KEY, "stop_seq"], "left_semi")
+
+    def last_charge(rows: DataFrame, scan: Scan) -> DataFrame:
+        return scan(rows, [Step("_charged_km", "lag", F.col("km"))])
+
+    chained = by_key(charged, TRIP_KEY, ["stop_seq"], F.floor(F.col("stop_seq") / 10_000), last_charge)
+    full = F.when(F.col("_charged_km").isNull(), F.lit(start)).otherwise(F.lit(float(run.capacity_kwh)))
+    left = full - (F.col("km") - F.coalesce("_charged_km", F.lit(0.0))) * run.kwh_per_km
+    return chained.withColumn("charge_kwh", run.capacity_kwh - F.greatest(left, F.lit(0.0)))
+
+
+def _long_trips(events: DataFrame, travelled: DataFrame, run: TripCharging) -> DataFrame:
+    """Trip totals of long trips, in the shape of the folded ones."""
+    start, _ = _limits(run)
+    ends = travelled.groupBy(*TRIP_KEY).agg(F.count(F.lit(1)).alias("stops"), F.max("km").alias("trip_km"))
+    charges = events.groupBy(*TRIP_KEY).agg(
+        F.count(F.lit(1)).alias("charge_events"), F.sum("charge_kwh").alias("charge_kwh"), F.max("km").alias("_last")
+    )
+    full = F.when(F.col("_last").isNull(), F.lit(start)).otherwise(F.lit(float(run.capacity_kwh)))
+    soc = full - (F.col("trip_km") - F.coalesce("_last", F.lit(0.0))) * run.kwh_per_km
+    return ends.join(charges, TRIP_KEY, "left").select(
+        *TRIP_KEY, "stops", "trip_km", soc.alias("_soc"),
+        F.coalesce("charge_events", F.lit(0)).alias("charge_events"),
+        F.coalesce("charge_kwh", F.lit(0.0)).alias("charge_kwh"),
+    )
+
+
+def _run(stops: DataFrame, flt: Filter, run: TripCharging, max_folded: int) -> tuple[DataFrame, DataFrame]:
+    """Charge events and trip totals."""
+    visited = _sim_stops(stops, flt)
+    long = hot_keys(visited, TRIP_KEY, max_folded)
+    short = visited if long is None else visited.join(long, TRIP_KEY, "left_anti")
+    folded = _folded(short, run)
+    events = folded.select(*TRIP_KEY, F.explode("_end.events").alias("_event")).select(*TRIP_KEY, "_event.*")
+    kwh = F.aggregate("_end.events", F.lit(0.0), lambda total, event: total + event["charge_kwh"])
+    trips = folded.select(
+        *TRIP_KEY, "stops", F.col("_end.km").alias("trip_km"), F.col("_end.soc").alias("_soc"),
+        F.size("_end.events").cast("long").alias("charge_events"), kwh.alias("charge_kwh"),
+    )
+    if long is not None:
+        travelled = materialize(_travelled(visited.join(long, TRIP_KEY, "left_semi"), max_folded), "travelled")
+        charged = materialize(_charged_on_long_trips(travelled, run), "charged")
+        events = events.unionByName(charged.select(*events.columns))
+        trips = trips.unionByName(_long_trips(charged, travelled, run))
+    return events.withColumn("charge_min", _minutes(F.col("charge_kwh"), run)).select(*EVENT_COLUMNS), trips
+
+
+def trip_charge_events(
+    stops: DataFrame,
+    flt: Filter = Filter(),
+    run: TripCharging = TripCharging(),
+    max_folded: int = MAX_FOLDED_STOPS,
+) -> DataFrame:
+    """Every stop at which the battery is below the threshold and is charged to full."""
+    return _run(stops, flt, run.normalized(), max_folded)[0]
+
+
+def charge_hotspots(events: DataFrame) -> DataFrame:
+    """Places where charging happens most."""
+    return (
+        events.groupBy(bankers_round("lat", 3).alias("lat"), bankers_round("lon", 3).alias("lon"), "address")
+        .agg(
+            F.count(F.lit(1)).alias("events"),
+            F.count_distinct(F.upper("vehicle_code")).alias("vehicles"),
+            bankers_round(F.sum("charge_kwh"), 0).alias("total_kwh"),
+            bankers_round(F.avg("charge_min"), 1).alias("avg_charge_min"),
+        )
+        .orderBy(F.desc("events"), F.desc("total_kwh"), "lat", "lon", "address")
+        .limit(50)
+    )
+
+
+def trip_charge_trips(
+    stops: DataFrame,
+    flt: Filter = Filter(),
+    run: TripCharging = TripCharging(),
+    max_folded: int = MAX_FOLDED_STOPS,
+) -> DataFrame:
+    """All trips with their charging."""
+    run = run.normalized()
+    trips = _run(stops, flt, run, max_folded)[1]
+    return trips.select(
+        *TRIP_KEY,
+        "stops",
+        bankers_round("trip_km", 1).alias("trip_km"),
+        bankers_round(F.col("_soc") / run.capacity_kwh * 100.0, 1).alias("end_soc_pct"),
+        "charge_events",
+        bankers_round("charge_kwh", 1).alias("charge_kwh"),
+        bankers_round(_minutes(F.col("charge_kwh"), run), 1).alias("charge_min"),
+    )
+
+
+def trip_charge_summary(trips: DataFrame) -> DataFrame:
+    """The 100 trips that charge most often."""
+    order = [F.desc("charge_events"), F.desc("charge_kwh"), "trip_id", "vehicle_code", "trip_date"]
+    return trips.orderBy(*order).limit(100).drop("vehicle_code", "trip_date")
+
+
+def trip_charge_totals(trips: DataFrame, events: DataFrame) -> DataFrame:
+    """One row over all trips and charge events."""
+    charging = events.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("n"),
+            bankers_round(F.coalesce(F.sum("charge_kwh"), F.lit(0.0)), 0).alias("kwh"),
+            bankers_round(F.coalesce(F.sum("charge_min"), F.lit(0.0)) / 60.0, 1).alias("hours"),
+        )
+    ).scalar()
+    totals = trips.agg(
+        F.count(F.lit(1)).alias("trips"), F.count_if(F.col("charge_events") > 0).alias("trips_with_event")
+    )
+    return totals.withColumn("_c", charging).select(
+        "trips",
+        "trips_with_event",
+        F.col("_c.n").alias("charge_events"),
+        F.col("_c.kwh").alias("total_kwh"),
+        F.col("_c.hours").alias("charge_hours"),
+    )

@@ -1,0 +1 @@
+"""Deliberately empty: every question this engine answers is a batch question."""
