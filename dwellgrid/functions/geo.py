@@ -29,8 +29,9 @@ def column(value) -> Column:
 
 
 def bankers_round(value, digits: int) -> Column:
-    """Half-to-even rounding, after dropping the noise that summation order leaves behind."""
-    return F.bround(F.round(column(value), 9), digits)
+    """Half-to-even rounding of the scaled value, after dropping the noise of summation order."""
+    scale = 10.0**digits
+    return F.rint(F.round(column(value), 9) * scale) / scale
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:

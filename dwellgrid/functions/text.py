@@ -82,7 +82,7 @@ def vehicle_key(plate_norm, code) -> Column:
 
 
 def split_plates(plates) -> Column:
-    parts = F.transform(F.split(text_or_empty(plates), ","), F.trim)
+    parts = F.transform(F.split(text_or_empty(plates), ","), lambda part: F.trim(part))
     return F.filter(parts, lambda part: part != "")
 
 

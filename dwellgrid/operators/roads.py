@@ -25,6 +25,7 @@ from dwellgrid.session import materialize
 
 MAX_TARGET, MAX_RAW, MAX_LINES, MAX_HEAT = 25_000, 200_000, 4_000, 300_000
 MAX_LINE_KM = 8.0
+_ENDS = ("lat1", "lon1", "lat2", "lon2")
 NAME_KM = 3.0
 SNAP_KM = 2.0
 # Well over SNAP_KM in both directions up to 70 degrees north.
@@ -83,10 +84,9 @@ def road_heat(heat: DataFrame, flt: Filter = Filter()) -> DataFrame:
 
 def enrich_road_edges(edges: DataFrame) -> DataFrame:
     """Direction, length and node keys of every edge that has a length."""
-    ends = ("lat1", "lon1", "lat2", "lon2")
-    bearing = bearing_degrees(*ends)
+    bearing = bearing_degrees(*_ENDS)
     return (
-        edges.withColumns({"bearing": bearing, "bucket": direction_bucket(bearing), "length_km": haversine_km(*ends)})
+        edges.withColumns({"bearing": bearing, "bucket": direction_bucket(bearing), "length_km": haversine_km(*_ENDS)})
         .withColumns({"start_key": coordinate_key("lat1", "lon1"), "end_key": coordinate_key("lat2", "lon2")})
         .where(F.col("length_km") > 0)
     )
@@ -97,12 +97,11 @@ def enrich_road_edges(edges: DataFrame) -> DataFrame:
 
 def _linked_edges(edges: DataFrame) -> DataFrame:
     """Edges with an id and the edge that continues them, where exactly one can."""
-    ends = ["lat1", "lon1", "lat2", "lon2"]
     # Copies of an edge are told apart by a number, so ids do not depend on the order of rows.
-    copies = W.partitionBy(*ends).orderBy(F.desc("n_passes"), F.desc("n_vehicles"))
+    copies = W.partitionBy(*_ENDS).orderBy(F.desc("n_passes"), F.desc("n_vehicles"))
     numbered = edges.withColumn(
         "edge_id",
-        F.concat_ws("|", *[F.col(c).cast("string") for c in ends], F.row_number().over(copies).cast("string")),
+        F.concat_ws("|", *[F.col(c).cast("string") for c in _ENDS], F.row_number().over(copies).cast("string")),
     )
     numbered = materialize(numbered, "edges")
     outgoing = numbered.groupBy("bucket", F.col("start_key").alias("node")).agg(
@@ -148,7 +147,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 def _walk(component: pd.DataFrame) -> pd.DataFrame:
     """Grow chains from the busiest edge left, first backward, then forward, while they stay short."""
-    rows = component.set_index("edge_id", drop=False)
+    rows = component.set_index("edge_id", drop=False).rename_axis(None)
     following = {e: n for e, n in rows["next_id"].items() if isinstance(n, str)}
     preceding = {n: e for e, n in following.items()}
     length = rows["length_km"].to_dict()
@@ -232,14 +231,22 @@ def road_name(lat, lon) -> Column:
     lat, lon = column(lat), column(lon)
     pieces = [
         F.struct(
-            point_segment_km(lat, lon, *points[i], *points[i + 1]).alias("km"),
+            *[F.lit(v).alias(end) for end, v in zip(_ENDS, (*points[i], *points[i + 1]), strict=True)],
             F.lit(number).alias("number"),
             F.lit(name).alias("name"),
         )
         for number, (name, points) in enumerate(CORRIDORS.items())
         for i in range(len(points) - 1)
     ]
-    best = F.array_min(F.array(*pieces))
+    measured = F.transform(
+        F.array(*pieces),
+        lambda p: F.struct(
+            point_segment_km(lat, lon, *[p[end] for end in _ENDS]).alias("km"),
+            p["number"].alias("number"),
+            p["name"].alias("name"),
+        ),
+    )
+    best = F.array_min(measured)
     return F.when(best["km"] <= NAME_KM, best["name"]).otherwise(
         F.format_string("Wegvlak bij %.3f, %.3f", lat, lon)
     )

@@ -58,13 +58,15 @@ CHARTER_VEHICLE_HEADERS = {
 
 
 def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return (
+    """All columns as text; an empty field is null, quoted or not."""
+    raw = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("escape", '"')
         .option("multiLine", False)
         .csv(paths if isinstance(paths, str) else list(paths))
     )
+    return raw.select([F.nullif(quoted(name), F.lit("")).alias(name) for name in raw.columns])
 
 
 def scan_trip_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
