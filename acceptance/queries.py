@@ -604,8 +604,7 @@ def presence_windows(d):
 
 @query
 def merge_presence_windows(d):
-    merged = pwr.merge_presence_windows(pwr.presence_windows(d.tables.route_actions))
-    return merged.select(*WINDOW, "planned_start", "planned_end", *six("dwell_min"))
+    return _windows(d).select(*WINDOW, "planned_start", "planned_end", *six("dwell_min"))
 
 
 @query
@@ -630,7 +629,7 @@ def hourly_power_profile(d):
 
 @query
 def power_heatmap(d):
-    return pwr.power_heatmap(materialize(_windows(d), "windows"))
+    return pwr.power_heatmap(_windows(d))
 
 
 @query
@@ -640,12 +639,12 @@ def power_slot_vehicles(d):
 
 @query
 def scenario_profiles(d):
-    return pwr.scenario_profiles(materialize(_windows(d), "windows"), Power(scenario_years=(2026, 2027, 2031, 2040)))
+    return pwr.scenario_profiles(_windows(d), Power(scenario_years=(2026, 2027, 2031, 2040)))
 
 
 @query
 def scenario_profiles_cherry_pick(d):
-    return pwr.scenario_profiles(materialize(_windows(d), "windows"), CHERRY_PICK)
+    return pwr.scenario_profiles(_windows(d), CHERRY_PICK)
 
 
 @query
@@ -897,7 +896,7 @@ def _read_csv(d: Dataset, path: str, schema: str) -> DataFrame:
 
 @query
 def sink_hourly_csv(d):
-    windows, path = materialize(_windows(d), "windows"), new_folder(d.spark, "hourly")
+    windows, path = _windows(d), new_folder(d.spark, "hourly")
     names = pwr.power_location_profile(windows, EVERY_LOCATION).select("location_id", "name", "address")
     writers.sink_hourly_csv(pwr.hourly_power_profile(windows).join(names, "location_id"), path)
     return _read_csv(
@@ -919,7 +918,7 @@ def sink_daily_csv(d):
 @query
 def sink_scenario_csv(d):
     path = new_folder(d.spark, "scenarios")
-    writers.sink_scenario_csv(pwr.scenario_profiles(materialize(_windows(d), "windows")), path)
+    writers.sink_scenario_csv(pwr.scenario_profiles(_windows(d)), path)
     return _read_csv(
         d, path, "year int, mode string, scale_factor double, hour int, vehicles bigint, events bigint, "
         "required_kw double, required_mw double",
@@ -932,14 +931,14 @@ HEATMAP = "location_id string, location_name string, hour int, vehicles bigint,
 @query
 def sink_heatmap_csv(d):
     path = new_folder(d.spark, "heatmap")
-    writers.sink_heatmap_csv(pwr.power_heatmap(materialize(_windows(d), "windows")), path)
+    writers.sink_heatmap_csv(pwr.power_heatmap(_windows(d)), path)
     return _read_csv(d, path, HEATMAP)
 
 
 @query
 def sink_heatmap_parquet(d):
     path = new_folder(d.spark, "heatmap-parquet")
-    writers.sink_heatmap_parquet(pwr.power_heatmap(materialize(_windows(d), "windows")), path)
+    writers.sink_heatmap_parquet(pwr.power_heatmap(_windows(d)), path)
     return d.spark.read.parquet(path)
 
 

@@ -24,6 +24,7 @@ from dwellgrid.functions.text import (
 )
 from dwellgrid.operators.filters import TRIP_KEY
 from dwellgrid.operators.ordered import HOT_ROWS, Scan, Step, by_key
+from dwellgrid.session import materialize
 
 # Accepted headers per field, in order of preference.
 VEHICLE = ("Wagen Code", "wagencode", "wagen_code", "vehicle_id", "vehicle_code", "voertuig", "truck_id")
@@ -68,13 +69,17 @@ STOP_COLUMNS = {
 }
 
 
+def _is_travel(name: str) -> Column:
+    return F.lower(F.trim(text_or_empty(quoted(name)))) == "travel"
+
+
 def travel_filter(raw: DataFrame) -> DataFrame:
     """Only travel rows, when the raw data names its actions in the expected column."""
     name = resolve_column(raw.columns, TRAVEL_COLUMN)
-    return raw if name is None else raw.where(F.lower(F.trim(text_or_empty(quoted(name)))) == "travel")
+    return raw if name is None else raw.where(_is_travel(name))
 
 
-def resolve_columns(raw: DataFrame) -> DataFrame:
+def resolve_columns(raw: DataFrame, *extra: Column) -> DataFrame:
     """Raw text columns, whatever their headers, as one fixed set of typed columns."""
     names = raw.columns
     lat, lon = resolve_column(names, *LATITUDE), resolve_column(names, *LONGITUDE)
@@ -99,6 +104,7 @@ def resolve_columns(raw: DataFrame) -> DataFrame:
             if has_position
             else []
         ),
+        *extra,
     )
 
 
@@ -142,9 +148,15 @@ def sequence_actions(
     return numbered.withColumn(name, F.col("_position").cast("int")).drop("_open", "_position")
 
 
-def build_route_actions(raw: DataFrame, geocode: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def typed_rows(raw: DataFrame, geocode: DataFrame | None = None) -> DataFrame:
+    """Usable raw rows with types and places; ``is_travel`` marks those that are stops."""
+    name = resolve_column(raw.columns, TRAVEL_COLUMN)
+    travel = F.lit(True) if name is None else _is_travel(name)
+    return valid_row_filter(geocode_join(resolve_columns(raw, travel.alias("is_travel")), geocode))
+
+
+def route_actions(typed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every action of every trip, also where its place is unknown."""
-    typed = valid_row_filter(geocode_join(resolve_columns(raw), geocode))
     rows = sequence_actions(typed.withColumn("action", F.lower("action")), hot_rows=hot_rows)
     unknown = F.lit("unknown_location")
     address = blank_to_null("address")
@@ -172,10 +184,9 @@ def build_route_actions(raw: DataFrame, geocode: DataFrame | None = None, hot_ro
     )
 
 
-def build_stops(raw: DataFrame, geocode: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def travel_stops(typed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Travel stops with a known place. Numbering comes first, so gaps mark dropped stops."""
-    typed = valid_row_filter(geocode_join(resolve_columns(travel_filter(raw)), geocode))
-    rows = sequence_actions(typed, "stop_seq", by_action=False, hot_rows=hot_rows)
+    rows = sequence_actions(typed.where("is_travel"), "stop_seq", by_action=False, hot_rows=hot_rows)
     padded = F.lpad(F.col("stop_seq").cast("string"), 2, "0")
     stops = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
         "vehicle_code",
@@ -202,6 +213,16 @@ def build_stops(raw: DataFrame, geocode: DataFrame | None = None, hot_rows: int
     return extract_pc6_column(stops)
 
 
+def build_route_actions(raw: DataFrame, geocode: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Raw rows to route actions. The typed rows are stored, so the raw text is parsed once."""
+    return route_actions(materialize(typed_rows(raw, geocode), "typed"), hot_rows)
+
+
+def build_stops(raw: DataFrame, geocode: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Raw rows to stops. The typed rows are stored, so the raw text is parsed once."""
+    return travel_stops(materialize(typed_rows(raw, geocode), "typed"), hot_rows)
+
+
 def route_actions_from_stops(stops: DataFrame) -> DataFrame:
     """Route actions when only prepared stops exist."""
     stops = backfill_columns(

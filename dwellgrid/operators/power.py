@@ -15,6 +15,7 @@ from dwellgrid.operators.demand import hour_slots
 from dwellgrid.operators.filters import CHARGE_WINDOW_ACTIONS, TRIP_KEY, filter_power_actions
 from dwellgrid.operators.ordered import HOT_ROWS, Scan, Step, by_key
 from dwellgrid.params import Filter, Power
+from dwellgrid.session import materialize
 
 MERGE_GAP_MINUTES = 5
 WINDOW_COLUMNS = [
@@ -121,9 +122,12 @@ def merge_presence_windows(
 def power_windows(
     actions: DataFrame, flt: Filter = Filter(), power: Power = Power(), hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Filtered actions as merged presence windows; the filter comes first and so shapes the stays."""
-    windows = presence_windows(filter_power_actions(actions, flt, power), hot_rows)
-    return merge_presence_windows(windows, hot_rows=hot_rows)
+    """Filtered actions as merged presence windows; the filter comes first and so shapes the stays.
+
+    Stored, because every profile reads the windows several times.
+    """
+    windows = materialize(presence_windows(filter_power_actions(actions, flt, power), hot_rows), "presence")
+    return materialize(merge_presence_windows(windows, hot_rows=hot_rows), "power-windows")
 
 
 def window_kw(power: Power) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.geo import (
+    KM_PER_DEGREE,
     bankers_round,
     bearing_degrees,
     column,
@@ -117,101 +118,103 @@ def _linked_edges(edges: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """``edge_id`` and the smallest edge id on its path or ring.
+    """``edge_id`` of every edge with a neighbour, and the smallest edge id on its path or ring.
 
     Every edge has at most one successor and one predecessor, so pointers that double their reach
-    each round cover a path of n edges in about log2(n) rounds of equi-joins. When a round improves
-    nothing, every edge has seen its whole path.
+    each step cover a path of n edges in about log2(n) equi-joins. When a step improves nothing,
+    every edge has seen its whole path.
     """
-    ahead = links.select("edge_id", F.lit(1).alias("way"), F.col("next_id").alias("to"))
     linked = links.where(F.col("next_id").isNotNull())
+    ahead = linked.select("edge_id", F.lit(1).alias("way"), F.col("next_id").alias("to"))
     behind = linked.select(F.col("next_id").alias("edge_id"), F.lit(-1).alias("way"), F.col("edge_id").alias("to"))
     state = ahead.unionByName(behind).withColumn("best", F.least("edge_id", "to"))
+
+    def doubled(current: DataFrame) -> DataFrame:
+        further = current.select(
+            "way", F.col("edge_id").alias("to"), F.col("to").alias("_to"), F.col("best").alias("_best")
+        )
+        return current.join(further, ["way", "to"], "left").select(
+            "edge_id", "way", F.col("_to").alias("to"), F.least("best", "_best").alias("best"),
+            F.coalesce(F.col("_best") < F.col("best"), F.lit(False)).alias("_better"),
+        )
+
     improved = True
     while improved:
-        further = state.select("way", F.col("edge_id").alias("to"), F.col("to").alias("_to"), F.col("best").alias("_best"))
-        state = materialize(
-            state.join(further, ["way", "to"], "left").select(
-                "edge_id",
-                "way",
-                F.col("_to").alias("to"),
-                F.least("best", "_best").alias("best"),
-                F.coalesce(F.col("_best") < F.col("best"), F.lit(False)).alias("_better"),
-            ),
-            "reach",
-        )
-        improved = not state.where("_better").isEmpty()
-        state = state.drop("_better")
+        # Two steps per stored table; the second tells whether there is more to find.
+        step = Observation()
+        watched = doubled(doubled(state).drop("_better")).observe(step, F.count_if("_better").alias("better"))
+        state = materialize(watched, "reach").drop("_better")
+        improved = step.get["better"] > 0
     return state.groupBy("edge_id").agg(F.min("best").alias("component"))
 
 
 def _walk(component: pd.DataFrame) -> pd.DataFrame:
     """Grow chains from the busiest edge left, first backward, then forward, while they stay short."""
-    rows = component.set_index("edge_id", drop=False).rename_axis(None)
-    following = {e: n for e, n in rows["next_id"].items() if isinstance(n, str)}
+    edges = component["edge_id"].tolist()
+    following = {e: n for e, n in zip(edges, component["next_id"], strict=True) if isinstance(n, str)}
     preceding = {n: e for e, n in following.items()}
-    length = rows["length_km"].to_dict()
-    seeds = rows.sort_values(
-        ["n_passes", "n_vehicles", "lat1", "lon1", "lat2", "lon2", "edge_id"],
-        ascending=[False, False, True, True, True, True, True],
-    ).index
-    taken: dict[str, tuple[str, int]] = {}
-    for seed in seeds:
-        if seed in taken:
+    length = dict(zip(edges, component["length_km"], strict=True))
+    rank = zip(
+        -component["n_passes"], -component["n_vehicles"], component["lat1"], component["lon1"], component["lat2"],
+        component["lon2"], edges, strict=True,
+    )
+    chain: dict[str, str] = {}
+    place: dict[str, int] = {}
+    for *_, seed in sorted(rank):
+        if seed in chain:
             continue
-        members, km = [seed], length[seed]
-        taken[seed] = (seed, 0)
-        for neighbour, grow in ((preceding, -1), (following, 1)):
-            position = 0
+        chain[seed], place[seed], km = seed, 0, length[seed]
+        members = [seed]
+        for neighbour, step in ((preceding, -1), (following, 1)):
             tip = seed
-            while True:
-                candidate = neighbour.get(tip)
-                if candidate is None or candidate in taken or (km >= 1.0 and km + length[candidate] > MAX_LINE_KM):
+            while (n := neighbour.get(tip)) is not None and n not in chain:
+                if km >= 1.0 and km + length[n] > MAX_LINE_KM:
                     break
-                position += grow
-                taken[candidate] = (seed, position)
-                members.append(candidate)
-                km += length[candidate]
-                tip = candidate
-        first = min(taken[m][1] for m in members)
+                chain[n], place[n], km = seed, place[tip] + step, km + length[n]
+                members.append(n)
+                tip = n
+        first = min(place[m] for m in members)
         for m in members:
-            taken[m] = (seed, taken[m][1] - first)
-    result = component.copy()
-    result["chain_id"] = [taken[e][0] for e in result["edge_id"]]
-    result["pos"] = [taken[e][1] for e in result["edge_id"]]
-    return result
+            place[m] -= first
+    return component.assign(chain_id=[chain[e] for e in edges], pos=[place[e] for e in edges])
 
 
 def contract_road_chains(edges: DataFrame) -> DataFrame:
     """Edges with the chain they belong to and their place in it.
 
     Chains run through nodes with one edge in and one out of the same direction. Such paths never
-    touch, so each is walked on its own; finding them takes joins only.
+    touch, so each is walked on its own; finding them takes joins only. An edge without a neighbour
+    is a chain by itself.
     """
     links = materialize(_linked_edges(edges), "links")
-    grouped = links.join(_components(links), "edge_id")
+    components = _components(links)
+    alone = links.join(components, "edge_id", "left_anti")
+    grouped = links.join(components, "edge_id")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in grouped.schema.fields]
-    schema = ", ".join([*fields, "chain_id string", "pos int"])
-    walked = grouped.groupBy("component").applyInPandas(_walk, schema)
-    return walked.drop("component", "next_id")
-
-
-def _cut(chain: pd.DataFrame) -> pd.DataFrame:
-    ordered = chain.sort_values("pos").copy()
-    numbers, number, km = [], 0, 0.0
-    for index, length in enumerate(ordered["length_km"]):
-        if index and km >= 1.0 and km + length > MAX_LINE_KM:
-            number, km = number + 1, 0.0
-        km += length
-        numbers.append(number)
-    ordered["segment_no"] = numbers
-    return ordered
+    walked = grouped.groupBy("component").applyInPandas(_walk, ", ".join([*fields, "chain_id string", "pos int"]))
+    single = alone.withColumns({"chain_id": F.col("edge_id"), "pos": F.lit(0)})
+    return walked.drop("component").unionByName(single).drop("next_id")
 
 
 def split_road_chains(chains: DataFrame) -> DataFrame:
-    """Number the pieces of chains that grew too long."""
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in chains.schema.fields]
-    return chains.groupBy("chain_id").applyInPandas(_cut, ", ".join([*fields, "segment_no int"]))
+    """Number the pieces of chains that grew too long. A chain is at most about 8 km of edges."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.struct(*chains.columns).alias("edge"))))
+    start = F.struct(F.lit(0).alias("number"), F.lit(0.0).alias("km"), F.array().cast("array<int>").alias("numbers"))
+
+    def visit(state: Column, row: Column) -> Column:
+        length = row["edge"]["length_km"]
+        full = (state["km"] >= 1.0) & (state["km"] + length > MAX_LINE_KM)
+        number = F.when(full, state["number"] + 1).otherwise(state["number"])
+        km = F.when(full, length).otherwise(state["km"] + length)
+        return F.struct(
+            number.alias("number"), km.alias("km"), F.concat(state["numbers"], F.array(number)).alias("numbers")
+        )
+
+    folded = chains.groupBy("chain_id").agg(rows.alias("_rows")).select(
+        "_rows", F.aggregate("_rows", start, visit, lambda state: state["numbers"]).alias("_numbers")
+    )
+    numbered = F.explode(F.arrays_zip(F.col("_rows"), F.col("_numbers"))).alias("_x")
+    return folded.select(numbered).select("_x._rows.edge.*", F.col("_x._numbers").alias("segment_no"))
 
 
 # --- lines -------------------------------------------------------------------------------------
@@ -238,17 +241,52 @@ def road_name(lat, lon) -> Column:
         for number, (name, points) in enumerate(CORRIDORS.items())
         for i in range(len(points) - 1)
     ]
-    measured = F.transform(
-        F.array(*pieces),
+    best = F.array_min(_measured(lat, lon, F.array(*pieces)))
+    return F.when(best["km"] <= NAME_KM, best["name"]).otherwise(
+        F.format_string("Wegvlak bij %.3f, %.3f", lat, lon)
+    )
+
+
+def _measured(lat: Column, lon: Column, pieces: Column) -> Column:
+    """Distance to each constant segment: ``point_segment_km``, one step per transform.
+
+    A lambda evaluates whatever it repeats, so values used more than once get a step of their own.
+    """
+    scaled = F.transform(
+        pieces,
         lambda p: F.struct(
-            point_segment_km(lat, lon, *[p[end] for end in _ENDS]).alias("km"),
-            p["number"].alias("number"),
-            p["name"].alias("name"),
+            p.alias("p"), (KM_PER_DEGREE * F.cos(F.radians((lat + p["lat1"] + p["lat2"]) / 3.0))).alias("k")
         ),
     )
-    best = F.array_min(measured)
-    return F.when(best["km"] <= NAME_KM, best["name"]).otherwise(
-        F.format_string("Wegvlak bij %.3f, %.3f", lat, lon)
+    placed = F.transform(
+        scaled,
+        lambda s: F.struct(
+            s["p"].alias("p"),
+            ((s["p"]["lon2"] - s["p"]["lon1"]) * s["k"]).alias("dx"),
+            ((s["p"]["lat2"] - s["p"]["lat1"]) * KM_PER_DEGREE).alias("dy"),
+            ((lon - s["p"]["lon1"]) * s["k"]).alias("x"),
+            ((lat - s["p"]["lat1"]) * KM_PER_DEGREE).alias("y"),
+        ),
+    )
+    shared = F.transform(
+        placed,
+        lambda s: F.struct(
+            s.alias("s"),
+            F.least(
+                F.lit(1.0),
+                F.greatest(
+                    F.lit(0.0), (s["x"] * s["dx"] + s["y"] * s["dy"]) / (s["dx"] * s["dx"] + s["dy"] * s["dy"])
+                ),
+            ).alias("t"),
+        ),
+    )
+    return F.transform(
+        shared,
+        lambda s: F.struct(
+            F.hypot(s["s"]["x"] - s["t"] * s["s"]["dx"], s["s"]["y"] - s["t"] * s["s"]["dy"]).alias("km"),
+            s["s"]["p"]["number"].alias("number"),
+            s["s"]["p"]["name"].alias("name"),
+        ),
     )
 
 

@@ -133,7 +133,7 @@ def break_demand_detail(t: Tables, road: Road, breaks: Breaks = Breaks(), flt: F
 
 
 def power_profiles(t: Tables, flt: Filter = Filter(), power: Power = Power()) -> Parts:
-    windows = materialize(pwr.power_windows(t.route_actions, flt, power), "power-windows")
+    windows = pwr.power_windows(t.route_actions, flt, power)
     locations = materialize(pwr.power_location_profile(windows, power), "power-locations")
     shown = locations.select(F.lower("location_id").alias("_place"))
     top = windows.join(shown, F.lower("location_id") == F.col("_place"), "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.operators import ingest, tables
 from dwellgrid.operators.ordered import HOT_ROWS
+from dwellgrid.session import materialize
 
 STORED = ("route_actions", "stops", "daily_trips", "vehicle_days", "overnight_events")
 
@@ -57,9 +58,9 @@ def build_from_csv(
     hot_rows: int = HOT_ROWS,
 ) -> Tables:
     """From raw trip rows to stored tables."""
-    actions = ingest.build_route_actions(raw, geocode, hot_rows)
-    stops = ingest.enrich_ze_zone(ingest.build_stops(raw, geocode, hot_rows), zones)
-    return store_tables(actions, stops, folder)
+    typed = materialize(ingest.typed_rows(raw, geocode), "typed")
+    stops = ingest.enrich_ze_zone(ingest.travel_stops(typed, hot_rows), zones)
+    return store_tables(ingest.route_actions(typed, hot_rows), stops, folder)
 
 
 def build_from_stops(stops: DataFrame, folder: str, zones: DataFrame | None = None) -> Tables:

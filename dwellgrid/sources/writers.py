@@ -66,7 +66,7 @@ def export_focus_report(
     actions: DataFrame, path: str, flt: Filter = Filter(), power: Power = FOCUS_POWER, words=FOCUS_WORDS, alias=FOCUS_ALIAS
 ) -> DataFrame:
     """Write the profiles of the focus location and the heatmap of all; returns the chosen location."""
-    windows = materialize(power_windows(actions, flt, power), "power-windows")
+    windows = power_windows(actions, flt, power)
     chosen = materialize(focus_location(power_location_profile(windows, power), words, alias), "focus")
     here = windows.join(
         chosen.select(F.lower("location_id").alias("_place")), F.lower("location_id") == F.col("_place"), "left_semi"
