@@ -8,11 +8,8 @@ from __future__ import annotations
 
 import re
 
-from dwellgrid.functions.geo import DIRECTION_LABELS
-from dwellgrid.functions.text import WEEKDAY_LABELS
 from dwellgrid.operators.filters import CHARGE_WINDOW_ACTIONS
 from dwellgrid.operators.roads import CORRIDORS
-from dwellgrid.params import DEFAULT_INFLOWS
 
 HOUR = 3_600_000_000
 

@@ -289,7 +289,7 @@ def overnight_locations(d):
 
 @query
 def road_selection_index(d):
-    found = d.tables.road_selection_index
+    found = tables.road_selection_index(d.tables.daily_trips)
     return found.select(*TRIP, "start_lat", "start_lon", "end_lat", "end_lon", *six("mid_lat", "mid_lon"), "distance_km")
 
 

@@ -11,7 +11,6 @@ from dwellgrid.functions.clock import (
     HOUR_MICROS,
     QUARTER_MICROS,
     from_micros,
-    hours_between,
     micros,
     overlap_hours,
     slot_starts,

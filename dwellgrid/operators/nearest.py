@@ -11,7 +11,7 @@ from dwellgrid.functions.geo import EARTH_RADIUS_KM, column, haversine_km
 from dwellgrid.session import materialize
 
 # Cell sizes in degrees. The last one is a single cell, for points a continent away from everything.
-CELL_SIZES = (0.02, 0.1, 0.5, 2.5, 12.5, 400.0)
+CELL_SIZES = (0.05, 0.25, 1.25, 6.25, 400.0)
 PUBLIC_ACCESS = ("Publiek", "Semi-publiek")
 
 
@@ -60,7 +60,8 @@ def nearest_km(points: DataFrame, key: str, targets: DataFrame) -> DataFrame:
         clear = EARTH_RADIUS_KM * F.asin(F.sin(F.radians(F.lit(size))) * F.cos(F.radians("lat")))
         final = (F.col("km") <= clear) & (F.abs("lon") < 180.0 - size)
         found.append(measured.where(final).select(key, "km"))
-        open_points = materialize(open_points.join(found[-1], key, "left_anti"), "nearest-points")
+        # Cheap to repeat: both sides are stored, and there are only a few cell sizes.
+        open_points = open_points.join(found[-1], key, "left_anti")
         if open_points.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

@@ -11,7 +11,7 @@ from dwellgrid.operators import ingest, tables
 from dwellgrid.operators.ordered import HOT_ROWS
 from dwellgrid.session import materialize
 
-STORED = ("route_actions", "stops", "daily_trips", "vehicle_days", "overnight_events")
+STORED = ("route_actions", "stops", "daily_trips", "vehicle_days", "overnight_events", "road_selection_index")
 
 
 @dataclass(frozen=True)
@@ -23,10 +23,7 @@ class Tables:
     daily_trips: DataFrame
     vehicle_days: DataFrame
     overnight_events: DataFrame
-
-    @property
-    def road_selection_index(self) -> DataFrame:
-        return tables.road_selection_index(self.daily_trips)
+    road_selection_index: DataFrame
 
     @property
     def overnight_locations(self) -> DataFrame:
@@ -50,7 +47,10 @@ def store_tables(route_actions: DataFrame, stops: DataFrame, folder: str) -> Tab
     days = store(tables.vehicle_days(trips), f"{folder}/vehicle_days")
     candidates = tables.overnight_candidates(days)
     overnight = tables.overnight_events(candidates, tables.overnight_home_location(candidates))
-    return Tables(actions, stops, trips, days, store(overnight, f"{folder}/overnight_events"))
+    overnight = store(overnight, f"{folder}/overnight_events")
+    # Stored, so that a selection's bounding box on the midpoints skips row groups.
+    index = store(tables.road_selection_index(trips), f"{folder}/road_selection_index")
+    return Tables(actions, stops, trips, days, overnight, index)
 
 
 def build_from_csv(
