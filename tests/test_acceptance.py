@@ -14,7 +14,7 @@ from acceptance.queries import queries
 
 FOLDER = Path("/root/testdata/sf0.001")
 # Little data: some filters keep nothing at this scale.
-MAY_BE_EMPTY = {"filter_within_radius"}
+MAY_BE_EMPTY = {"filter_within_radius", "snap_to_road"}
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no driver tables")
 QUERIES, ANSWERS = queries(), answers()
