@@ -447,21 +447,7 @@ ANSWERS: dict[str, str] = {
             FROM quarters GROUP BY 1) t ON t.hour = h.hour
         LEFT JOIN (SELECT hour(slot_start) AS hour, max(s) AS kw FROM (SELECT slot_start, sum(required_kw) AS s
                 FROM quarters GROUP BY 1) GROUP BY 1) p ON p.hour = h.hour""",
-    "break_demand_lines": f"""
-        WITH keyed AS (SELECT *, 'pauze:' || bearing_bucket || ':' || printf('%.3f:%.3f', {even("break_lat", 3)},
-                {even("break_lon", 3)}) AS segment_id FROM quarters),
-        peaks AS (SELECT segment_id, {even("max(s) / 1000", 3)} AS peak_mw FROM (SELECT segment_id, slot_start,
-                sum(required_kw) AS s FROM keyed GROUP BY 1, 2) GROUP BY 1),
-        lines AS (SELECT 'pauze:' || bearing_bucket || ':' || printf('%.3f:%.3f', {even("break_lat", 3)},
-                {even("break_lon", 3)}) AS segment_id, any_value(bearing_bucket) AS b, avg(break_lat) AS lat,
-                avg(break_lon) AS lon, {even("sum(demand_kwh)", 1)} AS total_kwh, count(DISTINCT vehicle) AS vehicles,
-                count(*) AS passages FROM breaks GROUP BY 1)
-        SELECT l.segment_id, {project("lat", "lon", "((b * 45 + 180) % 360)", 0.75, "lat")} AS lat1,
-            {project("lat", "lon", "((b * 45 + 180) % 360)", 0.75, "lon")} AS lon1,
-            {project("lat", "lon", "(b * 45)", 0.75, "lat")} AS lat2, {project("lat", "lon", "(b * 45)", 0.75, "lon")} AS lon2,
-            {pick(DIRECTION_LABELS, "b")} AS direction, peak_mw, total_kwh, vehicles, passages, 0.75e0 AS radius_km
-        FROM lines l JOIN peaks p ON p.segment_id = l.segment_id
-        ORDER BY passages DESC, peak_mw DESC, total_kwh DESC, l.segment_id LIMIT 4000""",
+    "break_demand_lines": "SELECT * FROM break_lines",
     "break_demand_detail": f"""
         SELECT (SELECT max({even("s / 1000", 3)}) FROM (SELECT sum(required_kw) AS s FROM near_quarters GROUP BY slot_start)) AS peak_mw,
             {even("sum(demand_kwh)", 1)} AS total_kwh, count(DISTINCT vehicle) AS vehicles, count(*) AS passages
@@ -480,6 +466,36 @@ ANSWERS: dict[str, str] = {
             printf('%.5f:%.5f', lat1, lon1) AS start_key, printf('%.5f:%.5f', lat2, lon2) AS end_key,
             round({bearing("lat1", "lon1", "lat2", "lon2")}, 6) AS bearing,
             round({hav("lat1", "lon1", "lat2", "lon2")}, 6) AS length_km FROM edges""",
+    "contract_road_chains": "SELECT lat1, lon1, lat2, lon2, bucket, n_passes, chain_id, pos FROM chained",
+    # No chain here is longer than 8 km, so each is one piece.
+    "split_road_chains": """
+        SELECT lat1, lon1, lat2, lon2, chain_id, pos, CASE WHEN sum(length_km) OVER (PARTITION BY chain_id) <= 8
+            THEN CAST(0 AS INTEGER) END AS segment_no FROM chained""",
+    "road_lines": "SELECT * REPLACE (CAST(to_json(coordinates) AS VARCHAR) AS coordinates) FROM road_map",
+    "dashboard_roads": """
+        SELECT * EXCLUDE (coordinates) FROM road_map ORDER BY passes DESC, unique_vehicles DESC, segment_id, lat1, lon1 LIMIT 100""",
+    "corridors": f"""
+        SELECT CAST(row_number() OVER (ORDER BY median_passes DESC, max_vehicles DESC, lat, lon) AS INTEGER) AS rank, *
+        FROM (SELECT {even("(lat1 + lat2) / 2", 2)} AS lat, {even("(lon1 + lon2) / 2", 2)} AS lon,
+                list_sort(list(passes))[count(*) // 2 + 1] AS median_passes, max(passes) AS max_passes,
+                max(unique_vehicles) AS max_vehicles,
+                {even(hav("min(least(lat1, lat2))", "min(least(lon1, lon2))", "max(greatest(lat1, lat2))", "max(greatest(lon1, lon2))"), 1)} AS spread_km,
+                count(*) AS segments FROM road_map GROUP BY 1, 2)
+        ORDER BY rank LIMIT 20""",
+    "search_road_lines": """
+        SELECT * EXCLUDE (coordinates) FROM road_map
+        WHERE upper(road_name) LIKE '%WEGVLAK%' OR upper(direction) LIKE '%WEGVLAK%'
+        ORDER BY length_km, passes DESC, segment_id, lat1, lon1 LIMIT 100""",
+    "snap_to_road": f"""
+        SELECT l.*, road_id, CAST(to_json(coordinates) AS VARCHAR) AS coordinates
+        FROM break_lines l JOIN (
+            SELECT l.segment_id, r.road_id, r.coordinates
+            FROM break_lines l JOIN (SELECT segment_id AS road_id, coordinates,
+                    unnest(coordinates[1:len(coordinates) - 1]) AS a, unnest(coordinates[2:len(coordinates)]) AS z FROM road_map) r
+                ON {segment_km("(l.lat1 + l.lat2) / 2", "(l.lon1 + l.lon2) / 2", "a.lat", "a.lon", "z.lat", "z.lon")} <= 2
+            QUALIFY row_number() OVER (PARTITION BY l.segment_id ORDER BY
+                {segment_km("(l.lat1 + l.lat2) / 2", "(l.lon1 + l.lon2) / 2", "a.lat", "a.lon", "z.lat", "z.lon")}, road_id) = 1) s
+            ON s.segment_id = l.segment_id""",
     "infer_road_name": f"""
         SELECT lat1, lon1, lat2, lon2, CASE WHEN best.km <= 3 THEN best.name
             ELSE printf('Wegvlak bij %.3f, %.3f', (lat1 + lat2) / 2, (lon1 + lon2) / 2) END AS road_name

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from dwellgrid.functions.geo import DIRECTION_LABELS
 from dwellgrid.operators.filters import CHARGE_WINDOW_ACTIONS
 from dwellgrid.operators.roads import CORRIDORS
 
@@ -211,6 +212,78 @@ CTES: dict[str, str] = {
         SELECT * FROM edges WHERE n_passes >= 1 ORDER BY n_passes DESC, n_vehicles DESC, lat1, lon1, lat2, lon2
         LIMIT (SELECT least(200000, greatest(250, 8 * least(25000, greatest(50, CAST(ceil(count(*) / 100.0) AS BIGINT)))))
             FROM edges WHERE n_passes >= 1)""",
+    # Road chains, grown one edge at a time from the busiest edge left on each path.
+    "edge_ranked": f"""
+        SELECT *, {bucket(bearing("lat1", "lon1", "lat2", "lon2"))} AS bucket, {hav("lat1", "lon1", "lat2", "lon2")} AS length_km,
+            printf('%.5f:%.5f', lat1, lon1) AS start_key, printf('%.5f:%.5f', lat2, lon2) AS end_key,
+            lat1 || '|' || lon1 || '|' || lat2 || '|' || lon2 || '|1' AS edge_id,
+            CAST(row_number() OVER (ORDER BY n_passes DESC, n_vehicles DESC, lat1, lon1, lat2, lon2) AS INTEGER) AS rk
+        FROM busy_edges""",
+    "edge_next": """
+        SELECT a.rk, b.rk AS nxt FROM edge_ranked a JOIN edge_ranked b ON b.bucket = a.bucket AND b.start_key = a.end_key
+        WHERE (SELECT count(*) FROM edge_ranked x WHERE x.bucket = a.bucket AND x.start_key = a.end_key) = 1
+            AND (SELECT count(*) FROM edge_ranked y WHERE y.bucket = a.bucket AND y.end_key = a.end_key) = 1""",
+    "edge_path": """
+        SELECT rk AS head, rk, 1 AS place FROM edge_ranked WHERE rk NOT IN (SELECT nxt FROM edge_next)
+        UNION ALL SELECT p.head, n.nxt, p.place + 1 FROM edge_path p JOIN edge_next n ON n.rk = p.rk""",
+    "edge_comp": """
+        SELECT head, list(p.rk ORDER BY place) AS rks, list(length_km ORDER BY place) AS lens
+        FROM edge_path p JOIN edge_ranked e ON e.rk = p.rk GROUP BY head""",
+    "greedy": """
+        SELECT head, rks, lens, list_transform(rks, lambda x: 0) AS owner, 0 AS lo, 0 AS hi, 0.0e0 AS km, 0 AS seed,
+            'f' AS mode, false AS done FROM edge_comp
+        UNION ALL
+        SELECT head, rks, lens,
+            CASE WHEN pos IS NULL THEN owner ELSE list_transform(owner, lambda x, i: CASE WHEN i = pos
+                THEN (CASE WHEN act = 'seed' THEN best ELSE seed END) ELSE x END) END,
+            CASE WHEN act IN ('seed', 'back') THEN pos ELSE lo END, CASE WHEN act IN ('seed', 'fwd') THEN pos ELSE hi END,
+            CASE act WHEN 'seed' THEN lens[pos] WHEN 'turn' THEN km ELSE km + lens[pos] END,
+            CASE WHEN act = 'seed' THEN best ELSE seed END,
+            CASE act WHEN 'seed' THEN 'b' WHEN 'turn' THEN 'f' ELSE mode END, act = 'seed' AND best IS NULL
+        FROM (SELECT *, CAST(CASE act WHEN 'back' THEN lo - 1 WHEN 'fwd' THEN hi + 1
+                WHEN 'seed' THEN list_position(rks, best) END AS INTEGER) AS pos
+            FROM (SELECT *, list_min(list_filter(rks, lambda x, i: owner[i] = 0)) AS best,
+                    CASE WHEN mode = 'b' AND lo > 1 AND owner[lo - 1] = 0 AND NOT (km >= 1 AND km + lens[lo - 1] > 8) THEN 'back'
+                        WHEN mode = 'b' THEN 'turn'
+                        WHEN seed > 0 AND hi < len(rks) AND owner[hi + 1] = 0 AND NOT (km >= 1 AND km + lens[hi + 1] > 8) THEN 'fwd'
+                        ELSE 'seed' END AS act
+                FROM greedy WHERE NOT done))""",
+    "chained": """
+        SELECT e.*, s.edge_id AS chain_id, CAST(row_number() OVER (PARTITION BY own ORDER BY place) - 1 AS INTEGER) AS pos
+        FROM (SELECT unnest(rks) AS rk, unnest(owner) AS own, unnest(range(len(rks))) AS place FROM greedy WHERE done) g
+        JOIN edge_ranked e ON e.rk = g.rk JOIN edge_ranked s ON s.rk = g.own""",
+    "chain_ends": f"""
+        SELECT chain_id, arg_min(lat1, pos) AS lat1, arg_min(lon1, pos) AS lon1, arg_max(lat2, pos) AS lat2,
+            arg_max(lon2, pos) AS lon2, max(n_vehicles) AS unique_vehicles, max(n_passes) AS passes,
+            {even("sum(length_km)", 2)} AS length_km, CAST(count(*) AS INTEGER) AS raw_segments,
+            list_prepend({{'lat': arg_min(lat1, pos), 'lon': arg_min(lon1, pos)}}, list({{'lat': lat2, 'lon': lon2}} ORDER BY pos)) AS coordinates
+        FROM chained GROUP BY chain_id""",
+    "road_map": f"""
+        SELECT 'weg:' || b || ':' || printf('%.3f:%.3f', {even("(lat1 + lat2) / 2", 3)}, {even("(lon1 + lon2) / 2", 3)}) || ':' || raw_segments AS segment_id,
+            {even("lat1", 6)} AS lat1, {even("lon1", 6)} AS lon1, {even("lat2", 6)} AS lat2, {even("lon2", 6)} AS lon2,
+            unique_vehicles, passes, CASE WHEN best.km <= 3 THEN best.name
+                ELSE printf('Wegvlak bij %.3f, %.3f', (lat1 + lat2) / 2, (lon1 + lon2) / 2) END AS road_name,
+            {pick(DIRECTION_LABELS, "b")} AS direction, {even("turn", 0)} AS bearing, length_km, raw_segments,
+            {even("least(20.0e0, greatest(1.5e0, length_km / 2 + 1.5e0))", 2)} AS radius_km, coordinates
+        FROM (SELECT *, {bearing("lat1", "lon1", "lat2", "lon2")} AS turn,
+                {bucket(bearing("lat1", "lon1", "lat2", "lon2"))} AS b,
+                {name_near("(lat1 + lat2) / 2", "(lon1 + lon2) / 2")} AS best FROM chain_ends)
+        ORDER BY passes DESC, unique_vehicles DESC, segment_id, lat1, lon1
+        LIMIT (SELECT greatest(50, CAST(ceil(least(25000, greatest(50, ceil(count(*) / 100.0))) / 6.0) AS BIGINT)) FROM edges)""",
+    "break_lines": f"""
+        SELECT l.segment_id, {project("lat", "lon", "((b * 45 + 180) % 360)", 0.75, "lat")} AS lat1,
+            {project("lat", "lon", "((b * 45 + 180) % 360)", 0.75, "lon")} AS lon1,
+            {project("lat", "lon", "(b * 45)", 0.75, "lat")} AS lat2, {project("lat", "lon", "(b * 45)", 0.75, "lon")} AS lon2,
+            {pick(DIRECTION_LABELS, "b")} AS direction, peak_mw, total_kwh, vehicles, passages, 0.75e0 AS radius_km
+        FROM (SELECT 'pauze:' || bearing_bucket || ':' || printf('%.3f:%.3f', {even("break_lat", 3)},
+                {even("break_lon", 3)}) AS segment_id, any_value(bearing_bucket) AS b, avg(break_lat) AS lat,
+                avg(break_lon) AS lon, {even("sum(demand_kwh)", 1)} AS total_kwh, count(DISTINCT vehicle) AS vehicles,
+                count(*) AS passages FROM breaks GROUP BY 1) l
+        JOIN (SELECT segment_id, {even("max(s) / 1000", 3)} AS peak_mw FROM (
+                SELECT 'pauze:' || bearing_bucket || ':' || printf('%.3f:%.3f', {even("break_lat", 3)},
+                    {even("break_lon", 3)}) AS segment_id, sum(required_kw) AS s FROM quarters GROUP BY 1, slot_start)
+            GROUP BY 1) p ON p.segment_id = l.segment_id
+        ORDER BY passages DESC, peak_mw DESC, total_kwh DESC, l.segment_id LIMIT 4000""",
     # Demand of overnight standstills: 590 kWh each, over the hours they last.
     "loads": """
         SELECT vehicle_code, plates, trip_date, depot_id, prev_end_time AS start_time, day_start AS end_time,
@@ -411,7 +484,7 @@ CTES: dict[str, str] = {
             || (user_id % 12) || ', Nederland' AS base FROM events""",
 }
 
-RECURSIVE = {"driven"}
+RECURSIVE = {"driven", "edge_path", "greedy"}
 _NAMES = sorted(CTES, key=len, reverse=True)
 _TABLES = {name: re.compile(rf"\b(?:FROM|JOIN)\s+{name}\b") for name in _NAMES}
 
@@ -420,8 +493,7 @@ def _needed(sql: str, seen: list[str]) -> list[str]:
     for name in _NAMES:
         if name not in seen and _TABLES[name].search(sql):
             if name in RECURSIVE:
-                inner = re.sub(r"FROM driven\b", "", CTES[name])
-                _needed(inner, seen)
+                _needed(re.sub(rf"FROM {name}\b", "", CTES[name]), seen)
             else:
                 _needed(CTES[name], seen)
             seen.append(name)

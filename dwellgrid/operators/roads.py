@@ -29,8 +29,8 @@ MAX_LINE_KM = 8.0
 _ENDS = ("lat1", "lon1", "lat2", "lon2")
 NAME_KM = 3.0
 SNAP_KM = 2.0
-# Well over SNAP_KM in both directions up to 70 degrees north.
-SNAP_CELL = 0.1
+# Cells a little over SNAP_KM high, and at least that wide up to 70 degrees north.
+SNAP_CELL = {"lat": 0.02, "lon": 0.06}
 
 # Motorways as (latitude, longitude) points.
 CORRIDORS = {
@@ -416,7 +416,7 @@ def snap_to_road(lines: DataFrame, roads: DataFrame) -> DataFrame:
     """
     centre = ((F.col("lat1") + F.col("lat2")) / 2.0, (F.col("lon1") + F.col("lon2")) / 2.0)
     here = lines.withColumns({"_lat": centre[0], "_lon": centre[1]})
-    here = here.withColumns({"_x": cell("_lat", SNAP_CELL), "_y": cell("_lon", SNAP_CELL)})
+    here = here.withColumns({"_x": cell("_lat", SNAP_CELL["lat"]), "_y": cell("_lon", SNAP_CELL["lon"])})
     pairs = F.arrays_zip(
         F.slice("coordinates", F.lit(1), F.size("coordinates") - 1).alias("a"),
         F.slice("coordinates", F.lit(2), F.size("coordinates") - 1).alias("b"),
@@ -427,7 +427,7 @@ def snap_to_road(lines: DataFrame, roads: DataFrame) -> DataFrame:
 
     def cells(axis: str) -> Column:
         low, high = F.least(f"a.{axis}", f"b.{axis}"), F.greatest(f"a.{axis}", f"b.{axis}")
-        return F.explode(F.sequence(cell(low, SNAP_CELL) - 1, cell(high, SNAP_CELL) + 1))
+        return F.explode(F.sequence(cell(low, SNAP_CELL[axis]) - 1, cell(high, SNAP_CELL[axis]) + 1))
 
     spread = segments.withColumn("_x", cells("lat")).withColumn("_y", cells("lon"))
     km = point_segment_km("_lat", "_lon", F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))

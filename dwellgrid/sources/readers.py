@@ -64,6 +64,8 @@ def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .option("inferSchema", False)
         .option("escape", '"')
         .option("multiLine", False)
+        # A file whose header differs from the others in its folder is an error, not shifted columns.
+        .option("enforceSchema", False)
         .csv(paths if isinstance(paths, str) else list(paths))
     )
     return raw.select([F.nullif(quoted(name), F.lit("")).alias(name) for name in raw.columns])

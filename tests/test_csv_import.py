@@ -82,6 +82,13 @@ def test_files_are_joined_by_header(spark, tmp_path):
     assert rows == {("W1", "T1", None, "a.csv"), (None, "T2", None, "b.csv")}
 
 
+def test_one_folder_has_one_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("wagencode,trip_id\nW1,T1\n")
+    (tmp_path / "b.csv").write_text("trip_id,wagencode\nT2,W2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.scan_trip_csv(spark, [str(tmp_path)]).collect()
+
+
 def test_coordinates_or_a_lookup_are_needed(spark):
     raw = spark.createDataFrame([("W1", "T1", "2026-01-01")], "wagencode string, trip_id string, trip_date string")
     with pytest.raises(ValueError, match="geocode"):
