@@ -160,7 +160,8 @@ def overnight_location_ranking(
         shown = shown.withColumn("nearest_charger_km", F.lit(-1.0))
     else:
         shown = shown.join(nearest_charger(shown.select("depot_id", "lat", "lon"), chargers), key, "left")
-    return shown.select(
+    # The joins lose the order of the at most 500 rows.
+    return shown.orderBy(F.desc("mwh"), F.desc("unique_vehicles"), "depot_id").select(
         "depot_id",
         bankers_round("lat", 6).alias("lat"),
         bankers_round("lon", 6).alias("lon"),
