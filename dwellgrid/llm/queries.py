@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import html, pieces, tokens, warc
+from dwellgrid.llm import html, pieces, pii, tokens, toxicity, warc
 from dwellgrid.llm.common import table
 from dwellgrid.session import new_folder
 
@@ -25,12 +25,23 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, folder, "documents"), pieces.model_path(TOKENIZER))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 @query
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), pieces.model_path(PIECES), digest=True)
