@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import html, pieces, pii, tokens, toxicity, warc
+from dwellgrid.llm import decontamination, embeddings, html, near_copies, pieces, pii, tokens, toxicity, warc
 from dwellgrid.llm.common import table
 from dwellgrid.session import new_folder
 
@@ -31,12 +31,27 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
+@query
+def op2_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.groups(table(spark, folder, "documents")).drop("node")
+
+
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, folder, "documents"), pieces.model_path(TOKENIZER))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_copies(table(spark, folder, "embeddings"))
+
+
 @query
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
