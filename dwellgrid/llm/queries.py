@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import decontamination, embeddings, html, near_copies, pieces, pii, tokens, toxicity, warc
+from dwellgrid.llm import decontamination, embeddings, html, near_copies, pieces, pii, substrings, tokens, toxicity, warc
 from dwellgrid.llm.common import table
 from dwellgrid.session import new_folder
 
@@ -41,6 +41,11 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove(table(spark, folder, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, folder, "documents"), pieces.model_path(TOKENIZER))
