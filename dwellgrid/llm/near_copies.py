@@ -6,9 +6,10 @@ text order: texts agree on a sketch if they share these k-mers and their order,
 similarity. Documents with a sketch in common are candidates, and a banded alignment of their words
 decides: similar means that at most a fifth of the longer text's words have to be edited.
 
-Equal texts are one class. In each bucket all classes are first compared with the smallest, which joins
-large groups with few comparisons. Buckets that still hold several components are then compared in full
-between components, behind a bound that loses nothing (word counts in bins differ by at most two per edit).
+Equal texts are one class. In each bucket all classes are first compared with one of them, in a few rounds
+with another one each time, and only across components: that joins large groups with few comparisons.
+Buckets that still hold several components are then compared in full between components. Everything that
+is aligned has met a bound that loses nothing (word counts in bins differ by at most two per edit).
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from dwellgrid.session import materialize
 WORDS = 5
 SIMILARITY = 0.8
 SKETCHES, PICKED = 48, 3
+#: Rounds in which a bucket is compared with one of its members; the tables that the first of them looks at.
+ROUNDS, FIRST_TABLES = 3, 6
 BINS = 64
 #: Distinct words a worker remembers the hash of.
 KEPT = 200_000
@@ -144,7 +147,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.record_batch([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(node(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.select(node(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     texts = materialize(texts, "texts")
     side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
@@ -163,21 +166,28 @@ def groups(docs: DataFrame, key: str = "doc_id", value: str = "text") -> DataFra
     made = materialize(sketches(rows), "sketches")
     classes = made.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("buckets").alias("buckets"))
     classes = materialize(classes, "classes")
-    bucketed = classes.select("node", F.explode("buckets").alias("bucket"))
-    hubs = bucketed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    member = materialize(bucketed.join(hubs, "bucket").select("bucket", "hub", "node"), "members")
+    bucketed = classes.select("node", F.posexplode("buckets").alias("table", "bucket"))
+    sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    member = materialize(bucketed.join(sizes, "bucket"), "members")
     shape = classes.select("node", "n_words", "bins")
-    first = materialize(verified(_near(member.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), shape), rows), "links")
-    part = components(first)
+    links, named = None, member.withColumn("component", F.col("node"))
+    for turn in range(ROUNDS):
+        # The first round has the first few tables only: they join most of each group.
+        some = named.where(F.col("table") < FIRST_TABLES) if turn == 0 else named
+        hub = F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("hub")
+        hubs = some.groupBy("bucket").agg(hub, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        spokes = some.join(hubs.select("bucket", "hub"), "bucket").where("hub.component <> component")
+        pairs = spokes.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+        found = materialize(verified(_near(pairs, shape), rows), "links")
+        links = found if links is None else links.unionByName(found)
+        named = _named(member, components(links))
     # Buckets whose members are not all joined yet: compare across components.
-    named = member.select("bucket", "node").join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     left = materialize(named.join(open_, "bucket", "left_semi").join(shape, "node"), "open")
     x, y = left.alias("x"), left.alias("y")
     across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _close("x.", "y."))
     more = materialize(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
-    links = first.unionByName(verified(more, rows))
-    final = components(links)
+    final = components(links.unionByName(verified(more, rows)))
     labelled = classes.select("node", "first_id").join(final, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     heads = labelled.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("node", F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("head"))
     of = labelled.join(heads, "component").select("node", "class_id", "head")
@@ -186,6 +196,11 @@ def groups(docs: DataFrame, key: str = "doc_id", value: str = "text") -> DataFra
     )
 
 
+def _named(member: DataFrame, part: DataFrame) -> DataFrame:
+    named = member.join(part, "node", "left").select("table", "bucket", "node", F.coalesce("component", "node").alias("component"))
+    return materialize(named, "named")
+
+
 def _close(x: str, y: str):
     """Bounds that every similar pair meets: word counts, and word counts in bins."""
     longer = F.greatest(F.col(f"{x}n_words"), F.col(f"{y}n_words"))
