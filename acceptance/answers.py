@@ -504,19 +504,6 @@ ANSWERS: dict[str, str] = {
         SELECT {TRIP}, array_to_string(CASE WHEN n <= 80 THEN range(n)
             ELSE list_filter(range(n), lambda i: i % CAST(ceil(n / 78.0) AS BIGINT) = 0 OR i = n - 1) END, ',') AS points
         FROM (SELECT *, CAST(floor(distance_km) AS BIGINT) + 1 AS n FROM trips)""",
-    # Trip charging.
-    "trip_charge_events": f"SELECT {TRIP}, stop_seq, lat, lon, address, {six('charge_kwh', 'charge_min')} FROM charges",
-    "charge_hotspots": f"""
-        SELECT {even("lat", 3)} AS lat, {even("lon", 3)} AS lon, address, count(*) AS events,
-            count(DISTINCT vehicle_code) AS vehicles, {even("sum(charge_kwh)", 0)} AS total_kwh,
-            {even("avg(charge_min)", 1)} AS avg_charge_min
-        FROM charges GROUP BY 1, 2, 3 ORDER BY events DESC, total_kwh DESC, lat, lon, address LIMIT 50""",
-    "trip_charge_summary": """
-        SELECT * FROM charged_trips ORDER BY charge_events DESC, charge_kwh DESC, trip_id LIMIT 100""",
-    "trip_charge_totals": f"""
-        SELECT (SELECT count(*) FROM charged_trips) AS trips,
-            (SELECT count(*) FROM charged_trips WHERE charge_events > 0) AS trips_with_event, count(*) AS charge_events,
-            {even("sum(charge_kwh)", 0)} AS total_kwh, {even("sum(charge_min) / 60", 1)} AS charge_hours FROM charges""",
     # Fleet.
     "fleet_trip_stats": "SELECT * FROM stats",
     "fleet_depots": """

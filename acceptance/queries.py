@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from acceptance.dataset import Dataset, dataset
 from dwellgrid.functions import clock, geo, text
-from dwellgrid.operators import aggregates, demand, fleet, ingest, nearest, overview, roads, tables, trip_charging
+from dwellgrid.operators import aggregates, demand, fleet, ingest, nearest, overview, roads, tables
 from dwellgrid.operators import breaks as brk
 from dwellgrid.operators import filters as flt
 from dwellgrid.operators import power as pwr
-from dwellgrid.params import Breaks, ChargerFilter, Filter, Power, Road, Scenario, TripCharging
+from dwellgrid.params import Breaks, ChargerFilter, Filter, Power, Road, Scenario
 from dwellgrid.plans import questions
 from dwellgrid.session import materialize, new_folder
 from dwellgrid.sources import writers
@@ -27,7 +27,6 @@ SOME = Filter(
 )
 IN_ZONE, OUT_OF_ZONE = Filter(ze_mode="in"), Filter(ze_mode="out")
 VEHICLES = ("W1", "nl 7 x", "NL-11-X", "W30")
-CHAIN_RUN = TripCharging(kwh_per_km=3.0, capacity_kwh=100.0, threshold_pct=30.0)
 TRIP = ["vehicle_code", "trip_date", "trip_id"]
 EVERY_LOCATION = Power(top_locations=50)
 CHERRY_PICK = Power(scenario_mode="cherry-pick", scenario_years=(2026, 2027, 2030, 2035))
@@ -826,33 +825,6 @@ def snap_to_road(d):
     return roads.snap_to_road(lines, materialize(roads.road_map(_full(d)), "lines")).withColumn("coordinates", F.to_json("coordinates"))
 
 
-# --- trip charging -------------------------------------------------------------------------------
-
-
-@query
-def trip_charge_events(d):
-    found = trip_charging.trip_charge_events(d.day_chains, run=CHAIN_RUN)
-    return found.select(*TRIP, "stop_seq", "lat", "lon", "address", *six("charge_kwh", "charge_min"))
-
-
-@query
-def charge_hotspots(d):
-    return trip_charging.charge_hotspots(trip_charging.trip_charge_events(d.day_chains, run=CHAIN_RUN))
-
-
-@query
-def trip_charge_summary(d):
-    return trip_charging.trip_charge_summary(trip_charging.trip_charge_trips(d.day_chains, run=CHAIN_RUN))
-
-
-@query
-def trip_charge_totals(d):
-    return trip_charging.trip_charge_totals(
-        trip_charging.trip_charge_trips(d.day_chains, run=CHAIN_RUN),
-        trip_charging.trip_charge_events(d.day_chains, run=CHAIN_RUN),
-    )
-
-
 # --- fleet ---------------------------------------------------------------------------------------
 
 

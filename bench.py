@@ -35,7 +35,6 @@ HEADLINE = [
     "break_events",
     "break_demand_lines",
     "break_hourly_profile",
-    "trip_charge_events",
     "road_lines",
     "fleet_depots",
 ]

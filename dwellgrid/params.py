@@ -114,26 +114,6 @@ class Road:
         return (self.lon1 + self.lon2) / 2.0
 
 
-@dataclass(frozen=True)
-class TripCharging:
-    """Battery assumptions of the trip charging run."""
-
-    kwh_per_km: float = 1.2
-    capacity_kwh: float = 590.0
-    start_soc_pct: float = 100.0
-    threshold_pct: float = 15.0
-    max_charge_kw: float = 350.0
-
-    def normalized(self) -> TripCharging:
-        return TripCharging(
-            kwh_per_km=clamp(self.kwh_per_km, 0.5, 3.0),
-            capacity_kwh=clamp(self.capacity_kwh, 100, 1_500),
-            start_soc_pct=clamp(self.start_soc_pct, 50, 100),
-            threshold_pct=clamp(self.threshold_pct, 5, 30),
-            max_charge_kw=clamp(self.max_charge_kw, 50, 1_000),
-        )
-
-
 @dataclass(frozen=True)
 class Inflow:
     """Electric vehicles expected to have arrived by a year."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.operators import breaks as brk
-from dwellgrid.operators import demand, fleet, overview, roads, trip_charging
+from dwellgrid.operators import demand, fleet, overview, roads
 from dwellgrid.operators import power as pwr
 from dwellgrid.operators.filters import (
     filter_overnight,
@@ -14,7 +14,7 @@ from dwellgrid.operators.filters import (
     filter_within_radius,
     road_variant,
 )
-from dwellgrid.params import Breaks, ChargerFilter, Filter, Power, Road, Scenario, TripCharging
+from dwellgrid.params import Breaks, ChargerFilter, Filter, Power, Road, Scenario
 from dwellgrid.plans.tables import Tables
 from dwellgrid.session import materialize
 from dwellgrid.sources import writers
@@ -186,16 +186,6 @@ def dashboard(t: Tables, edges: DataFrame | None = None, flt: Filter = Filter(),
     return parts
 
 
-def trip_charging_run(t: Tables, flt: Filter = Filter(), run: TripCharging = TripCharging()) -> Parts:
-    events = materialize(trip_charging.trip_charge_events(t.stops, flt, run), "charge-events")
-    trips = materialize(trip_charging.trip_charge_trips(t.stops, flt, run), "charge-trips")
-    return {
-        "totals": trip_charging.trip_charge_totals(trips, events),
-        "hotspots": trip_charging.charge_hotspots(events),
-        "trips": trip_charging.trip_charge_summary(trips),
-    }
-
-
 def fleet_bases(t: Tables, depots: DataFrame, vehicles: DataFrame, geocode: DataFrame) -> Parts:
     stats = fleet.fleet_trip_stats(t.stops)
     return {

@@ -9,7 +9,7 @@ import pytest
 from fixture_data import CHARGER_SCHEMA, CHARGERS, EDGES, HEAT, STOPS_SCHEMA, stop_rows
 
 from dwellgrid.operators import roads
-from dwellgrid.params import Breaks, ChargerFilter, Filter, Road, Scenario, TripCharging
+from dwellgrid.params import Breaks, ChargerFilter, Filter, Road, Scenario
 from dwellgrid.plans import questions
 from dwellgrid.plans.tables import build_from_stops, open_tables
 from dwellgrid.session import new_folder
@@ -114,14 +114,6 @@ def test_road_map_refuses_filters_without_a_table(edges, heat):
     assert parts["lines"].count() == 0
 
 
-def test_trip_charging(tables):
-    run = TripCharging(kwh_per_km=3.0, capacity_kwh=100, threshold_pct=95, max_charge_kw=100)
-    parts = questions.trip_charging_run(tables, run=run)
-    totals = one(parts, "totals")
-    assert totals.trips == 9 and totals.charge_events > 0
-    assert parts["hotspots"].count() > 0 and parts["trips"].count() == 9
-
-
 @pytest.mark.parametrize(
     ("flt", "names"),
     [

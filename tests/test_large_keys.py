@@ -9,9 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.clock import HOUR_MICROS, micros
-from dwellgrid.operators import breaks, ingest, power, trip_charging
+from dwellgrid.operators import breaks, ingest, power
 from dwellgrid.operators.ordered import Step, by_key
-from dwellgrid.params import TripCharging
 
 START = datetime(2026, 1, 1)
 
@@ -96,43 +95,3 @@ def test_shifts(spark):
     plain = breaks.break_trip_labels(trips)
     assert plain.where("is_reset").count() > 3
     same(plain, breaks.break_trip_labels(trips, hot_rows=0))
-
-
-def _charges(points, run):
-    """The rule, stop by stop."""
-    from math import asin, cos, radians, sin, sqrt
-
-    soc, before, events = run.capacity_kwh * run.start_soc_pct / 100, None, []
-    for seq, lat, lon in points:
-        if before:
-            a, b = sin(radians(lat - before[0]) / 2) ** 2, sin(radians(lon - before[1]) / 2) ** 2
-            soc -= 2 * 6371 * asin(sqrt(a + cos(radians(before[0])) * cos(radians(lat)) * b)) * run.kwh_per_km
-        if soc < run.capacity_kwh * run.threshold_pct / 100:
-            events.append((seq, round(run.capacity_kwh - max(soc, 0), 6)))
-            soc = run.capacity_kwh
-        before = (lat, lon)
-    return events, round(soc / run.capacity_kwh * 100, 1)
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_trip_charging_on_long_trips(spark, seed):
-    draw = random.Random(seed)
-    run = TripCharging(kwh_per_km=2.0, capacity_kwh=150, start_soc_pct=70, threshold_pct=20).normalized()
-    trips = {
-        f"T{n}": [(i, 52 + draw.random() * draw.choice((0.01, 0.3, 1.0)), 5 + draw.random()) for i in range(size)]
-        for n, size in enumerate((1, 3, 40, 160))
-    }
-    rows = [("V", START.date(), trip, "travel", i, lat, lon, "x") for trip, points in trips.items() for i, lat, lon in points]
-    stops = spark.createDataFrame(
-        rows, "vehicle_code string, trip_date date, trip_id string, action string, stop_seq int, lat double, lon double, address string"
-    )
-    expected = {trip: _charges(points, run) for trip, points in trips.items()}
-    for limit in (1000, 10):
-        found = trip_charging.trip_charge_events(stops, run=run, max_folded=limit)
-        events = sorted((r.trip_id, r.stop_seq, round(r.charge_kwh, 6)) for r in found.collect())
-        assert events == sorted((trip, *event) for trip, (listed, _) in expected.items() for event in listed)
-        totals = trip_charging.trip_charge_trips(stops, run=run, max_folded=limit).collect()
-        assert {r.trip_id: (r.stops, r.charge_events) for r in totals} == {
-            trip: (len(points), len(expected[trip][0])) for trip, points in trips.items()
-        }
-        assert all(abs(r.end_soc_pct - expected[r.trip_id][1]) < 0.11 for r in totals)
