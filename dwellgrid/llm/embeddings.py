@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,50 +72,48 @@ def buckets(vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit(values: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
-    x = np.array(values.to_pylist(), dtype=np.float64)
-    return x / np.linalg.norm(x, axis=1)[:, None]
-
-
 def hashed(classes: DataFrame) -> DataFrame:
-    """``node, bucket``: the distinct keys of each vector, with its length so that lengths never meet."""
+    """``node, first_id, copies, vector`` with ``size`` and the bucket ``keys`` of each vector."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            vectors, nodes = part.column(1).to_pylist(), part.column(0).to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_size.setdefault(len(v), []).append(i)
-            for places in by_size.values():
+            vectors = part.column(3)
+            sizes, flat = np.asarray(pc.list_value_length(vectors)), np.asarray(vectors.flatten())
+            starts = np.cumsum(sizes) - sizes
+            keys = np.empty((part.num_rows, 2 * TABLES), np.int64)
+            for size in np.unique(sizes):
+                places = np.flatnonzero(sizes == size)
                 for at in range(0, len(places), 2048):
                     some = places[at : at + 2048]
-                    x = np.array([vectors[i] for i in some], dtype=np.float64)
-                    keys = buckets(x / np.linalg.norm(x, axis=1)[:, None])
-                    yield pa.record_batch([pa.array([nodes[i] for i in some]), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "keys"])
+                    x = flat[starts[some][:, None] + np.arange(size)]
+                    keys[some] = buckets(x / np.linalg.norm(x, axis=1)[:, None])
+            ends = pa.array(np.arange(0, keys.size + 1, 2 * TABLES, dtype=np.int32))
+            columns = [*part.columns, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, keys.ravel())]
+            yield pa.record_batch(columns, ["node", "first_id", "copies", "vector", "size", "keys"])
 
-    found = classes.select("node", "vector").mapInArrow(batches, "node string, keys array<bigint>")
-    return found.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    rows = classes.select("node", "first_id", "copies", "vector")
+    return rows.mapInArrow(batches, "node string, first_id long, copies long, vector array<double>, size int, keys array<bigint>")
 
 
-def _compare(nodes: list[str], first_ids: list[int], copies: np.ndarray, x: np.ndarray, key: int, sides: np.ndarray):
+def _compare(key: int, own: np.ndarray, nodes: list[str], copies: np.ndarray, x: np.ndarray, keys: np.ndarray, within: bool):
     """Links of one group: for each member the linked rows, and a star over each joined set."""
-    keys = buckets(x)
-    tables = np.arange(2 * TABLES) // 2
-    here = int(np.flatnonzero((keys == key).any(axis=0))[0]) // 2
-    near = x @ x.T >= COSINE
-    np.fill_diagonal(near, False)
-    near &= sides
-    a, b = np.nonzero(np.triu(near))
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.triu(x @ x.T >= COSINE, 1)
+    if not within:
+        near &= own[:, None] != own[None, :]
+    a, b = np.nonzero(near)
     if not len(a):
         return
+    tables = np.arange(2 * TABLES) // 2
+    here = int(np.flatnonzero((keys == key).any(axis=0))[0]) // 2
     earliest = np.full(len(a), here)
     lowest = np.full(len(a), np.iinfo(np.int64).max)
     for t in range(here + 1):  # the first table, and the smallest key in it, that hold both
-        own, other = keys[a][:, tables == t], keys[b][:, tables == t]
+        one, other = keys[a][:, tables == t], keys[b][:, tables == t]
         for i in range(2):
             for j in range(2):
-                same = (own[:, i] == other[:, j]) & (earliest >= t)
-                lowest = np.where(same & ((earliest > t) | (own[:, i] < lowest)), own[:, i], lowest)
+                same = (one[:, i] == other[:, j]) & (earliest >= t)
+                lowest = np.where(same & ((earliest > t) | (one[:, i] < lowest)), one[:, i], lowest)
                 earliest = np.where(same, t, earliest)
     mine = (earliest == here) & (lowest == key)
     links = np.zeros(len(nodes), np.int64)
@@ -128,7 +127,7 @@ def _compare(nodes: list[str], first_ids: list[int], copies: np.ndarray, x: np.n
             i = parent[i]
         return i
 
-    for i, j in zip(a.tolist(), b.tolist()):
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
         i, j = root(i), root(j)
         if i != j:
             parent[max(i, j)] = min(i, j)
@@ -138,57 +137,55 @@ def _compare(nodes: list[str], first_ids: list[int], copies: np.ndarray, x: np.n
 
 
 def linked(classes: DataFrame) -> DataFrame:
-    """``node, links, head``: parts of each class's links, and a class it is joined with."""
-    keys = materialize(hashed(classes), "keys")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    """``node, links, head`` of ``hashed`` classes: parts of each class's links, and a class it is joined with."""
+    keys = classes.select("node", "size", F.explode("keys").alias("key"))
+    sizes = keys.groupBy("key", "size").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    shared = keys.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", own)
+    shared = keys.join(sizes, ["key", "size"]).withColumn("blocks", blocks).withColumn("own", own)
     shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     shared = shared.select("node", "key", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    full = shared.join(classes, "node").select("key", "low", "high", "own", "node", "copies", "vector")
-    spread = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    place = ["key", "size", "low", "high"]
+    full = shared.join(classes, "node").select(*place, "own", "node", "copies", "vector", "keys")
+    spread = full.repartition(*place).sortWithinPartitions(*place, "node")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        name = lambda p, i: tuple(p.column(c)[i].as_py() for c in range(3))
-
-        def group(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, low, high = (rows.column(c)[0].as_py() for c in range(3))
-            own = rows.column(3).to_numpy()
-            vectors = rows.column(6).to_pylist()
-            out = []
-            for size in {len(v) for v in vectors}:
-                at = [i for i, v in enumerate(vectors) if len(v) == size]
-                if len(at) < 2:
-                    continue
-                x = np.array([vectors[i] for i in at], dtype=np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                side = own[at]
-                sides = np.ones((len(at), len(at)), bool) if low == high else side[:, None] != side[None, :]
-                nodes = [rows.column(4)[i].as_py() for i in at]
-                out += _compare(nodes, [], rows.column(5).to_numpy()[at], x, key, sides)
-            if out:
-                a, b, c = zip(*out)
-                yield pa.record_batch([pa.array(a), pa.array(b, pa.int64()), pa.array(c)], ["node", "links", "head"])
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = pa.Table.from_batches(held)
-                held.clear()
-                if rows.num_rows > 1:
-                    yield from group(rows)
+        held: list[tuple] = []  # the pieces of one group, which may run over several batches
+        found: list[tuple] = []
+
+        def close() -> None:
+            (key, _, low, high), pieces = held[0][0], [piece[1:] for piece in held]
+            held.clear()
+            own, nodes, copies, x, keys = zip(*pieces, strict=True)
+            if sum(map(len, own)) > 1:
+                names = [node for some in nodes for node in some]
+                found.extend(_compare(key, np.concatenate(own), names, np.concatenate(copies), np.concatenate(x), np.concatenate(keys), low == high))
+
+        def batch() -> pa.RecordBatch:
+            node, links, head = zip(*found, strict=True)
+            found.clear()
+            return pa.record_batch([pa.array(node), pa.array(links, pa.int64()), pa.array(head)], ["node", "links", "head"])
 
         for part in parts:
             if not part.num_rows:
                 continue
-            marks = np.stack([part.column(c).to_numpy() for c in range(3)])
+            marks = np.stack([np.asarray(part.column(c), dtype=np.int64) for c in range(4)])
+            own, nodes, copies = np.asarray(part.column(4)), part.column(5).to_pylist(), np.asarray(part.column(6))
+            flat, keys = np.asarray(part.column(7).flatten()), np.asarray(part.column(8).flatten()).reshape(-1, 2 * TABLES)
+            starts = np.concatenate([[0], np.cumsum(marks[1])])
             cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), part.num_rows]
             for begin, end in zip(cuts, cuts[1:]):
-                if held and name(held[0], 0) != name(part, begin):
-                    yield from flush()
-                held.append(part.slice(begin, end - begin))
-        yield from flush()
+                mark = tuple(marks[:, begin].tolist())
+                if held and held[0][0] != mark:
+                    close()
+                x = flat[starts[begin] : starts[end]].reshape(end - begin, -1)
+                held.append((mark, own[begin:end], nodes[begin:end], copies[begin:end], x, keys[begin:end]))
+            if found:
+                yield batch()
+        if held:
+            close()
+        if found:
+            yield batch()
 
     return spread.mapInArrow(batches, "node string, links long, head string")
 
@@ -208,7 +205,7 @@ def near_copies(vectors: DataFrame, key: str = "vec_id", value: str = "embedding
     rows = rows.withColumn("node", F.when(F.col("good"), digest))
     good = rows.where("good")
     classes = good.groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    classes = materialize(classes, "classes")
+    classes = materialize(hashed(classes), "classes")
     found = materialize(linked(classes), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     part = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
