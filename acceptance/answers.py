@@ -85,7 +85,7 @@ def selection_vehicles(loads: str, places: str) -> str:
                 {even("sum(distance_km) * 1.2e0 / 1000", 2)} AS total_mwh, {even("avg(gap_hours)", 1)} AS avg_standing_hours,
                 {even("quantile_cont(required_kw, 0.95)", 0)} AS required_kw
             FROM {loads} GROUP BY vehicle)
-        ORDER BY total_mwh DESC, p95_km DESC, vehicle LIMIT 100"""
+        ORDER BY total_mwh DESC, p95_km DESC, vehicle"""
 
 
 def scenarios(years: tuple[int, ...], cherry: bool) -> str:
@@ -263,19 +263,19 @@ ANSWERS: dict[str, str] = {
                 sum(distance_km) FILTER (carrier_type = 'charter') AS charter FROM trips WHERE {SOME}) t""",
     "stop_heat": """
         SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, greatest(sum(dwell_min), CAST(count(*) AS DOUBLE)) AS weight
-        FROM stops GROUP BY 1, 2 ORDER BY weight DESC, 1, 2 LIMIT 25000""",
+        FROM stops GROUP BY 1, 2 ORDER BY weight DESC, 1, 2""",
     "stop_markers": f"""
         SELECT lat, lon, name, address, vehicles AS unique_vehicles, stops, trips, {even("mean", 1)} AS avg_dwell_min
-        FROM {cells("stops", SOME + " AND dwell_min >= 15")} ORDER BY vehicles DESC, stops DESC, lat, lon LIMIT 250""",
+        FROM {cells("stops", SOME + " AND dwell_min >= 15")} ORDER BY vehicles DESC, stops DESC, lat, lon""",
     "top_stops": f"""
         SELECT lat, lon, name, address, stops, vehicles, trips, {even("dwell / 60", 1)} AS dwell_hours,
-            {even("mean", 1)} AS avg_dwell_min FROM {cells("stops")} ORDER BY vehicles DESC, dwell DESC, lat, lon LIMIT 50""",
+            {even("mean", 1)} AS avg_dwell_min FROM {cells("stops")} ORDER BY vehicles DESC, dwell DESC, lat, lon""",
     "ze_zone_summary": """
         SELECT ze_zone AS zone, ze_start_date AS start_date, count(*) AS stops, count(DISTINCT trip_id) AS trips,
-            count(DISTINCT vehicle_code) AS vehicles FROM stops WHERE in_zez GROUP BY 1, 2 ORDER BY stops DESC LIMIT 50""",
+            count(DISTINCT vehicle_code) AS vehicles FROM stops WHERE in_zez GROUP BY 1, 2 ORDER BY stops DESC""",
     "chargers_ranked": """
         SELECT * FROM chargers WHERE max_power_kw >= 100 AND access IN ('Publiek', 'Semi-publiek')
-        ORDER BY max_power_kw DESC, connectors DESC, name, id LIMIT 1000""",
+        ORDER BY max_power_kw DESC, connectors DESC, name, id""",
     "nearest_charger": f"""
         SELECT printf('%.2f:%.2f', lat1, lon1) AS depot_id, round(min({hav("lat1", "lon1", "lat", "lon")}), 6) AS nearest_charger_km
         FROM (SELECT DISTINCT lat1, lon1 FROM edges)
@@ -290,15 +290,15 @@ ANSWERS: dict[str, str] = {
                 (SELECT min({hav("avg(start_lat)", "avg(start_lon)", "c.lat", "c.lon")}) FROM chargers c
                     WHERE c.access <> 'Privaat') AS near
             FROM overnight GROUP BY depot_id)
-        ORDER BY mwh DESC, unique_vehicles DESC, depot_id LIMIT 250""",
+        ORDER BY mwh DESC, unique_vehicles DESC, depot_id""",
     "selected_day_heat": f"""
         SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, CAST(count(*) AS DOUBLE) AS weight FROM stops
         WHERE (vehicle_code, trip_date) IN (SELECT (vehicle_code, trip_date) FROM overnight WHERE depot_id = '{DEPOT}')
-        GROUP BY 1, 2 ORDER BY weight DESC LIMIT 20000""",
+        GROUP BY 1, 2 ORDER BY weight DESC""",
     "selected_trip_heat": """
         SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, CAST(count(*) AS DOUBLE) AS weight FROM stops
         WHERE (vehicle_code, trip_date, trip_id) IN (SELECT (vehicle_code, trip_date, trip_id) FROM on_road)
-        GROUP BY 1, 2 ORDER BY weight DESC LIMIT 20000""",
+        GROUP BY 1, 2 ORDER BY weight DESC""",
     "daily_distance_of_selection": """
         SELECT vehicle_code, trip_date, day_km FROM days
         WHERE (vehicle_code, trip_date) IN (SELECT (vehicle_code, trip_date) FROM on_road)""",
@@ -391,7 +391,7 @@ ANSWERS: dict[str, str] = {
     "merge_presence_windows": f"""
         SELECT vehicle_code, vehicle_key, vehicle_class, trip_date, trip_id, location_id, location_name, planned_start,
             planned_end, {six("dwell_min")} FROM windows""",
-    "power_location_profile": "SELECT * FROM places ORDER BY peak_kw DESC, vehicles DESC, upper(name), location_id LIMIT 50",
+    "power_location_profile": "SELECT * FROM places ORDER BY peak_kw DESC, vehicles DESC, upper(name), location_id",
     "power_daily_metrics": "SELECT * FROM daily_power",
     "top_power_days": "SELECT * FROM daily_power ORDER BY peak_kw DESC, vehicles DESC, date LIMIT 10",
     "hourly_power_profile": "SELECT * FROM place_hours",
@@ -473,7 +473,7 @@ ANSWERS: dict[str, str] = {
             THEN CAST(0 AS INTEGER) END AS segment_no FROM chained""",
     "road_lines": "SELECT * REPLACE (CAST(to_json(coordinates) AS VARCHAR) AS coordinates) FROM road_map",
     "dashboard_roads": """
-        SELECT * EXCLUDE (coordinates) FROM road_map ORDER BY passes DESC, unique_vehicles DESC, segment_id, lat1, lon1 LIMIT 100""",
+        SELECT * EXCLUDE (coordinates) FROM road_map ORDER BY passes DESC, unique_vehicles DESC, segment_id, lat1, lon1""",
     "corridors": f"""
         SELECT CAST(row_number() OVER (ORDER BY median_passes DESC, max_vehicles DESC, lat, lon) AS INTEGER) AS rank, *
         FROM (SELECT {even("(lat1 + lat2) / 2", 2)} AS lat, {even("(lon1 + lon2) / 2", 2)} AS lon,
@@ -485,7 +485,7 @@ ANSWERS: dict[str, str] = {
     "search_road_lines": """
         SELECT * EXCLUDE (coordinates) FROM road_map
         WHERE upper(road_name) LIKE '%WEGVLAK%' OR upper(direction) LIKE '%WEGVLAK%'
-        ORDER BY length_km, passes DESC, segment_id, lat1, lon1 LIMIT 100""",
+        ORDER BY length_km, passes DESC, segment_id, lat1, lon1""",
     "snap_to_road": f"""
         SELECT l.*, road_id, CAST(to_json(coordinates) AS VARCHAR) AS coordinates
         FROM break_lines l JOIN (
@@ -548,7 +548,7 @@ ANSWERS: dict[str, str] = {
                 count(DISTINCT vehicle_key) DESC, slot) = 1) b ON hour(b.slot) = h.hour""",
     "geojson_features": f"""
         SELECT 'Feature' AS type, 'Point' AS shape, lon, lat, vehicles AS weight, name AS label, stops, trips
-        FROM {cells("stops")} ORDER BY vehicles DESC, stops DESC, lat, lon LIMIT 250""",
+        FROM {cells("stops")} ORDER BY vehicles DESC, stops DESC, lat, lon""",
     # Scalars.
     "haversine_km": f"SELECT {TRIP}, round({hav(*ENDS)}, 6) AS km FROM trips",
     "bearing_degrees": f"SELECT {TRIP}, round({bearing(*ENDS)}, 6) AS bearing FROM trips",

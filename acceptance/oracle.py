@@ -210,7 +210,7 @@ CTES: dict[str, str] = {
     "heat": "SELECT lat1 AS lat, (lon1 + lon2) / 2 AS lon, CAST(n_passes AS DOUBLE) AS weight FROM edges",
     "busy_edges": """
         SELECT * FROM edges WHERE n_passes >= 1 ORDER BY n_passes DESC, n_vehicles DESC, lat1, lon1, lat2, lon2
-        LIMIT (SELECT least(200000, greatest(250, 8 * least(25000, greatest(50, CAST(ceil(count(*) / 100.0) AS BIGINT)))))
+        LIMIT (SELECT greatest(250, 8 * greatest(50, CAST(ceil(count(*) / 100.0) AS BIGINT)))
             FROM edges WHERE n_passes >= 1)""",
     # Road chains, grown one edge at a time from the busiest edge left on each path.
     "edge_ranked": f"""
@@ -269,7 +269,7 @@ CTES: dict[str, str] = {
                 {bucket(bearing("lat1", "lon1", "lat2", "lon2"))} AS b,
                 {name_near("(lat1 + lat2) / 2", "(lon1 + lon2) / 2")} AS best FROM chain_ends)
         ORDER BY passes DESC, unique_vehicles DESC, segment_id, lat1, lon1
-        LIMIT (SELECT greatest(50, CAST(ceil(least(25000, greatest(50, ceil(count(*) / 100.0))) / 6.0) AS BIGINT)) FROM edges)""",
+        LIMIT (SELECT greatest(50, CAST(ceil(greatest(50, ceil(count(*) / 100.0)) / 6.0) AS BIGINT)) FROM edges)""",
     "break_lines": f"""
         SELECT l.segment_id, {project("lat", "lon", "((b * 45 + 180) % 360)", 0.75, "lat")} AS lat1,
             {project("lat", "lon", "((b * 45 + 180) % 360)", 0.75, "lon")} AS lon1,
@@ -283,7 +283,7 @@ CTES: dict[str, str] = {
                 SELECT 'pauze:' || bearing_bucket || ':' || printf('%.3f:%.3f', {even("break_lat", 3)},
                     {even("break_lon", 3)}) AS segment_id, sum(required_kw) AS s FROM quarters GROUP BY 1, slot_start)
             GROUP BY 1) p ON p.segment_id = l.segment_id
-        ORDER BY passages DESC, peak_mw DESC, total_kwh DESC, l.segment_id LIMIT 4000""",
+        ORDER BY passages DESC, peak_mw DESC, total_kwh DESC, l.segment_id""",
     # Demand of overnight standstills: 590 kWh each, over the hours they last.
     "loads": """
         SELECT vehicle_code, plates, trip_date, depot_id, prev_end_time AS start_time, day_start AS end_time,
@@ -389,7 +389,7 @@ CTES: dict[str, str] = {
             UNION ALL SELECT vehicle_code, {even("end_lat", 3)}, {even("end_lon", 3)} FROM trips)
         GROUP BY printf('%.5f:%.5f', lat, lon)
         HAVING count(DISTINCT vehicle_code) >= 5
-            OR count(*) >= (SELECT CASE WHEN count(*) < 30 THEN 3 ELSE 20 END FROM trips)""",
+            OR count(*) >= 20""",
     "moves": """
         SELECT t.*, lag(trip_end) OVER w AS prev_end, lag(end_lat) OVER w AS prev_lat, lag(end_lon) OVER w AS prev_lon,
             epoch_us(trip_end) - epoch_us(trip_start) AS us

@@ -28,7 +28,7 @@ SOME = Filter(
 IN_ZONE, OUT_OF_ZONE = Filter(ze_mode="in"), Filter(ze_mode="out")
 VEHICLES = ("W1", "nl 7 x", "NL-11-X", "W30")
 TRIP = ["vehicle_code", "trip_date", "trip_id"]
-EVERY_LOCATION = Power(top_locations=50)
+EVERY_LOCATION = Power(top_locations=None)
 CHERRY_PICK = Power(scenario_mode="cherry-pick", scenario_years=(2026, 2027, 2030, 2035))
 
 Query = Callable[[Dataset], DataFrame]

@@ -33,9 +33,7 @@ from dwellgrid.session import materialize
 
 ROUTE_QUALITY = "laag: lineaire ritprogressie"
 HALF_LINE_KM = 0.75
-MAX_LINES = 4_000
 RESET_VEHICLES = 5
-FEW_TRIPS = 30
 
 
 def break_trips(trips: DataFrame, stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
@@ -50,8 +48,8 @@ def break_trips(trips: DataFrame, stops: DataFrame, flt: Filter = Filter()) -> D
     )
 
 
-def reset_locations(trips: DataFrame) -> DataFrame:
-    """Cells many vehicles or many trips begin or end in; the bar is lower on very little data."""
+def reset_locations(trips: DataFrame, min_visits: int = 20) -> DataFrame:
+    """Cells many vehicles begin or end in, or ``min_visits`` trips."""
     ends = F.explode(
         F.array(
             F.struct(F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")),
@@ -61,16 +59,13 @@ def reset_locations(trips: DataFrame) -> DataFrame:
     visits = trips.select(F.upper("vehicle_code").alias("_vehicle"), ends.alias("_end")).select(
         "_vehicle", bankers_round("_end.lat", 3).alias("lat"), bankers_round("_end.lon", 3).alias("lon")
     )
-    # Reads no more than the first few rows.
-    found = trips.limit(FEW_TRIPS).agg(F.count(F.lit(1))).scalar()
-    bar = F.when(found < FEW_TRIPS, 3).otherwise(20)
     cells = visits.groupBy(coordinate_key("lat", "lon").alias("_cell")).agg(
         F.count_distinct("_vehicle").alias("_vehicles"),
         F.count(F.lit(1)).alias("_visits"),
         F.avg("lat").alias("lat"),
         F.avg("lon").alias("lon"),
     )
-    return cells.where((F.col("_vehicles") >= RESET_VEHICLES) | (F.col("_visits") >= bar)).select("lat", "lon")
+    return cells.where((F.col("_vehicles") >= RESET_VEHICLES) | (F.col("_visits") >= min_visits)).select("lat", "lon")
 
 
 def _near_resets(moves: DataFrame, resets: DataFrame, radius_km: float) -> DataFrame:
@@ -139,7 +134,7 @@ def shift_sessions(
     named = named.withColumns({"_worked": worked, "usable": usable}).withColumn(
         "plausible", F.coalesce(F.col("usable") & (speed <= breaks.max_kmh), F.lit(False))
     )
-    resets = materialize(reset_locations(trips) if resets is None else resets, "resets")
+    resets = materialize(reset_locations(trips, breaks.min_visits) if resets is None else resets, "resets")
     counted = F.col("plausible")
     move = ["prev_lat", "prev_lon", "start_lat", "start_lon"]
 
@@ -345,9 +340,9 @@ def break_demand_lines(events: DataFrame, breaks: Breaks = Breaks()) -> DataFram
     # The share to keep is a share of the lines that exist: one count over already aggregated rows.
     lines = materialize(lines, "break-lines")
     total = lines.count() if breaks.top_percent > 0 else 0
-    keep = clamp(ceil(total * breaks.top_percent / 100.0), 1, MAX_LINES) if total else 0
+    keep = ceil(total * breaks.top_percent / 100.0)
     ranked = lines.orderBy(F.desc("passages"), F.desc("peak_mw"), F.desc("total_kwh"), "segment_id")
-    return ranked.limit(keep)
+    return ranked if total and keep == total else ranked.limit(keep)
 
 
 def break_demand_detail(events: DataFrame, road: Road, break_h: float = 0.75) -> DataFrame:

@@ -17,13 +17,11 @@ from dwellgrid.functions.text import (
 from dwellgrid.operators.aggregates import first_values, mode_value, quantiles
 from dwellgrid.operators.filters import DAY_KEY, TRIP_KEY, filter_overnight, not_administrative
 from dwellgrid.operators.nearest import nearest_charger
-from dwellgrid.operators.overview import to_cells
+from dwellgrid.operators.overview import first_rows, to_cells
 from dwellgrid.params import Filter, Scenario, clamp
 
 BUCKET_KM = 50
 FIXED_BUCKETS = 15
-MAX_HEAT_CELLS = 20_000
-MAX_LISTED = 40
 
 
 # --- events ------------------------------------------------------------------------------------
@@ -108,7 +106,6 @@ def selected_heat(stops: DataFrame, selection: DataFrame, keys: list[str]) -> Da
         .groupBy("lat", "lon")
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
         .orderBy(F.desc("weight"), "lat", "lon")
-        .limit(MAX_HEAT_CELLS)
     )
 
 
@@ -137,7 +134,7 @@ def overnight_location_ranking(
     """Home locations by the energy their vehicles need."""
     key = ["depot_id"]
     scenario = scenario.normalized()
-    limit = clamp(flt.normalized().marker_top_n, 25, 500)
+    limit = flt.normalized().marker_top_n
     events = filter_overnight(overnight, stops, flt)
     totals = events.groupBy(*key).agg(
         F.avg("start_lat").alias("lat"),
@@ -146,12 +143,12 @@ def overnight_location_ranking(
         F.count_distinct("vehicle_key").alias("unique_vehicles"),
         F.coalesce(F.percentile("gap_hours", 0.5), F.lit(0.0)).alias("median"),
     )
-    shown = (
+    ranked = (
         totals.withColumn("mwh", F.col("events") * F.lit(float(scenario.capacity_kwh)) / 1000.0)
         .where(F.col("unique_vehicles") >= clamp(min_vehicles, 1, 1_000))
         .orderBy(F.desc("mwh"), F.desc("unique_vehicles"), "depot_id")
-        .limit(limit)
     )
+    shown = first_rows(ranked, limit)
     shown = (
         shown.join(mode_value(events, key, "start_address", "_address"), key, "left")
         .join(quantiles(events, key, "day_km", {"p95": 0.95}), key, "left")
@@ -160,7 +157,7 @@ def overnight_location_ranking(
         shown = shown.withColumn("nearest_charger_km", F.lit(-1.0))
     else:
         shown = shown.join(nearest_charger(shown.select("depot_id", "lat", "lon"), chargers), key, "left")
-    # The joins lose the order of the at most 500 rows.
+    # The joins lose the order.
     return shown.orderBy(F.desc("mwh"), F.desc("unique_vehicles"), "depot_id").select(
         "depot_id",
         bankers_round("lat", 6).alias("lat"),
@@ -225,8 +222,10 @@ def fixed_distance_distribution(values: DataFrame, value: str = "day_km") -> Dat
 # --- per vehicle and totals ----------------------------------------------------------------------
 
 
-def selection_vehicles(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
-    """The 100 vehicles that need most energy."""
+def selection_vehicles(
+    events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False, limit: int | None = None
+) -> DataFrame:
+    """The vehicles by the energy they need, the first ``limit`` of them or all."""
     key = ["vehicle"]
     rate = scenario.normalized().kwh_per_km
     loads = event_loads(events, scenario, is_road)
@@ -258,7 +257,7 @@ def selection_vehicles(events: DataFrame, scenario: Scenario = Scenario(), is_ro
         bankers_round("_mean_gap", 1).alias("avg_standing_hours"),
         bankers_round("_p95_kw", 0).alias("required_kw"),
     )
-    return rows.orderBy(F.desc("total_mwh"), F.desc("p95_km"), "vehicle").limit(100).drop("vehicle")
+    return first_rows(rows.orderBy(F.desc("total_mwh"), F.desc("p95_km"), "vehicle"), limit).drop("vehicle")
 
 
 def selection_summary(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
@@ -362,16 +361,21 @@ def _weekly_peaks(loads: DataFrame) -> DataFrame:
     )
 
 
-def weekly_demand_profile(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
-    """Per weekday and hour the dated hour with most power, then most vehicles; 168 rows."""
+def weekly_demand_profile(
+    events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False, listed: int = 40
+) -> DataFrame:
+    """Per weekday and hour the dated hour with most power, then most vehicles; 168 rows.
+
+    Each shows the first ``listed`` plates and codes; ``slot_vehicle_demand`` has all of them as rows.
+    """
     loads = event_loads(events, scenario, is_road)
     peaks = _weekly_peaks(loads)
     # At most 168 slots are chosen, so only their events are listed.
     chosen = peaks.select(F.col("_best.slot").alias("slot"))
-    listed = hour_slots(loads).join(chosen, "slot", "left_semi")
-    plates = listed.select("slot", F.explode(split_plates("plates")).alias("plate"))
-    plate_lists = first_values(plates, ["slot"], "plate", "plates", MAX_LISTED).drop("plates_count")
-    code_lists = first_values(listed, ["slot"], "vehicle_code", "codes", MAX_LISTED).drop("codes_count")
+    touched = hour_slots(loads).join(chosen, "slot", "left_semi")
+    plates = touched.select("slot", F.explode(split_plates("plates")).alias("plate"))
+    plate_lists = first_values(plates, ["slot"], "plate", "plates", listed).drop("plates_count")
+    code_lists = first_values(touched, ["slot"], "vehicle_code", "codes", listed).drop("codes_count")
     full = (
         peaks.withColumn("slot", F.col("_best.slot"))
         .join(plate_lists, "slot", "left")

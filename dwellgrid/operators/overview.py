@@ -12,11 +12,14 @@ from dwellgrid.operators.filters import (
     filter_daily_trips,
     filter_stops,
 )
-from dwellgrid.params import ChargerFilter, Filter
+from dwellgrid.params import ChargerFilter, Filter, within
 
 CELL = ["lat", "lon"]
-MAX_HEAT_CELLS = 25_000
-MAX_CHARGERS = 1_000
+
+
+def first_rows(ranked: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of a ranking, all of them for None."""
+    return ranked if within("limit", limit, 1) is None else ranked.limit(limit)
 
 
 def to_cells(df: DataFrame) -> DataFrame:
@@ -88,10 +91,10 @@ def summary(stops: DataFrame, trips: DataFrame, flt: Filter = Filter()) -> DataF
     )
 
 
-def stop_heat(stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
+def stop_heat(stops: DataFrame, flt: Filter = Filter(), limit: int | None = None) -> DataFrame:
     weight = F.greatest(F.coalesce(F.sum("dwell_min"), F.lit(0.0)), F.count(F.lit(1)).cast("double"))
     cells = to_cells(filter_stops(stops, flt)).groupBy(*CELL).agg(weight.alias("weight"))
-    return cells.orderBy(F.desc("weight"), *CELL).limit(MAX_HEAT_CELLS)
+    return first_rows(cells.orderBy(F.desc("weight"), *CELL), limit)
 
 
 def _cell_statistics(stops: DataFrame, flt: Filter) -> DataFrame:
@@ -112,7 +115,7 @@ def _cell_statistics(stops: DataFrame, flt: Filter) -> DataFrame:
 
 def stop_markers(stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
     ranked = _cell_statistics(stops, flt).orderBy(F.desc("vehicles"), F.desc("stops"), *CELL)
-    return ranked.limit(flt.normalized().marker_top_n).select(
+    return first_rows(ranked, flt.normalized().marker_top_n).select(
         *CELL,
         "name",
         "address",
@@ -123,9 +126,9 @@ def stop_markers(stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
     )
 
 
-def top_stops(stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
+def top_stops(stops: DataFrame, flt: Filter = Filter(), limit: int | None = None) -> DataFrame:
     ranked = _cell_statistics(stops, flt).orderBy(F.desc("vehicles"), F.desc("_dwell"), *CELL)
-    return ranked.limit(50).select(
+    return first_rows(ranked, limit).select(
         *CELL,
         "name",
         "address",
@@ -137,8 +140,8 @@ def top_stops(stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
     )
 
 
-def ze_zone_summary(stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
-    return (
+def ze_zone_summary(stops: DataFrame, flt: Filter = Filter(), limit: int | None = None) -> DataFrame:
+    ranked = (
         filter_stops(stops, flt)
         .where(F.col("in_zez"))
         .groupBy(F.col("ze_zone").alias("zone"), F.col("ze_start_date").alias("start_date"))
@@ -148,10 +151,10 @@ def ze_zone_summary(stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
             F.count_distinct("vehicle_code").alias("vehicles"),
         )
         .orderBy(F.desc("stops"), "zone", "start_date")
-        .limit(50)
     )
+    return first_rows(ranked, limit)
 
 
-def chargers_ranked(chargers: DataFrame, flt: ChargerFilter = ChargerFilter()) -> DataFrame:
+def chargers_ranked(chargers: DataFrame, flt: ChargerFilter = ChargerFilter(), limit: int | None = None) -> DataFrame:
     ranked = filter_chargers(chargers, flt)
-    return ranked.orderBy(F.desc("max_power_kw"), F.desc("connectors"), "name", "id").limit(MAX_CHARGERS)
+    return first_rows(ranked.orderBy(F.desc("max_power_kw"), F.desc("connectors"), "name", "id"), limit)

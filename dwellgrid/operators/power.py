@@ -14,6 +14,7 @@ from dwellgrid.operators.aggregates import mode_text
 from dwellgrid.operators.demand import hour_slots
 from dwellgrid.operators.filters import CHARGE_WINDOW_ACTIONS, TRIP_KEY, filter_power_actions
 from dwellgrid.operators.ordered import HOT_ROWS, Scan, Step, by_key
+from dwellgrid.operators.overview import first_rows
 from dwellgrid.params import Filter, Power
 from dwellgrid.session import materialize
 
@@ -219,7 +220,7 @@ def power_location_profile(windows: DataFrame, power: Power = Power(), top_n: in
     totals = placed.groupBy(*key).agg(
         F.min("location_id").alias("location_id"), centre("lat"), centre("lon"), *_presence_columns()
     )
-    return (
+    ranked = (
         totals.join(_peak(_slots(placed, power), "_place"), key, "left")
         .join(mode_text(placed, key, "location_name", "_name"), key, "left")
         .join(mode_text(placed, key, "address", "_address"), key, "left")
@@ -231,8 +232,8 @@ def power_location_profile(windows: DataFrame, power: Power = Power(), top_n: in
             F.coalesce("peak_kw", F.lit(0.0)).alias("peak_kw"),
         )
         .orderBy(F.desc("peak_kw"), F.desc("vehicles"), F.upper("name"), "location_id")
-        .limit(power.top_locations if top_n is None else top_n)
     )
+    return first_rows(ranked, power.top_locations if top_n is None else top_n)
 
 
 def power_daily_metrics(windows: DataFrame, power: Power = Power()) -> DataFrame:

@@ -21,16 +21,17 @@ from dwellgrid.functions.geo import (
     point_segment_km,
 )
 from dwellgrid.operators.nearest import cell
-from dwellgrid.params import Filter, clamp
+from dwellgrid.params import Filter
 from dwellgrid.session import materialize
 
-MAX_TARGET, MAX_RAW, MAX_LINES, MAX_HEAT = 25_000, 200_000, 4_000, 300_000
+# Small networks are shown with at least so many lines, drawn from so many edges.
+LEAST_LINES, LEAST_EDGES = 50, 250
 MAX_LINE_KM = 8.0
 _ENDS = ("lat1", "lon1", "lat2", "lon2")
 NAME_KM = 3.0
 SNAP_KM = 2.0
-# Cells a little over SNAP_KM high, and at least that wide up to 70 degrees north.
-SNAP_CELL = {"lat": 0.02, "lon": 0.06}
+# Cells a little over SNAP_KM high; their width follows from their latitude.
+SNAP_CELL = 0.02
 
 # Motorways as (latitude, longitude) points.
 CORRIDORS = {
@@ -64,23 +65,24 @@ def _busy_edges(edges: DataFrame, flt: Filter) -> DataFrame:
 
 
 def _target(rows: int, flt: Filter) -> int:
-    return clamp(ceil(rows * clamp(flt.road_top_percent, 1, 25) / 100.0), 50, MAX_TARGET)
+    return max(LEAST_LINES, ceil(rows * flt.normalized().road_top_percent / 100.0))
 
 
 def top_road_edges(edges: DataFrame, flt: Filter = Filter()) -> DataFrame:
     """The busiest edges: eight times the share asked for, so that lines can be built from them."""
     busy = _busy_edges(edges, flt)
-    rows = clamp(8 * _target(busy.count(), flt), 250, MAX_RAW)
-    return busy.orderBy(
-        F.desc("n_passes"), F.desc("n_vehicles"), "lat1", "lon1", "lat2", "lon2"
-    ).limit(rows)
+    total = busy.count()
+    rows = max(LEAST_EDGES, 8 * _target(total, flt))
+    ranked = busy.orderBy(F.desc("n_passes"), F.desc("n_vehicles"), "lat1", "lon1", "lat2", "lon2")
+    return busy if rows >= total else ranked.limit(rows)
 
 
 def road_heat(heat: DataFrame, flt: Filter = Filter()) -> DataFrame:
     busy = heat.where(F.col("weight") >= max(1, flt.road_threshold)).select("lat", "lon", "weight")
     rows = busy.count()
-    keep = clamp(ceil(rows * clamp(flt.road_top_percent, 1, 25) / 100.0), 1, MAX_HEAT) if rows else 0
-    return busy.orderBy(F.desc("weight"), "lat", "lon").limit(keep)
+    keep = ceil(rows * flt.normalized().road_top_percent / 100.0)
+    ranked = busy.orderBy(F.desc("weight"), "lat", "lon")
+    return ranked if rows and keep == rows else ranked.limit(keep)
 
 
 def enrich_road_edges(edges: DataFrame) -> DataFrame:
@@ -343,14 +345,15 @@ def road_lines(pieces: DataFrame, limit: int | None = None) -> DataFrame:
 def road_map(edges: DataFrame, flt: Filter = Filter()) -> DataFrame:
     """From raw edges of one variant to the busiest lines."""
     target = _target(_busy_edges(edges, flt).count(), flt)
-    lines = clamp(ceil(target / 6.0), 50, MAX_LINES)
+    lines = max(LEAST_LINES, ceil(target / 6.0))
     pieces = split_road_chains(contract_road_chains(enrich_road_edges(top_road_edges(edges, flt))))
     return road_lines(pieces, lines)
 
 
-def dashboard_roads(lines: DataFrame) -> DataFrame:
+def dashboard_roads(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """The lines by how busy they are, the first ``limit`` of them or all."""
     ranked = lines.orderBy(F.desc("passes"), F.desc("unique_vehicles"), "segment_id", "lat1", "lon1")
-    return ranked.limit(100)
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def corridors(lines: DataFrame) -> DataFrame:
@@ -386,8 +389,10 @@ def corridors(lines: DataFrame) -> DataFrame:
     )
 
 
-def search_road_lines(lines: DataFrame, text: str = "", sort: str = "passes", descending: bool = True) -> DataFrame:
-    """Lines whose name, direction or coordinates contain a text; at most 100."""
+def search_road_lines(
+    lines: DataFrame, text: str = "", sort: str = "passes", descending: bool = True, limit: int | None = None
+) -> DataFrame:
+    """Lines whose name, direction or coordinates contain a text, the first ``limit`` of them or all."""
     mid = ((F.col("lat1") + F.col("lat2")) / 2.0, (F.col("lon1") + F.col("lon2")) / 2.0)
     label = F.format_string("%.3f, %.3f", *mid)
     fallback = F.concat(F.lit("Wegvlak bij "), label)
@@ -406,7 +411,14 @@ def search_road_lines(lines: DataFrame, text: str = "", sort: str = "passes", de
         "name": [way(F.upper(name)), passes.desc()],
         "length": [way(F.col("length_km")), passes.desc()],
     }.get(sort, [way(passes), way(vehicles)])
-    return lines.orderBy(*order, "segment_id", "lat1", "lon1").limit(100)
+    ranked = lines.orderBy(*order, "segment_id", "lat1", "lon1")
+    return ranked if limit is None else ranked.limit(limit)
+
+
+def _snap_width(row: str) -> Column:
+    """Degrees of longitude that SNAP_KM takes at most in a row of cells; near a pole the row is one cell."""
+    edge = (F.abs(F.col(row)) + 2) * SNAP_CELL
+    return F.when(edge > 89.0, 400.0).otherwise(SNAP_CELL / F.cos(F.radians(edge)))
 
 
 def snap_to_road(lines: DataFrame, roads: DataFrame) -> DataFrame:
@@ -416,7 +428,7 @@ def snap_to_road(lines: DataFrame, roads: DataFrame) -> DataFrame:
     """
     centre = ((F.col("lat1") + F.col("lat2")) / 2.0, (F.col("lon1") + F.col("lon2")) / 2.0)
     here = lines.withColumns({"_lat": centre[0], "_lon": centre[1]})
-    here = here.withColumns({"_x": cell("_lat", SNAP_CELL["lat"]), "_y": cell("_lon", SNAP_CELL["lon"])})
+    here = here.withColumn("_x", cell("_lat", SNAP_CELL)).withColumn("_y", cell("_lon", _snap_width("_x")))
     pairs = F.arrays_zip(
         F.slice("coordinates", F.lit(1), F.size("coordinates") - 1).alias("a"),
         F.slice("coordinates", F.lit(2), F.size("coordinates") - 1).alias("b"),
@@ -425,11 +437,11 @@ def snap_to_road(lines: DataFrame, roads: DataFrame) -> DataFrame:
         F.col("segment_id").alias("road_id"), "coordinates", F.posexplode(pairs).alias("_no", "_pair")
     ).select("road_id", "coordinates", "_no", "_pair.*")
 
-    def cells(axis: str) -> Column:
+    def cells(axis: str, size) -> Column:
         low, high = F.least(f"a.{axis}", f"b.{axis}"), F.greatest(f"a.{axis}", f"b.{axis}")
-        return F.explode(F.sequence(cell(low, SNAP_CELL[axis]) - 1, cell(high, SNAP_CELL[axis]) + 1))
+        return F.explode(F.sequence(cell(low, size) - 1, cell(high, size) + 1))
 
-    spread = segments.withColumn("_x", cells("lat")).withColumn("_y", cells("lon"))
+    spread = segments.withColumn("_x", cells("lat", SNAP_CELL)).withColumn("_y", cells("lon", _snap_width("_x")))
     km = point_segment_km("_lat", "_lon", F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     best = (
         here.select("segment_id", "_lat", "_lon", "_x", "_y")

@@ -11,6 +11,13 @@ def clamp(value, low, high):
     return max(low, min(value, high))
 
 
+def within(name, value, low, high=None):
+    """The value itself, or an error where it lies outside its bounds; None stands for "all"."""
+    if value is not None and (value < low or (high is not None and value > high)):
+        raise ValueError(f"{name} must be {f'at least {low}' if high is None else f'from {low} to {high}'}, not {value}")
+    return value
+
+
 def clean_values(values: Iterable[str] | None) -> tuple[str, ...]:
     """Trimmed, non-blank, unique ignoring case, in order."""
     unique: dict[str, str] = {}
@@ -23,7 +30,7 @@ def clean_values(values: Iterable[str] | None) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class Filter:
-    """The filter every question shares."""
+    """The filter every question shares; ``marker_top_n`` None shows all."""
 
     date_from: date | None = None
     date_to: date | None = None
@@ -33,7 +40,7 @@ class Filter:
     min_dwell_min: float = 0.0
     road_threshold: int = 1
     road_top_percent: int = 1
-    marker_top_n: int = 250
+    marker_top_n: int | None = None
     ze_mode: str = "all"
 
     def normalized(self) -> Filter:
@@ -45,8 +52,8 @@ class Filter:
             vehicle_codes=clean_values(self.vehicle_codes),
             min_dwell_min=max(0.0, self.min_dwell_min),
             road_threshold=clamp(self.road_threshold, 1, 1_000_000),
-            road_top_percent=clamp(self.road_top_percent, 1, 25),
-            marker_top_n=clamp(self.marker_top_n, 50, 5_000),
+            road_top_percent=within("road_top_percent", self.road_top_percent, 1, 100),
+            marker_top_n=within("marker_top_n", self.marker_top_n, 1),
             ze_mode=mode if mode in ("in", "out") else "all",
         )
 
@@ -136,10 +143,10 @@ DEFAULT_INFLOWS = (
 
 @dataclass(frozen=True)
 class Power:
-    """Arguments of the power profiles."""
+    """Arguments of the power profiles; ``top_locations`` None shows all."""
 
     vehicle_classes: tuple[str, ...] = ()
-    top_locations: int = 5
+    top_locations: int | None = 5
     scenario_years: tuple[int, ...] = ()
     scenario_mode: str = "linear"
     capacity_kwh: float = 590.0
@@ -152,8 +159,8 @@ class Power:
         return replace(
             self,
             vehicle_classes=vehicle_classes(self.vehicle_classes),
-            top_locations=clamp(self.top_locations, 1, 50),
-            scenario_years=tuple(sorted({y for y in years if 2026 <= y <= 2040})),
+            top_locations=within("top_locations", self.top_locations, 1),
+            scenario_years=tuple(sorted({within("scenario_years", y, 2026, 2040) for y in years})),
             scenario_mode="cherry-pick" if (self.scenario_mode or "").lower() == "cherry-pick" else "linear",
             capacity_kwh=clamp(self.capacity_kwh, 100, 1_500),
             max_vehicle_kw=clamp(limit, 50, 1_500),
@@ -182,6 +189,7 @@ class Breaks:
     max_kmh: float = 95.0
     threshold: int = 1
     top_percent: float = 1.0
+    min_visits: int = 20
 
     def normalized(self) -> Breaks:
         start = clamp(self.window_start_h, 0.5, 12)
@@ -196,5 +204,6 @@ class Breaks:
             reset_radius_km=clamp(self.reset_radius_km, 0.1, 5),
             max_kmh=clamp(self.max_kmh, 50, 120),
             threshold=clamp(self.threshold, 1, 1_000_000),
-            top_percent=clamp(self.top_percent, 0, 100),
+            top_percent=within("top_percent", self.top_percent, 0, 100),
+            min_visits=within("min_visits", self.min_visits, 1),
         )

@@ -27,10 +27,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names, else a local one for tests."""
+    """Folder for intermediate tables: the one the cluster names, else a local one in a one-machine session.
+
+    A cluster that names none is an error: its machines do not see each other's local folders.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="dwellgrid-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")

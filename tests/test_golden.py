@@ -197,11 +197,11 @@ def test_road_selection(tables):
 
 
 def test_break_demand(tables):
-    one_km = Breaks(kwh_per_km=1.0, top_percent=100)
+    one_km = Breaks(kwh_per_km=1.0, top_percent=100, min_visits=3)
     parts = questions.break_demand_map(tables, one_km)
     lines = parts["lines"].collect()
     assert any(line.passages > 0 and line.total_kwh > 0 and line.peak_mw > 0 for line in lines)
-    top = questions.break_demand_map(tables, Breaks(kwh_per_km=1.0, top_percent=1))["lines"].collect()
+    top = questions.break_demand_map(tables, Breaks(kwh_per_km=1.0, top_percent=1, min_visits=3))["lines"].collect()
     assert 0 < len(top) < len(lines)
     assert {line.passages for line in top} == {max(line.passages for line in lines)}
     assert sum(r.n for r in parts["diagnostics"].collect() if r.reason != "reset") == 9
@@ -223,11 +223,11 @@ def test_break_hours_cover_the_day(tables):
 
 
 def test_shift_resets_only_at_reset_locations(tables):
-    near = questions.break_demand_detail(tables, Road(52.0, 5.0, 52.02, 5.02, 3), Breaks(kwh_per_km=1.0))
+    near = questions.break_demand_detail(tables, Road(52.0, 5.0, 52.02, 5.02, 3), Breaks(kwh_per_km=1.0, min_visits=3))
     rows = near["vehicles"].collect()
     assert [r.vehicle_code for r in rows].count("W3") == 1
     assert all(3.5 <= r.drive_hours <= 4.5 for r in rows)
-    customer = questions.break_demand_detail(tables, Road(52.6, 5.6, 53.0, 6.0, 5), Breaks(kwh_per_km=1.0))
+    customer = questions.break_demand_detail(tables, Road(52.6, 5.6, 53.0, 6.0, 5), Breaks(kwh_per_km=1.0, min_visits=3))
     assert any(r.vehicle_code == "W4" and 130 < r.km_since_shift_start <= 270 for r in customer["vehicles"].collect())
 
 
