@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions import geo, text
 from dwellgrid.operators import aggregates, breaks, nearest, roads
+from dwellgrid.params import Breaks, Filter, Power
 from dwellgrid.session import materialize
 
 
@@ -222,3 +223,19 @@ def test_search_and_corridors(spark):
     corridor = roads.corridors(lines).first()
     assert (corridor["rank"], corridor.median_passes, corridor.max_passes, corridor.segments) == (1, 4, 6, 6)
     assert corridor.spread_km == round(km_between(52.0, 5.0, 52.005, 5.0), 1)
+
+
+@pytest.mark.parametrize(
+    "wrong",
+    [Filter(road_top_percent=0), Filter(road_top_percent=101), Filter(marker_top_n=0), Power(top_locations=0),
+     Power(scenario_years=(2025,)), Breaks(top_percent=101), Breaks(min_visits=0)],
+)
+def test_arguments_out_of_bounds_are_errors(wrong):
+    with pytest.raises(ValueError):
+        wrong.normalized()
+
+
+def test_no_limit_gives_all_rows(spark):
+    heat = spark.range(301_000).select(F.lit(52.0).alias("lat"), (F.col("id") / 1e5).alias("lon"), F.lit(2.0).alias("weight"))
+    assert roads.road_heat(heat, Filter(road_top_percent=100)).count() == 301_000
+    assert roads.road_heat(heat, Filter(road_top_percent=50)).count() == 150_500
