@@ -101,6 +101,57 @@ def test_vectors(spark, monkeypatch):
     assert all(found[i].n_links == 0 and found[i].component_id == i for i in (900, 901, 902)) and not found[None].kept
 
 
+def test_short_pairs_share_a_segment():
+    rng, known = random.Random(8), near_copies.Hashes()
+    keys = lambda words: set(near_copies.keys(near_copies.tokens(" ".join(words), known)).tolist())
+    for _ in range(3000):
+        a = [rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, near_copies.SHORT))]
+        b = list(a)
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["x"], ["y"]])
+        longer = max(len(a), len(b))
+        if a != b and longer <= near_copies.SHORT and distance(a, b) <= near_copies.limit(longer):
+            assert keys(a) & keys(b), (a, b)
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.97), (0.85, 0.99), (0.9, 0.99)])
+def test_recall_of_candidates(similarity, least):
+    rng, known = random.Random(9), near_copies.Hashes()
+    words = [f"w{i}" for i in range(3000)]
+    for n in (25, 40, 100, 200):
+        hits = []
+        for _ in range(300):
+            a = [rng.choice(words) for _ in range(n)]
+            b = list(a)
+            for at in rng.sample(range(n), int(n * (1 - similarity) + 1e-9)):
+                b[at] = "x" + rng.choice(words)
+            one, other = (near_copies.keys(near_copies.tokens(" ".join(t), known)) for t in (a, b))
+            hits.append(bool(set(one.tolist()) & set(other.tolist())))
+        assert np.mean(hits) >= least, n
+
+
+def test_short_copies(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    rows = []
+    for n in (5, 6, 7, 10, 13, 15, 18, 20, 22, 24, 27):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(n)]
+            near = list(base)
+            for at in rng.sample(range(n), n // 5):
+                near[at] = "x" + near[at]
+            far = list(base)
+            for at in rng.sample(range(n), n // 5 + 1):
+                far[at] = "y" + far[at]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near)), (len(rows) + 2, " ".join(far))]
+    found = {r.doc_id: r.class_id for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [t.split() for _, t in rows]
+    for i in range(0, len(rows), 3):
+        joined = distance(texts[i + 1], texts[i + 2]) <= near_copies.limit(len(texts[i]))
+        assert found[i + 1] == i and found[i + 2] == (i if joined else i + 2)
+
+
 def test_benchmark_passages(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
