@@ -1,10 +1,10 @@
 """Benchmark passages in documents, by the q-gram lemma.
 
-Every benchmark text is cut into passages of ``PASSAGE`` bytes that overlap by half (a shorter text is one
+Every ``PASSAGE`` bytes of a benchmark text, from any byte on, are a passage (a shorter text is one
 passage). A passage of m bytes that occurs in a document with at most k edits shares at least
 (m - q + 1) - k q of its q-grams with it, and all of them on k + 1 neighbouring diagonals. So the shared
-q-grams of a document are counted in overlapping bands of diagonals, and only bands that meet this bound
-are aligned.
+q-grams of a document and a benchmark text are counted in overlapping bands of diagonals, and only the
+passages that meet this bound in a band are aligned.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from dwellgrid.llm.common import identified, quoted
 
 #: Bytes of a q-gram, 8 to 16.
 Q = 10
+#: Bytes of the grams that passages are looked through with before they are aligned.
+FINE = 4
 PASSAGE = 100
 #: Edits that a passage may differ by, as a share of its bytes.
 EDITS = 0.08
@@ -51,27 +53,18 @@ def grams(data: bytes) -> np.ndarray:
 
 
 class Index:
-    """The passages of a block of benchmark texts and where each q-gram lies in them."""
+    """A block of benchmark texts and where each q-gram lies in them."""
 
     def __init__(self, items: tuple[tuple[int, str], ...]) -> None:
-        self.passages: list[bytes] = []
-        owner, keys, where = [], [], []
-        for item, text in items:
-            data = plain(text)
-            if len(data) < Q:
-                continue
-            last = max(0, len(data) - PASSAGE)
-            for begin in sorted({*range(0, last, PASSAGE // 2), last}):
-                part = data[begin : begin + PASSAGE]
-                owner.append(item)
-                keys.append(grams(part))
-                where.append(np.arange(len(keys[-1])) + (len(self.passages) << 20))
-                self.passages.append(part)
-        self.owner = owner
-        sizes = np.array([len(p) for p in self.passages], np.int64)
-        self.edits = np.minimum((EDITS * sizes).astype(np.int64), (sizes - Q) // Q) if owner else sizes
-        self.bound = sizes - Q + 1 - self.edits * Q
+        kept = [(item, data) for item, text in items if len(data := plain(text)) >= Q]
+        self.owner = [item for item, _ in kept]
+        self.texts = [data for _, data in kept]
+        self.width = np.minimum(np.array([len(t) for t in self.texts], np.int64), PASSAGE)
+        self.edits = np.minimum((EDITS * self.width).astype(np.int64), (self.width - Q) // Q)
+        self.bound = self.width - Q + 1 - self.edits * Q
+        keys = [grams(t) for t in self.texts]
         flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        where = [np.arange(len(k)) + (i << 32) for i, k in enumerate(keys)]
         order = np.argsort(flat, kind="stable")
         self.where = (np.concatenate(where) if where else np.empty(0, np.int64))[order]
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
@@ -83,7 +76,7 @@ class Index:
         return (keys * MIX) >> np.uint64(64 - HASH_BITS)
 
     def search(self, texts: list[bytes]) -> list[list[int]]:
-        """For each text the benchmark keys of the passages in it."""
+        """For each text the benchmark keys of the texts of which it holds a passage."""
         out: list[list[int]] = [[] for _ in texts]
         sizes = np.array([len(t) for t in texts], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # a line end between texts: no passage holds one
@@ -99,33 +92,72 @@ class Index:
         inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         post = self.where[np.repeat(self.first[at], many) + inner]
         place = np.repeat(place, many)
-        passage, diagonal = post >> 20, place - (post & 0xFFFFF)
+        item, offset = post >> 32, post & 0xFFFFFFFF
         # Too few shared q-grams in the whole text: no band can meet the bound.
-        doc = np.searchsorted(starts, place, side="right") - 1
-        pair = doc * len(self.passages) + passage
+        pair = (np.searchsorted(starts, place, side="right") - 1) * len(self.texts) + item
         names, of, total = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = (total >= self.bound[names % len(self.passages)])[of]
-        pair, passage, diagonal = pair[enough], passage[enough], diagonal[enough]
-        width = self.edits[passage] + 1
-        band = np.floor_divide(diagonal, width)
-        bands, counts = np.unique(np.stack([pair, band], 1), axis=0, return_counts=True) if len(pair) else (np.empty((0, 2), np.int64), np.empty(0))
-        after = np.zeros(len(bands), np.int64)
-        if len(bands) > 1:
-            next_one = (bands[1:, 0] == bands[:-1, 0]) & (bands[1:, 1] == bands[:-1, 1] + 1)
-            after[:-1][next_one] = counts[1:][next_one]
-        found: set[tuple[int, int]] = set()
-        for (pair_, band_), shared in zip(bands.tolist(), (counts + after).tolist()):
-            d, p = divmod(pair_, len(self.passages))
-            item, edits = self.owner[p], int(self.edits[p])
-            if shared < self.bound[p] or (d, item) in found:
+        enough = (total >= self.bound[names % len(self.texts)])[of]
+        pair, item, offset, place = pair[enough], item[enough], offset[enough], place[enough]
+        if not len(pair):
+            return out
+        band = np.floor_divide(place - offset, self.edits[item] + 1)
+        order = np.lexsort((offset, band, pair))
+        pair, band, offset = pair[order], band[order], offset[order]
+        first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])]))
+        last = np.append(first[1:], len(pair))
+        joins = np.append((pair[first[1:]] == pair[first[:-1]]) & (band[first[1:]] == band[first[:-1]] + 1), False)
+        stop = np.where(joins, np.append(last[1:], len(pair)), last)  # a band is looked at with the next one
+        wide = np.flatnonzero(stop - first >= self.bound[pair[first] % len(self.texts)])
+        found, letters = -1, np.frombuffer(data, np.uint8)
+        for b in wide.tolist():
+            name = int(pair[first[b]])
+            if name == found:
                 continue
-            begin = max(int(starts[d]), band_ * (edits + 1) - edits)
-            end = min(int(starts[d] + sizes[d]), (band_ + 2) * (edits + 1) + len(self.passages[p]) + edits)
-            if inside(self.passages[p], data[begin:end]) <= edits:
-                found.add((d, item))
-                out[d].append(item)
+            d, i = divmod(name, len(self.texts))
+            text = letters[starts[d] : starts[d] + sizes[d]]
+            low = int(band[first[b]]) * (int(self.edits[i]) + 1) - int(starts[d])
+            if self._holds(i, np.unique(offset[first[b] : stop[b]]), low, text):
+                found = name
+                out[d].append(self.owner[i])
         return out
 
+    def _holds(self, i: int, offset: np.ndarray, low: int, text: np.ndarray) -> bool:
+        """Whether a passage of item ``i``, at any place of it, lies in ``text`` along the two bands that begin at diagonal ``low``.
+
+        ``offset``: where in the item the q-grams stand that both share in these bands, each once. Only passages
+        with as many of them as the bound asks for are looked at. Shorter grams, of ``FINE`` bytes, on all
+        diagonals that such an alignment can touch rule out most of them by the same lemma; the others are
+        aligned, those that share most first.
+        """
+        item, width, edits, bound = self.texts[i], int(self.width[i]), int(self.edits[i]), int(self.bound[i])
+        if len(offset) < bound:
+            return False
+        begin, end = offset[: len(offset) - bound + 1], offset[bound - 1 :]
+        near = end - begin <= width - Q
+        lows, highs = np.maximum(end[near] - (width - Q), 0), np.minimum(begin[near], len(item) - width)
+        # Both ascend: passages from each low to its high, runs that touch taken together.
+        if not len(lows):
+            return False
+        new = np.flatnonzero(np.concatenate([[True], lows[1:] > highs[:-1] + 1]))
+        for start, stop in zip(lows[new].tolist(), highs[np.append(new[1:], len(highs)) - 1].tolist()):
+            part = np.frombuffer(item, np.uint8)[start : stop + width]
+            shift = np.arange(low - edits, low + 2 * (edits + 1) + edits)
+            at = np.arange(start, stop + width)[None, :] + shift[:, None]
+            inner = (at >= 0) & (at < len(text))
+            same = inner & (text[np.where(inner, at, 0)] == part[None, :]) if len(text) else inner
+            size = len(part) - FINE + 1
+            runs = same[:, :size].copy()
+            for k in range(1, FINE):
+                runs &= same[:, k : k + size]
+            total = np.concatenate([[0], np.cumsum(runs.any(axis=0))])
+            shared = total[width - FINE + 1 :] - total[: -(width - FINE + 1)]
+            likely = np.flatnonzero(shared >= width - FINE + 1 - edits * FINE)
+            for s in (likely[np.argsort(-shared[likely], kind="stable")] + start).tolist():
+                left, right = max(0, s + low - edits), s + low + 2 * (edits + 1) + width + edits
+                if inside(item[s : s + width], text[left : max(left, right)].tobytes()) <= edits:
+                    return True
+        return False
+
 
 @lru_cache(maxsize=2)
 def indexed(items: tuple[tuple[int, str], ...]) -> Index:
