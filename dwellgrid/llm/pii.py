@@ -1,7 +1,7 @@
 """Personal data: found by form, and by how much a word gives away about it.
 
-Four kinds are found by their form. Around each find, the words of the same passage are counted as
-neighbours of that value (the protected entity). Over the whole corpus, the pointwise mutual information of
+Four kinds are found by their form. The words of a text that holds a value (the protected entity) are
+counted with that value, wherever they stand. Over the whole corpus, the pointwise mutual information of
 a word and an entity, as a share of the information the entity itself carries, says how far the word alone
 discloses it: 1 means that whoever reads the word knows the entity. Words above the thresholds are found
 too, in the texts that hold the entity, and are generalised or removed with it.
@@ -26,9 +26,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Letters before and after a find that count as its passage, and the shortest word that is looked at.
-PASSAGE, WORD = 60, r"\p{L}{3,}"
-#: A word discloses an entity if it takes this share of its information and stands beside it in so many different texts.
+#: The shortest word that is looked at.
+WORD = r"\p{L}{3,}"
+#: A word discloses an entity if it takes this share of its information and stands with it in so many different texts.
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
 BLOCK = 128
 
@@ -132,22 +132,26 @@ def disclosing(rows: DataFrame, holders: DataFrame) -> DataFrame:
 
     ``rows`` are all texts, ``holders`` the different texts with ``key``, ``text``, ``spans`` and ``copies``.
     """
-    spans = holders.select("key", "copies", "text", F.explode("spans").alias("s")).select("key", "copies", "text", "s.*")
-    left = F.substring(F.col("text"), F.greatest(F.col("start") - PASSAGE + 1, F.lit(1)), F.least(F.col("start"), F.lit(PASSAGE)))
-    right = F.substring(F.col("text"), F.col("stop") + 1, F.lit(PASSAGE))
-    # Words cut by the passage's edge are not words of it.
-    left = F.when(F.col("start") > PASSAGE, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.regexp_replace(right, r"\p{L}+$", "")
-    near = spans.select("key", "copies", "kind", "value", F.explode(words(F.concat_ws(" ", left, right))).alias("term")).distinct()
-    pairs = near.groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    entities = spans.select("key", "copies", "kind", "value").distinct().groupBy("kind", "value").agg(F.sum("copies").alias("n_entity"))
+    has = holders.select("key", "copies", F.explode("spans").alias("s")).select("key", "copies", "s.kind", "s.value").distinct()
+    entities = has.groupBy("kind", "value").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
     counted = rows.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     size = rows.agg(F.count("*").alias("n"))  # one row
+    # A share of GENERALISE needs log(n_term / n_both) <= (1 - GENERALISE) log(n / n_entity), and n_both <= n_entity.
+    most = F.col("n_entity") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    entities = entities.join(F.broadcast(size)).where(F.col("n_entity") < F.col("n")).withColumn("most", most)
+    held = materialize(has.join(entities, ["kind", "value"]), "held")
+    limits = held.groupBy("key").agg(F.max("most").alias("most"))
+    said = holders.join(limits, "key").select("key", "most", F.explode(words(F.col("text"))).alias("term"))
+    known = said.groupBy("term").agg(F.count("*").alias("texts"), F.max("most").alias("most")).where(F.col("texts") >= SUPPORT)
+    rare = known.join(counted, "term").where(F.col("n_term") <= F.col("most")).select("term", "n_term")
+    kept = said.join(rare, "term").where(F.col("n_term") <= F.col("most")).select("key", "term", "n_term")
+    pairs = held.join(kept, "key").where(F.col("n_term") <= F.col("most")).groupBy("kind", "value", "term")
     scored = (
-        pairs.join(entities, ["kind", "value"])
-        .join(counted, "term")
-        .join(F.broadcast(size))
-        .where(F.col("n_entity") < F.col("n"))
+        pairs.agg(
+            F.sum("copies").alias("n_both"), F.count("*").alias("texts"),
+            F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"), F.first("n").alias("n"),
+        )
+        .where(F.col("texts") >= SUPPORT)
         .withColumn("share", 1 - F.log2(F.col("n_term") / F.col("n_both")) / F.log2(F.col("n") / F.col("n_entity")))
     )
     return scored.where(F.col("share") >= GENERALISE).select("kind", "value", "term", "share")

@@ -50,6 +50,20 @@ def test_disclosing_words(spark):
     assert "kestrel" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[8][1]
 
 
+def test_disclosing_words_far_from_the_value(spark):
+    rng = random.Random(13)
+    common = ["matter", "desk", "number", "about", "write", "order", "invoice", "letter"]
+    fill = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, f"dear Kestrel {fill(40)} marlin {fill(i * 9)} boss@firm.example {fill(40)} ahead") for i in range(8)]
+    rows += [(50 + i, f"heron {fill(30)} one@other.example" if i % 2 else f"heron one@other.example {fill(30)}") for i in range(6)]
+    rows += [(100 + i, fill(60)) for i in range(200)] + [(400, rows[0][1])]
+    found = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (*range(8), 400):
+        assert not re.search("Kestrel|marlin|ahead|boss", found[i]) and "matter" in found[i] and "[EMAIL]" in found[i]
+    assert all("heron" not in found[50 + i] and "desk" in found[50 + i] for i in range(6))
+    assert all(found[100 + i] == rows[14 + i][1] for i in range(200))
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(3, 8))) for _ in range(400)]
