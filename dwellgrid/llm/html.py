@@ -42,6 +42,15 @@ PARTS = set(
     " respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
 HEADERS = {"header", "masthead", "banner"}
+# Parts that hold articles of their own, so that an article inside is not the page's; words that
+# also name sections of an article; parts that are never the page's text, however long; what stands before a
+# word to say that a page has or lacks such a part.
+OF_OTHERS = set("comment comments discussion disqus recommended related replies reply respond responses sidebar widget".split())
+ALSO_SECTIONS = {"discussion", "notice", "notices", "related", "search"}
+NEVER = OF_OTHERS - ALSO_SECTIONS | {"consent", "cookie", "cookies", "gdpr", "hidden"}
+MODIFIER = re.compile(r"(?<![a-z0-9_-])(?:has|no|with|without|is|not|hide|show)[-_][a-z0-9_-]+")
+#: Elements that can stand around a whole page; share of link words up to which a section of an article is text.
+AROUND, LINKED = {"form", "fieldset"}, 0.425
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "article", "has_article")
 # words, share in links, the same of the block before, of the block after; inside a part that is named as
@@ -103,27 +112,39 @@ class Block:
     links: float
     aside: bool
     article: bool
+    parts: tuple[int, ...] = ()
 
 
-def _part(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is named as something else than the article."""
+@dataclass
+class Part:
+    """An element that is named as something else than the article: by which words, and whether inside an article."""
+
+    words: set[str]
+    inside: bool
+
+
+def _part(tag: str, attributes: str, in_article: bool) -> set[str]:
+    """The words that name an element as something else than the article; empty if it is none, "" if its kind says so."""
+    if attributes and HIDDEN.search(attributes):
+        return {"", "hidden"}
+    if tag in AROUND:
+        return {"form"}
     if tag in ASIDE or (tag == "header" and not in_article):
-        return True
-    if tag in ARTICLE or not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    for found in NAMES.finditer(attributes):
-        words = set(SPLIT.split((found[1] or found[2] or found[3] or "").lower()))
-        if words & PARTS or (not in_article and words & HEADERS):
-            return True
-    return False
+        return {""}
+    named: set[str] = set()
+    for found in NAMES.finditer(attributes or ""):
+        named |= set(SPLIT.split(MODIFIER.sub(" ", (found[1] or found[2] or found[3] or "").lower())))
+    if tag in ARTICLE:
+        return named & OF_OTHERS if tag == "article" else set()
+    return named & (PARTS if in_article else PARTS | HEADERS)
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether in a part aside, whether in an article
+    parts: list[Part] = []
+    open_: tuple[int, ...] = ()
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # open elements: name; around them: aside, article, named parts
     text: list[str] = []
     linked: list[str] = []
     in_link = aside = article = False
@@ -134,7 +155,7 @@ def blocks(page: str) -> list[Block]:
             words = html.unescape("".join(text)).split()
             if words:
                 inside = len(html.unescape("".join(linked)).split())
-                out.append(Block(" ".join(words), len(words), min(1.0, inside / len(words)), aside, article))
+                out.append(Block(" ".join(words), len(words), min(1.0, inside / len(words)), aside, article, open_))
             text.clear()
             linked.clear()
 
@@ -167,29 +188,59 @@ def blocks(page: str) -> list[Block]:
             in_link = in_link and tag == "a"
         if tag in HOLDERS:
             if not ending:
-                stack.append((tag, aside, article))
-                if _part(tag, attributes, article):
+                stack.append((tag, aside, article, open_))
+                if tag in ARTICLE and not article:
+                    # The page's article or main part is no part of what stands around it.
+                    others = {w for p in open_ for w in parts[p].words}
+                    if not others & (NEVER if tag == "main" else NEVER | OF_OTHERS):
+                        open_ = ()
+                named = _part(tag, attributes, article)
+                if named:
                     if tag == "span":
                         close()
-                    aside = True
+                    if "" in named:
+                        aside = True
+                    else:
+                        open_ = (*open_, len(parts))
+                        parts.append(Part(named, article))
                 article = article or tag in ARTICLE
-            elif any(tag == name for name, _, _ in stack):
+            elif any(tag == entry[0] for entry in stack):
                 if tag == "span" and stack[-1][0] != "span":
                     continue
                 while stack:
-                    name, was_aside, was_article = stack.pop()
+                    name, was_aside, was_article, was_open = stack.pop()
                     if name == tag:
-                        if was_aside != aside:
+                        if was_aside != aside or was_open != open_:
                             close()
-                        aside, article = was_aside, was_article
+                        aside, article, open_ = was_aside, was_article, was_open
                         break
     close()
+    _settle(out, parts)
     return out
 
 
+def _settle(found: list[Block], parts: list[Part]) -> None:
+    """Set the blocks of named parts aside, but for parts that hold most of the page's text or are sections of its article."""
+    words, unlinked, total = [0] * len(parts), [0.0] * len(parts), 0.0
+    for b in found:
+        text = b.words * (1 - b.links) * (not b.aside)
+        total += text
+        for p in b.parts:
+            words[p] += b.words
+            unlinked[p] += text
+    named = set()
+    for p, part in enumerate(parts):
+        most = 2 * unlinked[p] > total and not part.words & NEVER
+        section = part.inside and part.words <= ALSO_SECTIONS and unlinked[p] >= (1 - LINKED) * words[p]
+        if not (most or section):
+            named.add(p)
+    for b in found:
+        b.aside = b.aside or not named.isdisjoint(b.parts)
+
+
 def extract(page: str, tree) -> str:
     found = blocks(page)
-    has_article = any(b.article for b in found)
+    has_article = any(b.article and not b.aside for b in found)
     edge = Block("", 0, 0.0, False, False)
     kept = []
     for i, b in enumerate(found):

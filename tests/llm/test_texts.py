@@ -96,6 +96,26 @@ def test_pages(spark):
     assert found[2].text == found[3].text == "" and found[None].text == "only" and found[1].n_chars == len(found[1].text)
 
 
+def test_names_around_the_article():
+    tree = html.grow(html.LABELLED)
+    body = "<h1>Head</h1><p>The first long paragraph of this page.</p>"
+    text = "Head\nThe first long paragraph of this page."
+    for page in (
+        f"<div class='layout has-sidebar'><article>{body}</article><div class='sidebar'>Ads here</div></div>",
+        f"<div class='site no-comments'>{body}</div>",
+        f"<div id='search-results'><main>{body}</main></div>",
+        f"<form id=aspnet><main>{body}</main></form>",
+        f"<div class='promo page'>{body}</div><div class='promo'>Buy it</div>",
+        f"<div>{body}</div><div id=comments><article>Nice one</article><article class=comment>So so</article></div>",
+        f"<article>{body}<div class='comments'><p>{'Long comment. ' * 40}</p></div></article>",
+        f"<article>{body}<div class='related'><a href=x>Another page</a></div></article>",
+        f"<main>{body}</main><div hidden>{'never shown ' * 40}</div>",
+    ):
+        assert html.extract(page, tree) == text, page
+    inner = "<article><p>One two.</p><section id='discussion'><p>Three four.</p></section><div class='related work'><p>Five six.</p></div></article>"
+    assert html.extract(inner, tree) == "One two.\nThree four.\nFive six."
+
+
 def test_archive_round_trip(spark):
     trap = "x" * 120 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:9>\r\nContent-Length: 0\r\n\r\n\r\n\r\n" + "y"
     rows = [(1, "u", trap), (2, "u\r\nX: y", trap), (3, None, None), (4, "u", "é" * 60), (5, "u", "é" * 60), (6, "u", "short"), (7, "u", "short")]
