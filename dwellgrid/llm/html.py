@@ -1,9 +1,10 @@
-"""The main text of web pages: flat blocks, judged by their own and their neighbours' shape.
+"""The main text of web pages: flat blocks, judged by their links and the markup around them.
 
 A page is read once from left to right into a flat row of text blocks. Each block knows its words, the
 share of them inside links, the same of the block before and after it, and whether the markup around it
 names a part of the page that is not the article. A decision tree, grown here from the small labelled
-table below, keeps the blocks of the article.
+table below, keeps the blocks of the article. The table does not need the words or the neighbours, so the
+tree does not split on them.
 """
 
 from __future__ import annotations
