@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.llm.common import identified, quoted
+from dwellgrid.session import materialize
 
-#: Labelled texts per class that the model is fitted on, at most, and the letters of each that are used for it.
+#: Labelled texts per class that the model is fitted on, at most.
 SAMPLE = {1: 2000, 0: 3000}
-SAMPLE_LETTERS = 20_000
+#: Windows of them that the base is trained on, about.
+PIECES = 100_000
 WINDOW = 48
 BASE_BYTES = 1 << 15
 OWN_BYTES = 1 << 13
@@ -121,40 +123,119 @@ def _content(own: Counter, other: Counter, n_own: int, n_other: int) -> bytes:
     return b"".join(reversed(picked))
 
 
-def fit(sample: list[tuple[int, str, int]], sizes: dict[int, int]) -> Model:
-    """Fit on ``(doc_id, text, label)``; ``sizes``: labelled texts of each class, for the curve's base rate."""
-    by_class: dict[int, list[str]] = {0: [], 1: []}
-    for _, text, label in sorted(sample, key=lambda r: (r[0], r[1])):
-        by_class[label].append(text)
-    texts = {label: list(dict.fromkeys(found)) for label, found in by_class.items()}
-    x, y, weight = [], [], []
-    for half in (0, 1):
-        made = _dictionaries(texts[1][half::2], texts[0][half::2])
-        if made is None:
-            continue
-        one, other = map(_compressor, made)
-        for label, found in texts.items():
-            for text in found[1 - half :: 2]:
-                x.append(features(text, one, other))
-                y.append(label)
-                weight.append(max(1, sizes[label]) / len(found))
-    made = _dictionaries(texts[1], texts[0])
-    if made is None or len(set(y)) < 2:
+def fit(sample: DataFrame, sizes: dict[int, int]) -> Model:
+    """Fit on ``doc_id, text, digest, label``, a row for each document; ``sizes``: labelled texts of each class, for the curve's base rate.
+
+    Whole texts are read in tasks. The driver sees keys, term counts, a sample of windows and feature vectors.
+    """
+    spark = sample.sparkSession
+    # Different texts of each class in the order of their keys; every other one is a half.
+    turn: dict[int, dict[str, int]] = {0: {}, 1: {}}
+    listed = sample.select("doc_id", "digest", "label").collect()
+    for _, digest, label in sorted(map(tuple, listed)):
+        turn[label].setdefault(digest, len(turn[label]))
+    first = {}
+    for doc_id, digest, label in sorted(map(tuple, listed)):
+        first.setdefault((label, digest), doc_id)
+    rows = [(doc_id, label, turn[label][digest]) for (label, digest), doc_id in first.items()]
+    places = spark.createDataFrame(rows, "doc_id long, label int, turn int")
+    texts = sample.join(F.broadcast(places), ["doc_id", "label"]).select("label", "turn", "text")
+    sets = {0: lambda i: i % 2 == 0, 1: lambda i: i % 2 == 1, 2: lambda i: True}  # two halves, all
+    n = {(label, k): sum(map(inside, turn[label].values())) for label in turn for k, inside in sets.items()}
+    counts = _term_counts(texts)
+    lengths = {r["turn"]: r["n"] for r in _window_counts(texts.where("label = 0")).collect()}
+    made = [_dictionary(counts, n, k, lengths, sets[k]) for k in sets]
+    pieces = _pieces(texts.where("label = 0"), [m[1] for m in made])
+    dictionaries = [_contents(own, pieces[k]) if own and n[0, k] else None for k, (own, _) in enumerate(made)]
+    vectors = _vectors(texts, dictionaries[:2]).collect() if any(dictionaries[:2]) else []
+    x = [r["x"] for r in sorted(vectors, key=lambda r: (r["label"], r["turn"]))]
+    y = sorted(r["label"] for r in vectors)
+    if dictionaries[2] is None or len(set(y)) < 2:
         width = len(features("", _compressor(b" " * 8), _compressor(b" " * 8)))
         return Model(b" " * 8, b" " * 8, [-30.0] + [0.0] * width, [0.0] * width, [1.0] * width)
-    weight = np.array(weight)
+    weight = np.array([max(1, sizes[label]) / len(turn[label]) for label in y])
     w, shift, scale = _curve(np.array(x), np.array(y, float), weight * len(weight) / weight.sum())
-    return Model(*made, list(w), list(shift), list(scale))
+    return Model(*dictionaries[2], list(w), list(shift), list(scale))
+
+
+def _term_counts(texts: DataFrame) -> dict[tuple[int, int], Counter]:
+    """In how many texts of each class and half the terms stand that enough toxic texts have."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for label, turn, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                found = list(terms(text))
+                same = [pa.array([v] * len(found), pa.int32()) for v in (label, turn % 2)]
+                yield pa.record_batch([*same, pa.array(found, pa.string())], ["label", "half", "term"])
+
+    counted = texts.mapInArrow(batches, "label int, half int, term string")
+    each = [F.count_if((F.col("label") == label) & (F.col("half") == half)).alias(f"n{label}{half}") for label in (0, 1) for half in (0, 1)]
+    out: dict[tuple[int, int], Counter] = {(label, k): Counter() for label in (0, 1) for k in (0, 1, 2)}
+    for r in counted.groupBy("term").agg(*each).where(F.col("n10") + F.col("n11") >= SUPPORT).collect():
+        for label in (0, 1):
+            halves = r[f"n{label}0"], r[f"n{label}1"]
+            for k, count in enumerate((*halves, sum(halves))):
+                if count:
+                    out[label, k][r["term"]] = count
+    return out
+
+
+def _window_counts(texts: DataFrame) -> DataFrame:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sizes = [len(windows(t)) for t in part.column(2).to_pylist()]
+            yield pa.record_batch([part.column(1), pa.array(sizes, pa.int64())], ["turn", "n"])
+
+    return texts.mapInArrow(batches, "turn int, n long")
+
+
+def _dictionary(counts, n, k: int, lengths: dict[int, int], inside) -> tuple[bytes, tuple[dict[int, int], int]]:
+    """A set's own toxic words, and where its base's windows are: the number before each text, and the stride."""
+    own = _content(counts[1, k], counts[0, k], n[1, k], n[0, k])
+    begins, total = {}, 0
+    for turn in sorted(filter(inside, lengths)):
+        begins[turn] = total
+        total += lengths[turn]
+    return own, (begins, max(1, total // PIECES))
+
 
+def _pieces(texts: DataFrame, wanted: list[tuple[dict[int, int], int]]) -> list[list[bytes]]:
+    """For each set every stride-th window of its texts, in order."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
-    """The contents of both dictionaries, or None where nothing sets the toxic texts apart."""
-    counts = {1: _counts(toxic), 0: _counts(ordinary)}
-    own = _content(counts[1], counts[0], len(toxic), len(ordinary))
-    if not own or not ordinary:
-        return None
-    pieces = [w for t in ordinary[:3000] for w in windows(t)]
-    pieces = pieces[:: max(1, len(pieces) // 100_000)]
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for turn, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                found = windows(text)
+                for k, (begins, stride) in enumerate(sent.value):
+                    if turn in begins:
+                        some = found[-begins[turn] % stride :: stride]
+                        same = [pa.array([v] * len(some), pa.int32()) for v in (k, turn)]
+                        yield pa.record_batch([*same, pa.array(range(len(some)), pa.int64()), pa.array(some, pa.binary())], ["k", "turn", "at", "piece"])
+
+    out: list[list[bytes]] = [[] for _ in wanted]
+    for r in sorted(texts.mapInArrow(batches, "k int, turn int, at long, piece binary").collect(), key=lambda r: (r["k"], r["turn"], r["at"])):
+        out[r["k"]].append(bytes(r["piece"]))
+    return out
+
+
+def _vectors(texts: DataFrame, halves: list[tuple[bytes, bytes] | None]) -> DataFrame:
+    """``label, turn, x``: the features of each text with the words of the other half."""
+    sent = texts.sparkSession.sparkContext.broadcast(halves)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = [half and tuple(map(_compressor, half)) for half in sent.value]
+        for part in parts:
+            rows = [r for r in zip(*(c.to_pylist() for c in part.columns), strict=True) if tools[1 - r[1] % 2]]
+            x = [features(text, *tools[1 - turn % 2]).tolist() for _, turn, text in rows]
+            same = [pa.array([r[i] for r in rows], pa.int32()) for i in (0, 1)]
+            yield pa.record_batch([*same, pa.array(x, pa.list_(pa.float64()))], ["label", "turn", "x"])
+
+    return texts.mapInArrow(batches, "label int, turn int, x array<double>")
+
+
+def _contents(own: bytes, pieces: list[bytes]) -> tuple[bytes, bytes]:
+    """The contents of both dictionaries."""
     try:
         base = zstandard.train_dictionary(BASE_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
@@ -162,10 +243,6 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]
     return base + own, base + b"\0" * len(own)  # the base lies equally far back in both
 
 
-def _counts(texts: list[str]) -> Counter:
-    return Counter(w for t in texts for w in terms(t))
-
-
 @lru_cache(maxsize=2)
 def ready(state: tuple) -> Model:
     return Model(*state)
@@ -179,9 +256,9 @@ def held_out(key) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", value: str = "text", label: str = "toxic") -> Model:
     """Fit on the labelled documents that are not held out.
 
-    At most ``SAMPLE`` documents per class, those with the smallest hash of their key, with their first
-    ``SAMPLE_LETTERS`` letters reach the driver. Labels other than 0 and 1 are left out; of several labels
-    of a document the largest counts. Without toxic labels every score is 0.
+    At most ``SAMPLE`` documents per class are used, those with the smallest hash of their key, each with its
+    whole text; of repeated keys the row with the smallest text digest. Labels other than 0 and 1 are left
+    out; of several labels of a document the largest counts. Without toxic labels every score is 0.
     """
     known = labels.select(quoted(key).cast("long").alias("doc_id"), quoted(label).cast("int").alias("label"))
     known = known.where("label IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -191,9 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", value: str =
     for name, most in SAMPLE.items():
         part = known.where(F.col("label") == name).orderBy(order, "doc_id").limit(most)
         some = part if some is None else some.unionByName(part)
-    texts = identified(docs, key, value)
-    sample = texts.join(F.broadcast(some), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_LETTERS).alias("text"), "label")
-    return fit([tuple(r) for r in sample.collect()], sizes)
+    rows = identified(docs, key, value).join(F.broadcast(some), "doc_id").withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    # One row of each document: a labelled key can be repeated in any number of rows.
+    one = rows.groupBy("doc_id", "label").agg(F.min("digest").alias("digest"))
+    sample = rows.join(F.broadcast(one), ["doc_id", "label", "digest"]).groupBy("doc_id", "label", "digest").agg(F.first("text").alias("text"))
+    return fit(materialize(sample.select("doc_id", "text", "digest", "label"), "sample"), sizes)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", value: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 
@@ -84,6 +85,25 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, known.where("toxic = 0"))).collect()} == {0}
 
 
+def test_toxicity_of_late_passages(spark, monkeypatch):
+    rng = random.Random(14)
+    plain = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(160):
+        words = [rng.choice(plain) for _ in range(3600)]  # more than 20,000 letters
+        words += [rng.choice(["vilestword", "nastyinsult"]) if i % 2 and rng.random() < 0.2 else rng.choice(plain) for _ in range(400)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    rows += [(next(i for i in range(160) if i % 2 and zlib.crc32(str(i).encode()) % 5), f"again {k}") for k in range(300)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda sample, sizes: (seen.append((sample.count(), sample.select("doc_id").distinct().count())), fit(sample, sizes))[1])
+    model = toxicity.train(docs, known)
+    assert seen[0][0] == seen[0][1]
+    found = [r for r in toxicity.score(docs.where("text NOT LIKE 'again%'"), model).collect() if r.held_out]
+    assert np.mean([r.predicted == r.doc_id % 2 for r in found]) > 0.9
+
+
 def test_pages(spark):
     page = (
         "<html><body class='has-sidebar'><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div id=main><h2>Title &amp; more</h2>"
