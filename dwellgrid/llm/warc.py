@@ -35,8 +35,6 @@ LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n", re.I)
 LEAST_SHARED = 100
 #: Records of one file at most, so that a file fits a reading task.
 RECORDS_A_FILE = 5_000
-#: Bytes of a record's header at most.
-LONGEST_HEADER = 1 << 16
 
 CANDIDATE = (
     "file string, begin long, after long, size long, kind string, record_id string, refers string, uri string,"
@@ -95,11 +93,17 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 
 def _candidates(file: str, data: bytes) -> list[tuple]:
     out = []
+    stop, length = -1, LENGTH.search(data)
     for found in MAGIC.finditer(data):
         begin = found.start()
-        stop = data.find(b"\r\n\r\n", begin, begin + LONGEST_HEADER)
-        length = LENGTH.search(data, begin, stop + 2) if stop > 0 else None
-        if length is None:
+        # The next header end and length are looked for once, however many places of the magic lie before them.
+        if stop < begin:
+            stop = data.find(b"\r\n\r\n", begin)
+        if length is not None and length.start() < begin:
+            length = LENGTH.search(data, begin)
+        if stop < 0 or length is None:
+            break
+        if length.end() > stop + 2:
             continue
         body, size = stop + 4, int(length[1])
         after = body + size + 4
@@ -116,9 +120,28 @@ def _candidates(file: str, data: bytes) -> list[tuple]:
                 fields.get(b"warc-target-uri"), fields.get(b"warc-payload-digest"), size, hashlib.sha256(payload).hexdigest(),
             )
         )
+    _whole(file, data, {begin: after for _, begin, after, *_ in out})
     return out
 
 
+def _whole(file: str, data: bytes, successor: dict[int, int]) -> None:
+    """Raise where the chain from the file's start ends before its end, unless the file breaks off within a record."""
+    at = 0
+    while at in successor:
+        at = successor[at]
+    if at == len(data):
+        return
+    magic = MAGIC.match(data, at)
+    stop = data.find(b"\r\n\r\n", at)
+    length = LENGTH.search(data, at, stop + 2) if stop >= 0 else None
+    if stop < 0:
+        broken_off = magic is not None or len(data) - at < len(VERSION) + 2
+    else:
+        broken_off = magic is not None and length is not None and stop + 4 + int(length[1]) + 4 > len(data)
+    if not broken_off:
+        raise ValueError(f"{file}: no well-formed record at byte {at} of {len(data)}")
+
+
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Every place in the files where a well-formed record could begin, with its successor."""
 
@@ -155,7 +178,8 @@ def reached(begin: np.ndarray, after: np.ndarray) -> np.ndarray:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of an archive's files that lie on the chain from the file's start, in ``CANDIDATE``'s columns.
 
-    A file that breaks off ends at its last whole record. An archive without records gives no rows.
+    A file that breaks off within a record ends at its last whole record; anything else that is no record where
+    one should begin raises ``ValueError``. Headers have any length. An archive without records gives no rows.
     """
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:

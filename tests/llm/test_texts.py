@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from dwellgrid.llm import html, pii, toxicity, warc
 from dwellgrid.session import new_folder
@@ -150,6 +151,21 @@ def test_archive_round_trip(spark):
     assert warc.candidates(spark, folder).count() > len(rows) - 1
 
 
+def test_long_headers_and_broken_chains(spark):
+    rows = [(1, "u", "a page"), (2, "u" * 70_000, "another"), (3, "u", "the last")]
+    folder = new_folder(spark, "warc-test")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    assert sorted(r.page_id for r in warc.payloads(warc.read(spark, folder)).collect()) == [1, 2, 3]
+    record = lambda n, body: f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {n}\r\n\r\n{body}\r\n\r\n".encode()
+    one = record(3, "abc")
+    assert len(warc._candidates("f", one * 3)) == 3 and warc._candidates("f", b"") == []
+    for cut in range(1, len(one)):
+        assert len(warc._candidates("f", one + one[:cut])) == 1
+    for bad in (one + record(2, "abc") + one, one + b"stray text, no record" + one, one + b"WARC/1.1\r\nX: y\r\n\r\n" + one):
+        with pytest.raises(ValueError, match=f"byte {len(one)} "):
+            warc._candidates("f", bad)
+
+
 def test_pointer_jumping_keeps_the_chain_only():
     begin, after = np.array([0, 4, 10, 12, 20]), np.array([10, 12, 20, 15, 30])
     assert warc.reached(begin, after).tolist() == [True, False, True, False, True]
