@@ -13,7 +13,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.functions.clock import HOUR_MICROS, micros
 from dwellgrid.operators.ordered import Step, by_key
 from dwellgrid.plans.tables import Tables, build_from_csv
 from dwellgrid.session import configure, materialize, new_folder
@@ -216,7 +215,6 @@ class Dataset:
             events,
             ["user_id"],
             ["t0", "event_id"],
-            F.floor(micros("t0") / HOUR_MICROS),
             lambda rows, scan: scan(rows, [Step("_src", "lag", F.col("dst"))]),
         )
         trips = ordered.withColumns(

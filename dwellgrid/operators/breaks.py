@@ -27,13 +27,14 @@ from dwellgrid.functions.geo import (
 )
 from dwellgrid.operators.filters import filter_daily_trips, filter_near_segment
 from dwellgrid.operators.nearest import cell, neighbours
-from dwellgrid.operators.ordered import HOT_ROWS, Scan, Step, by_key
+from dwellgrid.operators.ordered import Scan, Step, by_key
 from dwellgrid.params import Breaks, Filter, Road, clamp
 from dwellgrid.session import materialize
 
 ROUTE_QUALITY = "laag: lineaire ritprogressie"
 HALF_LINE_KM = 0.75
 RESET_VEHICLES = 5
+MM_PER_KM = 1_000_000
 
 
 def break_trips(trips: DataFrame, stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
@@ -99,11 +100,11 @@ def _near_resets(moves: DataFrame, resets: DataFrame, radius_km: float) -> DataF
 
 
 def break_trip_labels(
-    trips: DataFrame, breaks: Breaks = Breaks(), resets: DataFrame | None = None, hot_rows: int = HOT_ROWS
+    trips: DataFrame, breaks: Breaks = Breaks(), resets: DataFrame | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Trips with their shift, the driving before them in it, and why they count or not."""
     breaks = breaks.normalized()
-    progress = shift_progress(shift_sessions(trips, resets, breaks, hot_rows), breaks)
+    progress = shift_progress(shift_sessions(trips, resets, breaks, ranges), breaks)
     before = F.col("drive_before")
     after = before + F.col("drive_hours")
     reason = (
@@ -117,13 +118,13 @@ def break_trip_labels(
 
 
 def shift_sessions(
-    trips: DataFrame, resets: DataFrame | None = None, breaks: Breaks = Breaks(), hot_rows: int = HOT_ROWS
+    trips: DataFrame, resets: DataFrame | None = None, breaks: Breaks = Breaks(), ranges: int | None = None
 ) -> DataFrame:
     """Number the shifts of each vehicle.
 
     A shift ends at a standstill of ``reset_gap_h`` hours at a reset location. That depends only on
     a trip and the one before it, so shifts are a running count, and the driving before a trip is the
-    vehicle's running total minus what it was when the shift began.
+    vehicle's running total minus what it was when the shift began. Kilometres count in whole millimetres.
     """
     breaks = breaks.normalized()
     keys, order = ["_vehicle"], ["trip_start", "_trip"]
@@ -136,6 +137,7 @@ def shift_sessions(
     )
     resets = materialize(reset_locations(trips, breaks.min_visits) if resets is None else resets, "resets")
     counted = F.col("plausible")
+    millimetres = F.round(F.col("distance_km") * MM_PER_KM).cast("long")
     move = ["prev_lat", "prev_lon", "start_lat", "start_lon"]
 
     def shifts(rows: DataFrame, scan: Scan) -> DataFrame:
@@ -144,9 +146,9 @@ def shift_sessions(
             rows,
             [
                 Step("_previous", "lag", previous),
-                # Whole microseconds add up exactly; hours would not.
+                # Whole microseconds and millimetres add up exactly; hours and kilometres would not.
                 Step("_drive_total", "sum", F.when(counted, F.col("_worked")).otherwise(F.lit(0))),
-                Step("_km_total", "sum", F.when(counted, F.col("distance_km")).otherwise(F.lit(0.0))),
+                Step("_mm_total", "sum", F.when(counted, millimetres).otherwise(F.lit(0))),
             ],
         )
         gap = (micros("trip_start") - micros("_previous.trip_end")) / float(HOUR_MICROS)
@@ -164,7 +166,7 @@ def shift_sessions(
             "is_reset", F.col("_rested") & F.coalesce("_near", F.lit(False))
         )
         opens = F.col("_previous").isNull() | F.col("is_reset")
-        start = F.when(opens, F.struct("trip_start", "_drive_total", "_km_total"))
+        start = F.when(opens, F.struct("trip_start", "_drive_total", "_mm_total"))
         numbered = scan(
             flagged.withColumn("_opens", F.when(opens, 1).otherwise(0)),
             [Step("_shift", "last", start), Step("_shifts", "sum", F.col("_opens"))],
@@ -175,11 +177,10 @@ def shift_sessions(
             F.col("_shift.trip_start").alias("shift_start"),
             "is_reset",
             (F.col("_drive_total") - F.col("_shift._drive_total")).alias("_drive_in_shift"),
-            (F.col("_km_total") - F.col("_shift._km_total")).alias("_km_in_shift"),
+            ((F.col("_mm_total") - F.col("_shift._mm_total")) / float(MM_PER_KM)).alias("_km_in_shift"),
         )
 
-    chunk = F.floor(micros("trip_start") / HOUR_MICROS)
-    return by_key(named, keys, order, chunk, shifts, hot_rows).drop("_vehicle", "_trip")
+    return by_key(named, keys, order, shifts, ranges).drop("_vehicle", "_trip")
 
 
 def shift_progress(sessions: DataFrame, breaks: Breaks = Breaks()) -> DataFrame:

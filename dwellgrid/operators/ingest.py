@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.functions.clock import HOUR_MICROS, dwell_minutes, micros
+from dwellgrid.functions.clock import dwell_minutes
 from dwellgrid.functions.geo import location_id
 from dwellgrid.functions.text import (
     blank_to_null,
@@ -23,7 +23,7 @@ from dwellgrid.functions.text import (
     text_or_empty,
 )
 from dwellgrid.operators.filters import TRIP_KEY
-from dwellgrid.operators.ordered import HOT_ROWS, Scan, Step, by_key
+from dwellgrid.operators.ordered import Scan, Step, by_key
 from dwellgrid.session import materialize
 
 # Accepted headers per field, in order of preference.
@@ -130,22 +130,25 @@ def geocode_join(typed: DataFrame, geocode: DataFrame | None) -> DataFrame:
     return typed.join(known, "address", "left")
 
 
-def sequence_actions(
-    typed: DataFrame, name: str = "action_seq", by_action: bool = True, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Number the rows of a trip from 0 by start, end and address (and action)."""
-    dated = typed.withColumn("trip_date", F.col("planned_start").cast("date")).withColumn(
-        "_open", F.col("planned_end").isNull()
-    )
-    order = ["planned_start", "_open", "planned_end", "address", *(["action"] if by_action else [])]
+def sequence_actions(typed: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Number the rows of a trip from 0, all of them (``action_seq``) and the stops among them (``stop_seq``).
+
+    The order is start, end, address and action, and then every other column, so that it is total. Stops share one
+    action, which therefore does not tell them apart: one scan numbers both. ``stop_seq`` is null on other
+    rows, and without ``is_travel`` every row is a stop.
+    """
+    lowered = typed.withColumn("_action", F.lower("action")).withColumn("trip_date", F.col("planned_start").cast("date"))
+    stop = F.col("is_travel") if "is_travel" in typed.columns else F.lit(True)
+    dated = lowered.withColumns({"_open": F.col("planned_end").isNull(), "_stop": F.coalesce(stop, F.lit(False))})
+    order = ["planned_start", "_open", "planned_end", "address", "_action"]
 
     def number(rows: DataFrame, scan: Scan) -> DataFrame:
-        return scan(rows, [Step("_position", "sum", F.lit(1))])
+        stops = F.when(F.col("_stop"), 1).otherwise(0)
+        return scan(rows, [Step("action_seq", "sum", F.lit(1)), Step("stop_seq", "sum", stops)])
 
-    # Rows of a trip share a day, so a large trip is cut by the minute.
-    chunk = F.floor(micros("planned_start") / (HOUR_MICROS // 60))
-    numbered = by_key(dated, TRIP_KEY, order, chunk, number, hot_rows)
-    return numbered.withColumn(name, F.col("_position").cast("int")).drop("_open", "_position")
+    numbered = by_key(dated, TRIP_KEY, order, number, ranges)
+    stop_seq = F.when(F.col("_stop"), F.col("stop_seq").cast("int"))
+    return numbered.withColumns({"action_seq": F.col("action_seq").cast("int"), "stop_seq": stop_seq}).drop("_open", "_stop", "_action")
 
 
 def typed_rows(raw: DataFrame, geocode: DataFrame | None = None) -> DataFrame:
@@ -155,9 +158,14 @@ def typed_rows(raw: DataFrame, geocode: DataFrame | None = None) -> DataFrame:
     return valid_row_filter(geocode_join(resolve_columns(raw, travel.alias("is_travel")), geocode))
 
 
-def route_actions(typed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered_rows(raw: DataFrame, geocode: DataFrame | None = None) -> DataFrame:
+    """Typed and numbered rows, stored: the raw text is parsed once and the rows are put in order once."""
+    return materialize(sequence_actions(materialize(typed_rows(raw, geocode), "typed")), "numbered")
+
+
+def route_actions(numbered: DataFrame) -> DataFrame:
     """Every action of every trip, also where its place is unknown."""
-    rows = sequence_actions(typed.withColumn("action", F.lower("action")), hot_rows=hot_rows)
+    rows = numbered.withColumn("action", F.lower("action"))
     unknown = F.lit("unknown_location")
     address = blank_to_null("address")
     return rows.select(
@@ -184,9 +192,9 @@ def route_actions(typed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def travel_stops(typed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def travel_stops(numbered: DataFrame) -> DataFrame:
     """Travel stops with a known place. Numbering comes first, so gaps mark dropped stops."""
-    rows = sequence_actions(typed.where("is_travel"), "stop_seq", by_action=False, hot_rows=hot_rows)
+    rows = numbered.where("is_travel")
     padded = F.lpad(F.col("stop_seq").cast("string"), 2, "0")
     stops = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
         "vehicle_code",
@@ -213,14 +221,14 @@ def travel_stops(typed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return extract_pc6_column(stops)
 
 
-def build_route_actions(raw: DataFrame, geocode: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Raw rows to route actions. The typed rows are stored, so the raw text is parsed once."""
-    return route_actions(materialize(typed_rows(raw, geocode), "typed"), hot_rows)
+def build_route_actions(raw: DataFrame, geocode: DataFrame | None = None) -> DataFrame:
+    """Raw rows to route actions."""
+    return route_actions(numbered_rows(raw, geocode))
 
 
-def build_stops(raw: DataFrame, geocode: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Raw rows to stops. The typed rows are stored, so the raw text is parsed once."""
-    return travel_stops(materialize(typed_rows(raw, geocode), "typed"), hot_rows)
+def build_stops(raw: DataFrame, geocode: DataFrame | None = None) -> DataFrame:
+    """Raw rows to stops."""
+    return travel_stops(numbered_rows(raw, geocode))
 
 
 def route_actions_from_stops(stops: DataFrame) -> DataFrame:

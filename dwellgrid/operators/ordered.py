@@ -1,9 +1,10 @@
 """Ordered per-key logic that does not depend on any key being small.
 
-A window over a key puts all rows of that key into one task. That is the right plan while keys are
-small, so ``by_key`` counts first and keeps the plain window for every key within ``hot_rows``. Keys
-beyond it are cut into chunks of their order column: each chunk is scanned on its own, one summary
-row per chunk is scanned over the key, and the result is carried into the chunk's rows.
+The rows of all keys are put into one order, by key and then within the key, and cut into ranges of about the same
+size; where a range begins or ends has nothing to do with keys. Each range is scanned on its own. Only the last
+key of a range can go on in the next, so one summary row per range says how that key stands at its end, the
+summaries are scanned over the ranges, and what they carry is added to the rows of the first key of each
+range. Every key takes this path, whatever its size.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 from dwellgrid.session import materialize
 
-HOT_ROWS = 2_000_000
-
 
 @dataclass(frozen=True)
 class Step:
@@ -34,88 +33,55 @@ class Step:
 
 
 Scan = Callable[[DataFrame, Sequence[Step]], DataFrame]
+PLACE = ("_range", "_at")
+
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` as a stored table with ``_range`` and, rising within and over ranges, ``_at``.
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None. At most rows / hot_rows of them exist."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    found = counted.where(F.col("_rows") > hot_rows).select(*keys)
-    return None if found.isEmpty() else materialize(found, "hot-keys")
+    All other columns are the last keys of the order, so only rows equal in everything are open among themselves; a
+    number spreads even those over ranges. Without ``ranges`` the session's number of shuffle partitions holds.
+    """
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    by = [F.col(c) for c in (*keys, *order, *rest, "_own")]
+    held = df.withColumn("_own", F.monotonically_increasing_id())
+    spread = held.repartitionByRange(ranges, *by) if ranges else held.repartitionByRange(*by)
+    placed = spread.sortWithinPartitions(*by).drop("_own").withColumn("_at", F.monotonically_increasing_id())
+    return materialize(placed, "ordered").withColumn("_range", F.shiftright("_at", 33))
 
 
 def by_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    work: Callable[[DataFrame, Scan], DataFrame],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[DataFrame, Scan], DataFrame], ranges: int | None = None
 ) -> DataFrame:
-    """Run ``work`` with a scan over ``keys`` ordered by ``order``.
+    """Run ``work`` with a scan over ``keys``, each in ``order`` and then by all other columns. Null keys are keys.
 
-    ``order`` names non-null columns that put the rows of a key in a total order; ``chunk`` must not
-    fall along that order.
+    ``work`` may scan several times and must keep the columns ``PLACE``.
     """
 
-    def plain(part: DataFrame, steps: Sequence[Step]) -> DataFrame:
-        return _scan(part, keys, order, steps)
-
-    def chunked(part: DataFrame, steps: Sequence[Step]) -> DataFrame:
-        return _chunked_scan(part, keys, order, chunk, steps)
-
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
-        return work(df, plain)
-    regular = df.join(hot, list(keys), "left_anti")
-    large = df.join(hot, list(keys), "left_semi")
-    return work(regular, plain).unionByName(work(large, chunked))
-
-
-def _scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Sequence[Step]) -> DataFrame:
-    rows = W.partitionBy(*keys).orderBy(*order)
-    before = rows.rowsBetween(W.unboundedPreceding, -1)
-    through = rows.rowsBetween(W.unboundedPreceding, W.currentRow)
-    values = {
-        "lag": lambda step: F.lag(step.value).over(rows),
-        "sum": lambda step: F.coalesce(F.sum(step.value).over(before), F.lit(0)),
-        "max": lambda step: F.max(step.value).over(before),
-        "last": lambda step: F.last(step.value, ignorenulls=True).over(through),
-    }
-    return df.select("*", *[values[step.kind](step).alias(step.name) for step in steps])
+    def scan(rows: DataFrame, steps: Sequence[Step]) -> DataFrame:
+        return _scan(rows, keys, steps)
 
+    return work(in_ranges(df, keys, order, ranges), scan).drop(*PLACE)
 
-def _chunked_scan(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, steps: Sequence[Step]
-) -> DataFrame:
-    # Written once: both passes below read it, and nested scans would otherwise repeat each other.
-    rows = materialize(df.withColumn("_chunk", chunk), "ordered")
-    position = F.struct(*order)
-
-    # Wrapped, so that a null value differs from "no such row in this chunk".
-    local = [Step(f"_in_{s.name}", s.kind, F.struct(s.value.alias("v")) if s.kind == "lag" else s.value) for s in steps]
-    inside = _scan(rows, [*keys, "_chunk"], order, local)
-
-    summaries = {
-        "lag": lambda step: F.max_by(F.struct(step.value.alias("v")), position),
-        "sum": lambda step: F.sum(step.value),
-        "max": lambda step: F.max(step.value),
-        "last": lambda step: F.max_by(step.value, F.when(step.value.isNotNull(), position)),
-    }
-    chunks = rows.groupBy(*keys, "_chunk").agg(*[summaries[s.kind](s).alias(f"_sum_{s.name}") for s in steps])
 
-    # One row per chunk: a key has at most as many as its order column has chunks.
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carries = {
-        "lag": lambda c: F.last(c).over(earlier),
-        "sum": lambda c: F.sum(c).over(earlier),
-        "max": lambda c: F.max(c).over(earlier),
-        "last": lambda c: F.last(c, ignorenulls=True).over(earlier),
+def _scan(rows: DataFrame, keys: Sequence[str], steps: Sequence[Step]) -> DataFrame:
+    here = W.partitionBy("_range", *keys).orderBy("_at")
+    before = here.rowsBetween(W.unboundedPreceding, -1)
+    through = here.rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Wrapped, so that a null value differs from "no such row in this range".
+    inside = {
+        "lag": lambda s: F.lag(F.struct(s.value.alias("v"))).over(here),
+        "sum": lambda s: F.coalesce(F.sum(s.value).over(before), F.lit(0)),
+        "max": lambda s: F.max(s.value).over(before),
+        "last": lambda s: F.last(s.value, ignorenulls=True).over(through),
     }
-    carried = chunks.select(
-        *keys, "_chunk", *[carries[s.kind](F.col(f"_sum_{s.name}")).alias(f"_from_{s.name}") for s in steps]
-    )
-
-    joined = inside.join(carried, [*keys, "_chunk"], "left")
+    local = rows.select(
+        "*", F.struct(*keys).alias("_key"),
+        *[inside[s.kind](s).alias(f"_in_{i}") for i, s in enumerate(steps)], *[s.value.alias(f"_own_{i}") for i, s in enumerate(steps)],
+    )
+    carried = _carried(local, steps)
+    joined = local.join(F.broadcast(carried), "_range")  # one row per range of the shuffle
+    first = F.col("_key").eqNullSafe(F.col("_first"))
     merged = {
         "lag": lambda here, carry: F.coalesce(here, carry)["v"],
         "sum": lambda here, carry: here + F.coalesce(carry, F.lit(0)),
@@ -123,6 +89,36 @@ def _chunked_scan(
         "last": lambda here, carry: F.coalesce(here, carry),
     }
     outputs = [
-        merged[s.kind](F.col(f"_in_{s.name}"), F.col(f"_from_{s.name}")).alias(s.name) for s in steps
+        merged[s.kind](F.col(f"_in_{i}"), F.when(first, F.col(f"_carry_{i}"))).alias(s.name) for i, s in enumerate(steps)
     ]
-    return joined.select(*df.columns, *outputs)
+    return joined.select(*rows.columns, *outputs)
+
+
+def _carried(local: DataFrame, steps: Sequence[Step]) -> DataFrame:
+    """``_range, _first`` and, per step, what the ranges before hold of the first key of a range."""
+    ends = {
+        "lag": lambda here, own: F.struct(own.alias("v")),
+        "sum": lambda here, own: here + F.coalesce(own, F.lit(0)),
+        "max": lambda here, own: F.greatest(here, own),
+        "last": lambda here, own: here,
+    }
+    state = [ends[s.kind](F.col(f"_in_{i}"), F.col(f"_own_{i}")).alias(f"s{i}") for i, s in enumerate(steps)]
+    ranges = local.groupBy("_range").agg(
+        F.min_by("_key", "_at").alias("_first"), F.max_by(F.struct("_key", *state), "_at").alias("_last")
+    )
+    # A range asks for its first key before it answers for its last.
+    ask = ranges.select("_range", F.lit(0).alias("_turn"), F.col("_first").alias("_key"), *[F.lit(None).alias(f"s{i}") for i in range(len(steps))])
+    tell = ranges.select("_range", F.lit(1).alias("_turn"), "_last._key", *[F.col(f"_last.s{i}").alias(f"s{i}") for i in range(len(steps))])
+    earlier = W.partitionBy("_key").orderBy("_range", "_turn").rowsBetween(W.unboundedPreceding, -1)
+    told = F.col("_turn") == 1
+    carries = {
+        "lag": lambda c: F.last(F.when(told, c), ignorenulls=True).over(earlier),
+        "sum": lambda c: F.sum(c).over(earlier),
+        "max": lambda c: F.max(c).over(earlier),
+        "last": lambda c: F.last(c, ignorenulls=True).over(earlier),
+    }
+    both = tell.unionByName(ask)
+    found = both.select(
+        "_range", "_turn", F.col("_key").alias("_first"), *[carries[s.kind](F.col(f"s{i}")).alias(f"_carry_{i}") for i, s in enumerate(steps)]
+    )
+    return found.where("_turn = 0").drop("_turn")

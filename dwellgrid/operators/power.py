@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.functions.clock import HOUR_MICROS, hours_between, micros
+from dwellgrid.functions.clock import hours_between, micros
 from dwellgrid.functions.geo import bankers_round
 from dwellgrid.functions.text import text_or_empty, vehicle_key
 from dwellgrid.operators.aggregates import mode_text
 from dwellgrid.operators.demand import hour_slots
 from dwellgrid.operators.filters import CHARGE_WINDOW_ACTIONS, TRIP_KEY, filter_power_actions
-from dwellgrid.operators.ordered import HOT_ROWS, Scan, Step, by_key
+from dwellgrid.operators.ordered import Scan, Step, by_key
 from dwellgrid.operators.overview import first_rows
 from dwellgrid.params import Filter, Power
 from dwellgrid.session import materialize
@@ -48,7 +48,7 @@ def _minutes(start: str, end: str) -> Column:
     return hours_between(start, end) * 60.0
 
 
-def presence_windows(actions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def presence_windows(actions: DataFrame, ranges: int | None = None) -> DataFrame:
     """Uninterrupted stays of a vehicle at one place within a trip that allow charging.
 
     Consecutive actions at one place are one stay. The stay counts when any action in it is a charge
@@ -65,9 +65,7 @@ def presence_windows(actions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             "_stay", F.col("_moves") + F.col("_moved")
         )
 
-    # A trip key is one day, so a large trip is cut by the minute.
-    chunk = F.floor(micros("planned_start") / (HOUR_MICROS // 60))
-    numbered = by_key(usable, keys, order, chunk, stays, hot_rows)
+    numbered = by_key(usable, keys, order, stays, ranges)
     arrival = F.when(F.lower("action") == "travel", F.col("planned_end")).otherwise(F.col("planned_start"))
     carried = [c for c in WINDOW_COLUMNS if c not in (*keys, "planned_start", "planned_end", "dwell_min")]
     grouped = numbered.groupBy(*keys, "_stay").agg(
@@ -85,7 +83,7 @@ def presence_windows(actions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def merge_presence_windows(
-    windows: DataFrame, gap_min: float = MERGE_GAP_MINUTES, hot_rows: int = HOT_ROWS
+    windows: DataFrame, gap_min: float = MERGE_GAP_MINUTES, ranges: int | None = None
 ) -> DataFrame:
     """Join windows of a vehicle at a place that overlap or follow within ``gap_min`` minutes."""
     keys = ["_vehicle", "_place"]
@@ -104,8 +102,7 @@ def merge_presence_windows(
             "_run", F.col("_opened") + F.col("_opens")
         )
 
-    chunk = F.floor(micros("planned_start") / HOUR_MICROS)
-    numbered = by_key(named, keys, order, chunk, runs, hot_rows)
+    numbered = by_key(named, keys, order, runs, ranges)
     carried = [c for c in WINDOW_COLUMNS if c not in ("planned_start", "planned_end", "dwell_min")]
     return (
         numbered.groupBy(*keys, "_run")
@@ -120,15 +117,12 @@ def merge_presence_windows(
     )
 
 
-def power_windows(
-    actions: DataFrame, flt: Filter = Filter(), power: Power = Power(), hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def power_windows(actions: DataFrame, flt: Filter = Filter(), power: Power = Power()) -> DataFrame:
     """Filtered actions as merged presence windows; the filter comes first and so shapes the stays.
 
     Stored, because every profile reads the windows several times.
     """
-    windows = materialize(presence_windows(filter_power_actions(actions, flt, power), hot_rows), "presence")
-    return materialize(merge_presence_windows(windows, hot_rows=hot_rows), "power-windows")
+    return materialize(merge_presence_windows(presence_windows(filter_power_actions(actions, flt, power))), "power-windows")
 
 
 def window_kw(power: Power) -> Column:

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.operators import ingest, tables
-from dwellgrid.operators.ordered import HOT_ROWS
-from dwellgrid.session import materialize
 
 STORED = ("route_actions", "stops", "daily_trips", "vehicle_days", "overnight_events", "road_selection_index")
 
@@ -53,14 +51,11 @@ def store_tables(route_actions: DataFrame, stops: DataFrame, folder: str) -> Tab
     return Tables(actions, stops, trips, days, overnight, index)
 
 
-def build_from_csv(
-    raw: DataFrame, folder: str, geocode: DataFrame | None = None, zones: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> Tables:
+def build_from_csv(raw: DataFrame, folder: str, geocode: DataFrame | None = None, zones: DataFrame | None = None) -> Tables:
     """From raw trip rows to stored tables."""
-    typed = materialize(ingest.typed_rows(raw, geocode), "typed")
-    stops = ingest.enrich_ze_zone(ingest.travel_stops(typed, hot_rows), zones)
-    return store_tables(ingest.route_actions(typed, hot_rows), stops, folder)
+    numbered = ingest.numbered_rows(raw, geocode)
+    stops = ingest.enrich_ze_zone(ingest.travel_stops(numbered), zones)
+    return store_tables(ingest.route_actions(numbered), stops, folder)
 
 
 def build_from_stops(stops: DataFrame, folder: str, zones: DataFrame | None = None) -> Tables:
