@@ -218,7 +218,7 @@ CTES: dict[str, str] = {
             printf('%.5f:%.5f', lat1, lon1) AS start_key, printf('%.5f:%.5f', lat2, lon2) AS end_key,
             lat1 || '|' || lon1 || '|' || lat2 || '|' || lon2 || '|1' AS edge_id,
             CAST(row_number() OVER (ORDER BY n_passes DESC, n_vehicles DESC, lat1, lon1, lat2, lon2) AS INTEGER) AS rk
-        FROM busy_edges""",
+        FROM edges WHERE n_passes >= 1""",
     "edge_next": """
         SELECT a.rk, b.rk AS nxt FROM edge_ranked a JOIN edge_ranked b ON b.bucket = a.bucket AND b.start_key = a.end_key
         WHERE (SELECT count(*) FROM edge_ranked x WHERE x.bucket = a.bucket AND x.start_key = a.end_key) = 1

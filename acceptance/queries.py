@@ -757,7 +757,7 @@ def _full(d: Dataset) -> DataFrame:
 
 
 def _chains(d: Dataset) -> DataFrame:
-    return roads.contract_road_chains(roads.enrich_road_edges(roads.top_road_edges(_full(d))))
+    return roads.contract_road_chains(roads.enrich_road_edges(_full(d)))
 
 
 @query

@@ -28,6 +28,7 @@ from dwellgrid.functions.geo import (
 from dwellgrid.operators.filters import filter_daily_trips, filter_near_segment
 from dwellgrid.operators.nearest import cell, neighbours
 from dwellgrid.operators.ordered import Scan, Step, by_key
+from dwellgrid.operators.ranking import heaviest
 from dwellgrid.params import Breaks, Filter, Road, clamp
 from dwellgrid.session import materialize
 
@@ -338,12 +339,10 @@ def break_demand_lines(events: DataFrame, breaks: Breaks = Breaks()) -> DataFram
             F.lit(float(round(clamp(breaks.reset_radius_km, 0.2, 20), 2))).alias("radius_km"),
         )
     )
-    # The share to keep is a share of the lines that exist: one count over already aggregated rows.
-    lines = materialize(lines, "break-lines")
-    total = lines.count() if breaks.top_percent > 0 else 0
-    keep = ceil(total * breaks.top_percent / 100.0)
-    ranked = lines.orderBy(F.desc("passages"), F.desc("peak_mw"), F.desc("total_kwh"), "segment_id")
-    return ranked if total and keep == total else ranked.limit(keep)
+    share = max(0, breaks.top_percent)
+    order = [F.desc("peak_mw"), F.desc("total_kwh"), "segment_id"]
+    kept = heaviest(materialize(lines, "break-lines"), "passages", lambda rows: ceil(rows * share / 100.0), order)
+    return kept.orderBy(F.desc("passages"), *order)
 
 
 def break_demand_detail(events: DataFrame, road: Road, break_h: float = 0.75) -> DataFrame:

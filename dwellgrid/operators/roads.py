@@ -21,12 +21,15 @@ from dwellgrid.functions.geo import (
     point_segment_km,
 )
 from dwellgrid.operators.nearest import cell
+from dwellgrid.operators.ranking import heaviest
 from dwellgrid.params import Filter
 from dwellgrid.session import materialize
 
-# Small networks are shown with at least so many lines, drawn from so many edges.
+# Small networks are shown with at least so many lines and so many edges.
 LEAST_LINES, LEAST_EDGES = 50, 250
 MAX_LINE_KM = 8.0
+# Length of a path that one task settles at once; many times what a chain reaches.
+STRETCH_KM = 500.0
 _ENDS = ("lat1", "lon1", "lat2", "lon2")
 NAME_KM = 3.0
 SNAP_KM = 2.0
@@ -69,20 +72,16 @@ def _target(rows: int, flt: Filter) -> int:
 
 
 def top_road_edges(edges: DataFrame, flt: Filter = Filter()) -> DataFrame:
-    """The busiest edges: eight times the share asked for, so that lines can be built from them."""
-    busy = _busy_edges(edges, flt)
-    total = busy.count()
-    rows = max(LEAST_EDGES, 8 * _target(total, flt))
-    ranked = busy.orderBy(F.desc("n_passes"), F.desc("n_vehicles"), "lat1", "lon1", "lat2", "lon2")
-    return busy if rows >= total else ranked.limit(rows)
+    """The busiest edges: eight times the share asked for."""
+    order = [F.desc("n_vehicles"), "lat1", "lon1", "lat2", "lon2"]
+    return heaviest(_busy_edges(edges, flt), "n_passes", lambda rows: max(LEAST_EDGES, 8 * _target(rows, flt)), order)
 
 
 def road_heat(heat: DataFrame, flt: Filter = Filter()) -> DataFrame:
     busy = heat.where(F.col("weight") >= max(1, flt.road_threshold)).select("lat", "lon", "weight")
-    rows = busy.count()
-    keep = ceil(rows * flt.normalized().road_top_percent / 100.0)
-    ranked = busy.orderBy(F.desc("weight"), "lat", "lon")
-    return ranked if rows and keep == rows else ranked.limit(keep)
+    share = flt.normalized().road_top_percent
+    kept = heaviest(busy, "weight", lambda rows: ceil(rows * share / 100.0), ["lat", "lon"])
+    return kept.orderBy(F.desc("weight"), "lat", "lon")
 
 
 def enrich_road_edges(edges: DataFrame) -> DataFrame:
@@ -99,46 +98,80 @@ def enrich_road_edges(edges: DataFrame) -> DataFrame:
 
 
 def _linked_edges(edges: DataFrame) -> DataFrame:
-    """Edges with an id and the edge that continues them, where exactly one can."""
-    # Copies of an edge are told apart by a number, so ids do not depend on the order of rows. Edges
-    # are already one row per stretch of road, and the busiest 200,000 of them at most.
+    """Edges with an id and the edge before them, where exactly one can be and it continues nowhere else."""
+    # Copies of an edge are told apart by a number, so ids do not depend on the order of rows.
     copies = W.partitionBy(*_ENDS).orderBy(F.desc("n_passes"), F.desc("n_vehicles"))
     numbered = edges.withColumn(
         "edge_id",
         F.concat_ws("|", *[F.col(c).cast("string") for c in _ENDS], F.row_number().over(copies).cast("string")),
-    )
+    ).withColumn("_mm", F.ceil(F.col("length_km") * 1e6))
     numbered = materialize(numbered, "edges")
+    incoming = numbered.groupBy("bucket", F.col("end_key").alias("node")).agg(
+        F.count(F.lit(1)).alias("_in"), F.min("edge_id").alias("previous_id"), F.min("_mm").alias("_previous_mm")
+    )
     outgoing = numbered.groupBy("bucket", F.col("start_key").alias("node")).agg(
-        F.count(F.lit(1)).alias("_out"), F.min("edge_id").alias("next_id")
+        F.count(F.lit(1)).alias("_out"), F.min("edge_id").alias("_next_id")
     )
-    incoming = numbered.groupBy("bucket", F.col("end_key").alias("node")).agg(F.count(F.lit(1)).alias("_in"))
     through = (
         outgoing.join(incoming, ["bucket", "node"])
-        .where((F.col("_out") == 1) & (F.col("_in") == 1))
-        .select("bucket", F.col("node").alias("end_key"), "next_id")
+        .where((F.col("_out") == 1) & (F.col("_in") == 1) & (F.col("previous_id") != F.col("_next_id")))
+        .select("bucket", F.col("node").alias("start_key"), "previous_id", "_previous_mm")
     )
-    return numbered.join(through, ["bucket", "end_key"], "left")
+    return numbered.join(through, ["bucket", "start_key"], "left")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """``edge_id`` of every edge with a neighbour, and the smallest edge id on its path or ring.
+def _placed(links: DataFrame) -> DataFrame:
+    """``edge_id, path, _steps, _before`` of every edge with a neighbour: place and millimetres from its path's head.
 
-    Every edge has at most one successor and one predecessor, so pointers that double their reach
-    each step cover a path of n edges in about log2(n) equi-joins. When a step improves nothing,
-    every edge has seen its whole path.
+    Pointers to an edge before double their reach each step and add up what they pass, so a path of n edges
+    takes about log2(n) equi-joins. While some edge has not come to its head, one comes there in every step,
+    so when none does, those left lie on rings, whose smallest edge id is known by then. A ring is a path from that edge on.
     """
-    linked = links.where(F.col("next_id").isNotNull())
-    ahead = linked.select("edge_id", F.lit(1).alias("way"), F.col("next_id").alias("to"))
-    behind = linked.select(F.col("next_id").alias("edge_id"), F.lit(-1).alias("way"), F.col("edge_id").alias("to"))
-    state = ahead.unionByName(behind).withColumn("best", F.least("edge_id", "to"))
+    joined = links.where(F.col("previous_id").isNotNull())
+    heads = joined.select(F.col("previous_id").alias("edge_id")).join(joined, "edge_id", "left_anti")
+    first = heads.select(
+        "edge_id", F.col("edge_id").alias("to"), F.lit(0).cast("long").alias("_steps"), F.lit(0).cast("long").alias("_before"),
+        F.lit(True).alias("_home"), F.col("edge_id").alias("_least"),
+    )
+    others = joined.select(
+        "edge_id", F.col("previous_id").alias("to"), F.lit(1).cast("long").alias("_steps"), F.col("_previous_mm").alias("_before"),
+        F.lit(False).alias("_home"), F.least("edge_id", "previous_id").alias("_least"),
+    )
+    placed = _doubled(first.unionByName(others))
+    ring = placed.where(~F.col("_home"))
+    if not ring.isEmpty():
+        cut = ring.select("edge_id", F.col("_least").alias("_head"))
+        own = joined.join(cut, "edge_id")
+        opened = own.select(
+            "edge_id", F.when(F.col("edge_id") == F.col("_head"), F.col("edge_id")).otherwise(F.col("previous_id")).alias("to"),
+            F.when(F.col("edge_id") == F.col("_head"), 0).otherwise(1).cast("long").alias("_steps"),
+            F.when(F.col("edge_id") == F.col("_head"), 0).otherwise(F.col("_previous_mm")).cast("long").alias("_before"),
+            (F.col("edge_id") == F.col("_head")).alias("_home"), F.col("_head").alias("_least"),
+        )
+        round_ = links.join(cut, "edge_id").groupBy("_head").agg(F.sum("_mm").alias("_ring"), F.count(F.lit(1)).alias("_edges"))
+        rings = _doubled(opened).join(round_.withColumnRenamed("_head", "to"), "to")
+        straight = placed.where("_home").withColumns({"_ring": F.lit(None).cast("long"), "_edges": F.lit(None).cast("long")})
+        placed = straight.unionByName(rings.select(*straight.columns))
+    else:
+        placed = placed.withColumns({"_ring": F.lit(None).cast("long"), "_edges": F.lit(None).cast("long")})
+    return placed.select("edge_id", F.col("to").alias("path"), "_steps", "_before", "_ring", "_edges")
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    columns = state.columns
 
     def doubled(current: DataFrame) -> DataFrame:
         further = current.select(
-            "way", F.col("edge_id").alias("to"), F.col("to").alias("_to"), F.col("best").alias("_best")
-        )
-        return current.join(further, ["way", "to"], "left").select(
-            "edge_id", "way", F.col("_to").alias("to"), F.least("best", "_best").alias("best"),
-            F.coalesce(F.col("_best") < F.col("best"), F.lit(False)).alias("_better"),
+            F.col("edge_id").alias("to"), F.col("to").alias("_to"), F.col("_steps").alias("_steps2"),
+            F.col("_before").alias("_before2"), F.col("_home").alias("_home2"), F.col("_least").alias("_least2"),
+        )
+        near = F.col("_home") | F.col("_home2")  # an edge at its head points to it for good
+        return current.join(further, "to").select(
+            "edge_id", F.col("_to").alias("to"),
+            (F.col("_steps") + F.when(F.col("_home"), 0).otherwise(F.col("_steps2"))).alias("_steps"),
+            (F.col("_before") + F.when(F.col("_home"), 0).otherwise(F.col("_before2"))).alias("_before"),
+            near.alias("_home"), F.least("_least", "_least2").alias("_least"),
+            ((near & ~F.col("_home")) | (~near & (F.col("_least2") < F.col("_least")))).alias("_better"),
         )
 
     improved = True
@@ -148,55 +181,114 @@ def _components(links: DataFrame) -> DataFrame:
         watched = doubled(doubled(state).drop("_better")).observe(step, F.count_if("_better").alias("better"))
         state = materialize(watched, "reach").drop("_better")
         improved = step.get["better"] > 0
-    return state.groupBy("edge_id").agg(F.min("best").alias("component"))
-
-
-def _walk(component: pd.DataFrame) -> pd.DataFrame:
-    """Grow chains from the busiest edge left, first backward, then forward, while they stay short."""
-    edges = component["edge_id"].tolist()
-    following = {e: n for e, n in zip(edges, component["next_id"], strict=True) if isinstance(n, str)}
-    preceding = {n: e for e, n in following.items()}
-    length = dict(zip(edges, component["length_km"], strict=True))
-    rank = zip(
-        -component["n_passes"], -component["n_vehicles"], component["lat1"], component["lon1"], component["lat2"],
-        component["lon2"], edges, strict=True,
-    )
-    chain: dict[str, str] = {}
-    place: dict[str, int] = {}
+    return state.select(*columns)
+
+
+def _settle(part: pd.DataFrame) -> pd.DataFrame:
+    """What is certain of the chains in one stretch of a path: ``chain_id, place`` of each edge, null where open.
+
+    Edges come in falling priority. One that is left grows a chain, first backward, then forward, while it stays
+    short. Beyond an open end of the stretch everything is possible: edges that a chain from there could take, and
+    all that the chain of such an edge could take in turn, are doubtful. A chain that meets a doubtful edge is so, too.
+    """
+    part = part.sort_values("_x", ignore_index=True)
+    n, length, steps = len(part), part["length_km"].tolist(), part["_steps"].tolist()
+    closed = bool(part["_closed"].iloc[0])
+    around = part["_edges"].iloc[0] - 1  # the last place of a ring, which the first follows
+    before = [i - 1 if i and steps[i] in (steps[i - 1] + 1, steps[i - 1] - around) else -1 for i in range(n)]
+    if closed:
+        before[0] = n - 1
+    after = [-1] * n
+    for i, j in enumerate(before):
+        if j >= 0:
+            after[j] = i
+    doubtful, chain, place = [False] * n, [-1] * n, [0] * n
+
+    def full(km: float, i: int) -> bool:
+        return km >= 1.0 and km + length[i] > MAX_LINE_KM
+
+    def doubt(i: int, way: list[int], km: float) -> None:
+        first = i
+        while i >= 0 and chain[i] < 0 and not (km >= 1.0 + 1e-6 and km + length[i] > MAX_LINE_KM + 1e-6):
+            doubtful[i] = True
+            km += length[i]
+            i = way[i]
+            if i == first:
+                return
+
+    if part["_open_before"].iloc[0]:
+        doubt(0, after, 0.0)
+    if part["_open_after"].iloc[n - 1]:
+        doubt(n - 1, before, 0.0)
+    ids = part["edge_id"].tolist()
+    rank = zip(-part["n_passes"], -part["n_vehicles"], *[part[c] for c in _ENDS], ids, range(n), strict=True)
     for *_, seed in sorted(rank):
-        if seed in chain:
+        if chain[seed] >= 0:
             continue
-        chain[seed], place[seed], km = seed, 0, length[seed]
-        members = [seed]
-        for neighbour, step in ((preceding, -1), (following, 1)):
-            tip = seed
-            while (n := neighbour.get(tip)) is not None and n not in chain:
-                if km >= 1.0 and km + length[n] > MAX_LINE_KM:
+        members, km, sure = [seed], length[seed], not doubtful[seed]
+        for back in (True, False):
+            way = before if back else after
+            i = way[seed]
+            while sure and i >= 0 and chain[i] < 0 and i not in members and not full(km, i):
+                if doubtful[i]:
+                    sure = False
                     break
-                chain[n], place[n], km = seed, place[tip] + step, km + length[n]
-                members.append(n)
-                tip = n
-        first = min(place[m] for m in members)
-        for m in members:
-            place[m] -= first
-    return component.assign(chain_id=[chain[e] for e in edges], pos=[place[e] for e in edges])
+                members = [i, *members] if back else [*members, i]
+                km += length[i]
+                i = way[i]
+        if sure:
+            for at, i in enumerate(members):
+                chain[i], place[i] = seed, at
+        else:
+            doubt(seed, before, 0.0)
+            doubt(seed, after, 0.0)
+    return pd.DataFrame(
+        {"edge_id": ids, "chain_id": [ids[c] if c >= 0 else None for c in chain], "pos": [p if c >= 0 else None for c, p in zip(chain, place, strict=True)]}
+    )
 
 
-def contract_road_chains(edges: DataFrame) -> DataFrame:
+def contract_road_chains(edges: DataFrame, stretch_km: float = STRETCH_KM) -> DataFrame:
     """Edges with the chain they belong to and their place in it.
 
-    Chains run through nodes with one edge in and one out of the same direction. Such paths never
-    touch, so each is walked on its own; finding them takes joins only. An edge without a neighbour
-    is a chain by itself.
+    Chains run through nodes with one edge in and one out of the same direction; the busiest edge left grows the
+    next one. Chains are short, so what is far apart on a path does not matter: each path is cut into stretches, every
+    stretch settles by itself what cannot depend on others, and what is still open is tried again with the
+    cuts half a stretch further. Paths cost no more than stretches do, and mostly two rounds settle all. An edge without
+    a neighbour is a chain by itself.
     """
     links = materialize(_linked_edges(edges), "links")
-    components = _components(links)
-    alone = links.join(components, "edge_id", "left_anti")
-    grouped = links.join(components, "edge_id")
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in grouped.schema.fields]
-    walked = grouped.groupBy("component").applyInPandas(_walk, ", ".join([*fields, "chain_id string", "pos int"]))
-    single = alone.withColumns({"chain_id": F.col("edge_id"), "pos": F.lit(0)})
-    return walked.drop("component").unionByName(single).drop("next_id")
+    placed = materialize(_placed(links), "placed")
+    alone = links.join(placed, "edge_id", "left_anti").select("edge_id", F.col("edge_id").alias("chain_id"), F.lit(0).alias("pos"))
+    fields = ["edge_id", "length_km", "n_passes", "n_vehicles", *_ENDS, "_mm", "_previous_mm"]
+    follows = F.col("_ring").isNotNull() | (F.col("_steps") > 0)
+    last = placed.groupBy("path").agg(F.max("_steps").alias("_last"))
+    todo = placed.join(links.select(*fields), "edge_id").join(last, "path")
+    todo = materialize(todo.withColumns({"_follows": follows, "_goes_on": F.col("_ring").isNotNull() | (F.col("_steps") < F.col("_last"))}), "paths")
+    size, shift = int(stretch_km * 1e6), 0
+    done = alone
+    while True:
+        x = F.col("_before") + F.lit(shift)
+        x = F.coalesce(F.pmod(x, F.col("_ring")), x)
+        at = todo.withColumn("_x", x).withColumn("_stretch", F.floor(F.col("_x") / size))
+        closed = F.coalesce(F.col("_ring") <= size, F.lit(False))
+        back, on = F.col("_x") - F.coalesce("_previous_mm", F.lit(0)), F.col("_x") + F.col("_mm")
+        cut = at.withColumns(
+            {
+                "_closed": closed,
+                "_open_before": F.col("_follows") & ~closed & ((back < 0) | (F.floor(back / size) != F.col("_stretch"))),
+                "_open_after": F.col("_goes_on") & ~closed & ((F.floor(on / size) != F.col("_stretch")) | F.coalesce(on >= F.col("_ring"), F.lit(False))),
+            }
+        )
+        cut = cut.withColumn("_stretch", F.when(closed, 0).otherwise(F.col("_stretch")))
+        settled = cut.groupBy("path", "_stretch").applyInPandas(_settle, "edge_id string, chain_id string, pos int")
+        settled = materialize(settled, "settled")
+        done = done.unionByName(settled.where("chain_id is not null"))
+        open_ = settled.where("chain_id is null").select("edge_id")
+        if open_.isEmpty():
+            break
+        todo = materialize(todo.join(open_, "edge_id", "left_semi"), "paths")
+        shift += size // 2
+    return links.drop("previous_id", "_previous_mm", "_mm").join(done, "edge_id")
 
 
 def split_road_chains(chains: DataFrame) -> DataFrame:
@@ -338,22 +430,26 @@ def road_lines(pieces: DataFrame, limit: int | None = None) -> DataFrame:
         bankers_round(reach, 2).alias("radius_km"),
         "coordinates",
     )
-    ranked = lines.orderBy(F.desc("passes"), F.desc("unique_vehicles"), "segment_id", "lat1", "lon1")
-    return ranked if limit is None else ranked.limit(limit)
+    return _busiest_lines(lines, limit)
+
+
+def _busiest_lines(lines: DataFrame, limit: int | None) -> DataFrame:
+    """The lines by how busy they are, the first ``limit`` of them or all."""
+    order = [F.desc("unique_vehicles"), "segment_id", "lat1", "lon1"]
+    kept = lines if limit is None else heaviest(materialize(lines, "lines"), "passes", lambda _: limit, order)
+    return kept.orderBy(F.desc("passes"), *order)
 
 
 def road_map(edges: DataFrame, flt: Filter = Filter()) -> DataFrame:
-    """From raw edges of one variant to the busiest lines."""
-    target = _target(_busy_edges(edges, flt).count(), flt)
-    lines = max(LEAST_LINES, ceil(target / 6.0))
-    pieces = split_road_chains(contract_road_chains(enrich_road_edges(top_road_edges(edges, flt))))
-    return road_lines(pieces, lines)
+    """From raw edges of one variant to the busiest lines, which are built from the whole network."""
+    busy = materialize(_busy_edges(edges, flt), "edges")
+    lines = max(LEAST_LINES, ceil(_target(busy.count(), flt) / 6.0))
+    return road_lines(split_road_chains(contract_road_chains(enrich_road_edges(busy))), lines)
 
 
 def dashboard_roads(lines: DataFrame, limit: int | None = None) -> DataFrame:
     """The lines by how busy they are, the first ``limit`` of them or all."""
-    ranked = lines.orderBy(F.desc("passes"), F.desc("unique_vehicles"), "segment_id", "lat1", "lon1")
-    return ranked if limit is None else ranked.limit(limit)
+    return _busiest_lines(lines, limit)
 
 
 def corridors(lines: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions import geo, text
 from dwellgrid.operators import aggregates, breaks, nearest, roads
+from dwellgrid.operators.ranking import heaviest
 from dwellgrid.params import Breaks, Filter, Power
 from dwellgrid.session import materialize
 
@@ -146,14 +147,20 @@ def _ring(points, start):
     return [(52.0, 5.0 + 0.001 * i, 52.0, 5.0 + 0.001 * (i + 1), 1, start + i) for i in range(points)]
 
 
-@pytest.mark.parametrize("edges", [_grid(1, 6), _grid(2, 9), [tuple(round(v, 5) if i < 4 else v for i, v in enumerate(e)) for e in _ring(150, 5)]])
-def test_road_chains(spark, edges):
+def _chained(spark, edges, **options):
     df = spark.createDataFrame(edges, "lat1 double, lon1 double, lat2 double, lon2 double, n_vehicles int, n_passes int")
-    chains = materialize(roads.contract_road_chains(roads.enrich_road_edges(df)), "test-chains")
+    chains = materialize(roads.contract_road_chains(roads.enrich_road_edges(df), **options), "test-chains")
     rows = {}
     for r in chains.collect():
         rows.setdefault(r.chain_id, []).append((r.pos, (r.lat1, r.lon1, r.lat2, r.lon2)))
-    assert sorted([e for _, e in sorted(chain)] for chain in rows.values()) == _walk(edges)
+    assert all(sorted(p for p, _ in chain) == list(range(len(chain))) for chain in rows.values())
+    return chains, sorted([e for _, e in sorted(chain)] for chain in rows.values())
+
+
+@pytest.mark.parametrize("edges", [_grid(1, 6), _grid(2, 9), [tuple(round(v, 5) if i < 4 else v for i, v in enumerate(e)) for e in _ring(150, 5)]])
+def test_road_chains(spark, edges):
+    chains, found = _chained(spark, edges)
+    assert found == _walk(edges)
     pieces = roads.split_road_chains(chains)
     assert pieces.count() == len(edges)
     lines = roads.road_lines(pieces).collect()
@@ -161,6 +168,56 @@ def test_road_chains(spark, edges):
     assert max(line.passes for line in lines) == max(e[5] for e in edges)
 
 
+def _roads(seed, passes):
+    """Straight roads of uneven edges, each far longer than a stretch; ``passes`` of the n-th edge of a road."""
+    draw = random.Random(seed)
+    edges = []
+    for road in range(3):
+        lon = 5.0
+        for n in range(260):
+            step = draw.choice((0.002, 0.01, 0.03, 0.03, 0.2 if draw.random() < 0.05 else 0.02))
+            nxt = round(lon + step, 5)
+            edges.append((50.0 + road, lon, 50.0 + road, nxt, 1, passes(draw, n)))
+            lon = nxt
+    return edges
+
+
+@pytest.mark.parametrize("passes", [lambda d, n: 7, lambda d, n: 1000 - n, lambda d, n: n, lambda d, n: d.randrange(1, 9), lambda d, n: d.randrange(1, 10_000)])
+def test_chains_do_not_depend_on_where_a_path_is_cut(spark, passes):
+    edges = _roads(8, passes)
+    assert _chained(spark, edges, stretch_km=60.0)[1] == _walk(edges)
+
+
+def test_a_ring_and_an_edge_onto_itself(spark):
+    """Around the globe eastwards, and an edge so short that it begins and ends in one node."""
+    around = [(60.0, round(-180 + 0.5 * i, 5), 60.0, round(-179.5 + 0.5 * i, 5) if i < 719 else -180.0, 1, 3 + i * 7 % 11) for i in range(720)]
+    small = [(10.0, 10.0, 10.0, 10.000001, 1, 5)]
+    assert _chained(spark, around + small)[1] == _walk(around + small)
+
+
+def test_a_path_of_many_edges_is_many_tasks(spark):
+    n = 200_000
+    at = (F.col("id") * 0.0015).alias("lon")
+    # Sixteen rounds around the globe, each on a latitude of its own; what is passed most is anywhere.
+    df = spark.range(0, n, 1, 16).select(
+        F.lit(40.0).alias("lat1"), F.round(at, 5).alias("lon1"), F.lit(40.0).alias("lat2"), F.round(at + 0.0015, 5).alias("lon2"),
+        F.lit(1).alias("n_vehicles"), (F.pmod(F.xxhash64("id"), F.lit(50)) + 1).cast("int").alias("n_passes"),
+    )
+    chains = materialize(roads.contract_road_chains(roads.enrich_road_edges(df)), "test-chains")
+    sizes = chains.groupBy("chain_id").agg(F.sum("length_km").alias("km"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
+    total, longest, gaps = sizes.agg(F.sum("n"), F.max("km"), F.count_if(F.col("last") != F.col("n") - 1)).first()
+    assert total == n and longest <= 8.0 and gaps == 0
+
+
+@pytest.mark.parametrize("keep", [0, 1, 7, 60, 199, 200, 500])
+def test_the_heaviest_rows(spark, keep):
+    draw = random.Random(keep)
+    rows = [(draw.choice((1.5, 2.0, 2.0, 2.0, 9.25)), n) for n in range(200)]
+    df = spark.createDataFrame(rows, "w double, id int").repartition(5)
+    got = sorted(tuple(r) for r in heaviest(df, "w", lambda total: keep, ["id"]).collect())
+    assert got == sorted(sorted(rows, key=lambda r: (-r[0], r[1]))[:keep])
+
+
 def test_long_chain_is_cut(spark):
     edges = [(52.0, 5.0 + 0.04 * i, 52.0, 5.04 + 0.04 * i, 1, 1) for i in range(9)]
     df = spark.createDataFrame(edges, "lat1 double, lon1 double, lat2 double, lon2 double, n_vehicles int, n_passes int")
@@ -172,11 +229,13 @@ def test_long_chain_is_cut(spark):
 
 def test_ring_components(spark):
     ids = [f"e{n:03d}" for n in range(37)]
-    ring = [(ids[i], ids[(i + 1) % 37]) for i in range(37)]
-    path = [(f"p{n:03d}", f"p{n + 1:03d}" if n < 20 else None) for n in range(21)]
-    links = spark.createDataFrame(ring + path + [("alone", None)], "edge_id string, next_id string")
-    found = {r.edge_id: r.component for r in roads._components(links).collect()}
-    assert found == {**{e: "e000" for e in ids}, **{e: "p000" for e, _ in path}}
+    ring = [(ids[i], ids[i - 1]) for i in range(37)]
+    path = [(f"p{n:03d}", f"p{n - 1:03d}" if n else None) for n in range(21)]
+    links = spark.createDataFrame(ring + path + [("alone", None)], "edge_id string, previous_id string")
+    links = links.withColumns({"_mm": F.lit(10), "_previous_mm": F.when(F.col("previous_id").isNotNull(), 10)})
+    found = {r.edge_id: (r.path, r._steps, r._before, r._ring) for r in roads._placed(links).collect()}
+    expected = {e: ("e000", i, 10 * i, 370) for i, e in enumerate(ids)} | {e: ("p000", i, 10 * i, None) for i, (e, _) in enumerate(path)}
+    assert found == expected
 
 
 def test_road_names(spark):
