@@ -355,6 +355,15 @@ ANSWERS: dict[str, str] = {
             {even("max(gap_hours)", 1)} AS standing_hours,
             strftime(min(start_time), '%H:%M') || '-' || strftime(max(end_time), '%H:%M') AS "window"
         FROM load_slots GROUP BY slot, vehicle""",
+    "peak_slot_vehicles": f"""
+        WITH best AS (SELECT slot FROM slot_sums QUALIFY row_number() OVER (PARTITION BY isodow(slot), hour(slot)
+            ORDER BY required_kw DESC, vehicles DESC, slot) = 1)
+        SELECT CAST(isodow(slot) - 1 AS INTEGER) AS day_index, CAST(hour(slot) AS INTEGER) AS hour, slot,
+            min(vehicle_code) AS vehicle_code, min(CASE WHEN plates = '' THEN '-' ELSE plates END) AS plate,
+            {even("sum(demand_kwh)", 0)} AS demand_kwh, {even("sum(required_kw)", 0)} AS required_kw,
+            {even("max(gap_hours)", 1)} AS standing_hours,
+            strftime(min(start_time), '%H:%M') || '-' || strftime(max(end_time), '%H:%M') AS "window"
+        FROM load_slots WHERE slot IN (SELECT slot FROM best) GROUP BY slot, vehicle""",
     # Selections.
     "depot_selection": selection("loads", f"loads WHERE depot_id = '{DEPOT}'", "distance_km", f"depot_id = '{DEPOT}'"),
     "stop_selection": selection(

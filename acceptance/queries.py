@@ -548,6 +548,11 @@ def slot_vehicle_demand(d):
     return demand.slot_vehicle_demand(_events(d))
 
 
+@query
+def peak_slot_vehicles(d):
+    return demand.peak_slot_vehicles(_events(d))
+
+
 # --- selections ----------------------------------------------------------------------------------
 
 

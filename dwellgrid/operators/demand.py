@@ -18,7 +18,9 @@ from dwellgrid.operators.aggregates import first_values, mode_value, quantiles
 from dwellgrid.operators.filters import DAY_KEY, TRIP_KEY, filter_overnight, not_administrative
 from dwellgrid.operators.nearest import nearest_charger
 from dwellgrid.operators.overview import first_rows, to_cells
+from dwellgrid.operators.sweep import first_slots, stretches
 from dwellgrid.params import Filter, Scenario, clamp
+from dwellgrid.session import materialize
 
 BUCKET_KM = 50
 FIXED_BUCKETS = 15
@@ -302,7 +304,7 @@ def charging_totals(events: DataFrame, scenario: Scenario = Scenario(), is_road:
         F.count(F.lit(1)).alias("events"),
         (F.coalesce(F.sum("demand_kwh"), F.lit(0.0)) / 1000.0).alias("_mwh"),
     )
-    peak = slot_totals(event_loads(events, scenario, is_road)).agg(
+    peak = load_stretches(event_loads(events, scenario, is_road)).agg(
         F.coalesce(F.max(bankers_round(F.col("required_kw") / 1000.0, 2)), F.lit(0.0))
     )
     return totals.withColumn("_peak", peak.scalar()).select(
@@ -317,18 +319,9 @@ def charging_totals(events: DataFrame, scenario: Scenario = Scenario(), is_road:
 # --- profiles over time --------------------------------------------------------------------------
 
 
-def slot_totals(loads: DataFrame) -> DataFrame:
-    """Vehicles, events, energy and power per dated clock hour."""
-    return (
-        hour_slots(loads)
-        .groupBy("slot")
-        .agg(
-            F.count_distinct("vehicle").alias("vehicles"),
-            F.count(F.lit(1)).alias("events"),
-            F.round(F.sum(F.col("required_kw") * F.col("overlap_hours")), 6).alias("demand_kwh"),
-            F.round(F.sum("required_kw"), 6).alias("required_kw"),
-        )
-    )
+def load_stretches(loads: DataFrame) -> DataFrame:
+    """Vehicles, events, energy and power per run of clock hours that are alike."""
+    return stretches(loads, [], "start_time", "end_time")
 
 
 def _cell_columns(*leading: str) -> list:
@@ -345,7 +338,7 @@ def _cell_columns(*leading: str) -> list:
 
 def hourly_demand_profile(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
     """Per hour of the day the dated hour with most vehicles, then most power; 24 rows."""
-    slots = slot_totals(event_loads(events, scenario, is_road))
+    slots = first_slots(load_stretches(event_loads(events, scenario, is_road)), 24)
     order = F.struct("vehicles", "required_kw", -micros("slot"))
     best = F.max_by(F.struct("vehicles", "events", "demand_kwh", "required_kw"), order)
     peaks = slots.groupBy(F.hour("slot").alias("hour")).agg(best.alias("_best"))
@@ -353,12 +346,21 @@ def hourly_demand_profile(events: DataFrame, scenario: Scenario = Scenario(), is
     return hours.join(peaks, "hour", "left").select(*_cell_columns("hour")).orderBy("hour")
 
 
-def _weekly_peaks(loads: DataFrame) -> DataFrame:
+def weekly_peaks(loads: DataFrame) -> DataFrame:
+    """Per weekday and hour the dated hour (``slot``) with most power, then most vehicles; at most 168 rows."""
     order = F.struct("required_kw", "vehicles", -micros("slot"))
-    best = F.max_by(F.struct("slot", "vehicles", "events", "demand_kwh", "required_kw"), order)
-    return slot_totals(loads).groupBy(F.weekday("slot").alias("day_index"), F.hour("slot").alias("hour")).agg(
-        best.alias("_best")
-    )
+    best = F.max_by(F.struct("slot", "vehicles", "events", "demand_kwh", "required_kw"), order).alias("_best")
+    slots = first_slots(load_stretches(loads), 168)
+    return slots.groupBy(F.weekday("slot").alias("day_index"), F.hour("slot").alias("hour")).agg(best)
+
+
+def in_slots(loads: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Each load once for every one of the chosen slots that it touches, as ``slot``."""
+    chosen = peaks.agg(F.coalesce(F.collect_set(micros("_best.slot")), F.array().cast("array<bigint>"))).scalar()
+    begin, stop = micros("start_time"), micros("end_time")
+    listed = loads.where(begin < stop).withColumn("_chosen", chosen)
+    touched = F.filter("_chosen", lambda s: (s + HOUR_MICROS > begin) & (s < stop))
+    return listed.withColumn("_slot", F.explode(touched)).withColumn("slot", from_micros("_slot")).drop("_chosen", "_slot")
 
 
 def weekly_demand_profile(
@@ -366,13 +368,11 @@ def weekly_demand_profile(
 ) -> DataFrame:
     """Per weekday and hour the dated hour with most power, then most vehicles; 168 rows.
 
-    Each shows the first ``listed`` plates and codes; ``slot_vehicle_demand`` has all of them as rows.
+    Each shows the first ``listed`` plates and codes; ``peak_slot_vehicles`` has all of them as rows.
     """
     loads = event_loads(events, scenario, is_road)
-    peaks = _weekly_peaks(loads)
-    # At most 168 slots are chosen, so only their events are listed.
-    chosen = peaks.select(F.col("_best.slot").alias("slot"))
-    touched = hour_slots(loads).join(chosen, "slot", "left_semi")
+    peaks = materialize(weekly_peaks(loads), "weekly-peaks")
+    touched = in_slots(loads, peaks)
     plates = touched.select("slot", F.explode(split_plates("plates")).alias("plate"))
     plate_lists = first_values(plates, ["slot"], "plate", "plates", listed).drop("plates_count")
     code_lists = first_values(touched, ["slot"], "vehicle_code", "codes", listed).drop("codes_count")
@@ -398,9 +398,8 @@ def weekly_demand_profile(
     )
 
 
-def slot_vehicle_demand(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
-    """Per dated hour and vehicle: every event it touches counts with its full energy."""
-    slots = hour_slots(event_loads(events, scenario, is_road))
+def _vehicles_of_slots(slots: DataFrame) -> DataFrame:
+    """Per slot and vehicle: every event that touches the slot counts with its full energy."""
     plate = F.coalesce(F.get(split_plates("plates"), F.lit(0)), F.lit("-"))
     return (
         slots.groupBy("slot", "vehicle")
@@ -416,3 +415,17 @@ def slot_vehicle_demand(events: DataFrame, scenario: Scenario = Scenario(), is_r
         )
         .drop("vehicle")
     )
+
+
+def slot_vehicle_demand(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
+    """The vehicles of every dated hour; one row per hour that a vehicle stands."""
+    return _vehicles_of_slots(hour_slots(event_loads(events, scenario, is_road)))
+
+
+def peak_slot_vehicles(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
+    """The dated hour that each weekday and hour of the weekly profile shows, with all its vehicles."""
+    loads = event_loads(events, scenario, is_road)
+    peaks = materialize(weekly_peaks(loads), "weekly-peaks")
+    rows = _vehicles_of_slots(in_slots(loads, peaks))
+    # A slot is one weekday and hour, so no lookup is needed.
+    return rows.select(F.weekday("slot").alias("day_index"), F.hour("slot").alias("hour"), *rows.columns)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from dwellgrid.operators.demand import hour_slots
 from dwellgrid.operators.filters import CHARGE_WINDOW_ACTIONS, TRIP_KEY, filter_power_actions
 from dwellgrid.operators.ordered import Scan, Step, by_key
 from dwellgrid.operators.overview import first_rows
+from dwellgrid.operators.ranking import ranked
+from dwellgrid.operators.sweep import first_slots, stretches
 from dwellgrid.params import Filter, Power
 from dwellgrid.session import materialize
 
@@ -132,33 +132,28 @@ def window_kw(power: Power) -> Column:
     return F.when(hours > 0, accepted).otherwise(F.lit(0.0))
 
 
-def _slots(windows: DataFrame, power: Power) -> DataFrame:
-    loaded = windows.withColumn("required_kw", window_kw(power.normalized())).withColumn(
-        "vehicle", F.upper("vehicle_key")
-    )
-    return hour_slots(loaded, "planned_start", "planned_end")
+def _loaded(windows: DataFrame, power: Power) -> DataFrame:
+    return windows.withColumn("required_kw", window_kw(power.normalized())).withColumn("vehicle", F.upper("vehicle_key"))
+
+
+def load_stretches(windows: DataFrame, keys: list[str], power: Power) -> DataFrame:
+    """What every profile reads: vehicles, windows and power per key and run of clock hours that are alike."""
+    return stretches(_loaded(windows, power), keys, "planned_start", "planned_end")
 
 
 def _hourly(windows: DataFrame, keys: list[str], power: Power) -> DataFrame:
     """Per key and hour of the day the dated hour with most power, then most vehicles."""
-    slots = (
-        _slots(windows, power)
-        .groupBy(*keys, "slot")
-        .agg(
-            F.count_distinct("vehicle").alias("vehicles"),
-            F.count(F.lit(1)).alias("events"),
-            F.round(F.sum("required_kw"), 6).alias("required_kw"),
-        )
-    )
+    slots = first_slots(load_stretches(windows, keys, power), 24)
     order = F.struct("required_kw", "vehicles", -micros("slot"))
     best = F.max_by(F.struct("vehicles", "events", "required_kw", F.col("slot").cast("date").alias("date")), order)
     return slots.groupBy(*keys, F.hour("slot").alias("hour")).agg(best.alias("_best"))
 
 
-def _hourly_cells(cells: DataFrame, peaks: DataFrame, keys: list[str]) -> DataFrame:
+def _hourly_cells(cells: DataFrame, peaks: DataFrame, keys: list[str], *others: str) -> DataFrame:
     kw = bankers_round(F.coalesce("_best.required_kw", F.lit(0.0)), 0)
     return cells.join(peaks, [*keys, "hour"], "left").select(
         *keys,
+        *others,
         "hour",
         F.coalesce("_best.vehicles", F.lit(0)).alias("vehicles"),
         F.coalesce("_best.events", F.lit(0)).alias("events"),
@@ -196,14 +191,18 @@ def _presence_columns() -> list[Column]:
     ]
 
 
-def _peak(slots: DataFrame, key: str) -> DataFrame:
-    summed = slots.groupBy(key, "slot").agg(F.round(F.sum("required_kw"), 6).alias("_kw"))
-    return summed.groupBy(key).agg(bankers_round(F.max("_kw"), 0).alias("peak_kw"))
+def _peak(windows: DataFrame, key: str, power: Power) -> DataFrame:
+    runs = load_stretches(windows, [key], power)
+    return runs.groupBy(key).agg(bankers_round(F.max("required_kw"), 0).alias("peak_kw"))
 
 
 def power_location_profile(windows: DataFrame, power: Power = Power(), top_n: int | None = None) -> DataFrame:
-    """Locations by peak power; the top ``top_n``, or as many as the arguments ask for."""
+    """Locations by peak power; the top ``top_n``, or as many as the arguments ask for.
+
+    Names and addresses are counted only for the locations that can be among them.
+    """
     power = power.normalized()
+    limit = power.top_locations if top_n is None else top_n
     placed = _by_place(windows)
     key = ["_place"]
 
@@ -214,27 +213,31 @@ def power_location_profile(windows: DataFrame, power: Power = Power(), top_n: in
     totals = placed.groupBy(*key).agg(
         F.min("location_id").alias("location_id"), centre("lat"), centre("lon"), *_presence_columns()
     )
+    measured = totals.join(_peak(placed, "_place", power), key, "left").withColumn("peak_kw", F.coalesce("peak_kw", F.lit(0.0)))
+    measured = materialize(measured, "places")
+    by = [F.desc("peak_kw"), F.desc("vehicles")]
+    last = first_rows(measured.orderBy(*by), limit).agg(F.min(F.struct("peak_kw", "vehicles"))).scalar()
+    shown = measured.where(F.struct("peak_kw", "vehicles") >= last)
+    named = placed.join(shown.select("_place"), key, "left_semi")
     ranked = (
-        totals.join(_peak(_slots(placed, power), "_place"), key, "left")
-        .join(mode_text(placed, key, "location_name", "_name"), key, "left")
-        .join(mode_text(placed, key, "address", "_address"), key, "left")
+        shown.join(mode_text(named, key, "location_name", "_name"), key, "left")
+        .join(mode_text(named, key, "address", "_address"), key, "left")
         .select(
             "location_id",
             F.coalesce("_name", F.lit("")).alias("name"),
             F.coalesce("_address", F.lit("")).alias("address"),
-            "lat", "lon", "vehicles", "own", "charter", "trips", "events", "avg_dwell_min",
-            F.coalesce("peak_kw", F.lit(0.0)).alias("peak_kw"),
+            "lat", "lon", "vehicles", "own", "charter", "trips", "events", "avg_dwell_min", "peak_kw",
         )
-        .orderBy(F.desc("peak_kw"), F.desc("vehicles"), F.upper("name"), "location_id")
+        .orderBy(*by, F.upper("name"), "location_id")
     )
-    return first_rows(ranked, power.top_locations if top_n is None else top_n)
+    return first_rows(ranked, limit)
 
 
 def power_daily_metrics(windows: DataFrame, power: Power = Power()) -> DataFrame:
     """Per trip date: who was present, and the peak of that day's windows."""
     dated = windows.withColumnRenamed("trip_date", "date")
     totals = dated.groupBy("date").agg(*_presence_columns())
-    peaks = _peak(_slots(dated, power), "date")
+    peaks = _peak(dated, "date", power)
     return totals.join(peaks, "date", "left").withColumn("peak_kw", F.coalesce("peak_kw", F.lit(0.0))).orderBy("date")
 
 
@@ -247,7 +250,9 @@ def power_heatmap(windows: DataFrame, power: Power = Power()) -> DataFrame:
     top = power_location_profile(windows, power).select(
         "location_id", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "address").alias("location_name")
     )
-    return hourly_power_profile(windows, power).join(top, "location_id").select(
+    top = materialize(top, "top-places")
+    shown = _by_place(windows).join(_by_place(top).select("_place"), "_place", "left_semi").drop("_place")
+    return hourly_power_profile(shown, power).join(top, "location_id").select(
         "location_id", "location_name", "hour", "vehicles", "required_kw", "required_mw"
     )
 
@@ -255,7 +260,8 @@ def power_heatmap(windows: DataFrame, power: Power = Power()) -> DataFrame:
 def power_slot_vehicles(windows: DataFrame, power: Power = Power()) -> DataFrame:
     """Per location, dated hour and vehicle: every window it touches counts with the full battery."""
     power = power.normalized()
-    slots = _by_place(_slots(windows, power)).withColumn("_hours", hours_between("planned_start", "planned_end"))
+    slots = _by_place(hour_slots(_loaded(windows, power), "planned_start", "planned_end"))
+    slots = slots.withColumn("_hours", hours_between("planned_start", "planned_end"))
     return (
         slots.groupBy("_place", "slot", "vehicle")
         .agg(
@@ -277,42 +283,40 @@ def power_slot_vehicles(windows: DataFrame, power: Power = Power()) -> DataFrame
 def scenario_profiles(windows: DataFrame, power: Power = Power()) -> DataFrame:
     """Hourly profile per future year, scaled to the electric vehicles expected by then.
 
-    The cherry-pick mode first keeps the longest windows, one per expected vehicle, and then scales too.
+    The cherry-pick mode first keeps the longest windows, one per expected vehicle, and then scales too: the windows are
+    ranked once, and each goes to the years that expect at least as many.
     """
     power = power.normalized()
     inflow = {i.year: max(0, i.tractors + i.box_trucks) for i in power.inflows}
-    everything = F.lit("all").alias("_all")
+    years = F.array(
+        *[F.struct(F.lit(y).alias("year"), F.lit(inflow.get(y, 0)).alias("expected")) for y in dict.fromkeys(power.scenario_years)]
+    )
     present = windows.agg(F.greatest(F.count_distinct(F.upper("vehicle_key")), F.lit(1))).scalar()
-
-    def profile(source: DataFrame) -> DataFrame:
-        keyed = source.withColumn("_all", everything)
-        hours = windows.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"), everything)
-        return _hourly_cells(hours, _hourly(keyed, ["_all"], power), ["_all"]).drop("_all", "date")
-
-    def scaled(base: DataFrame, year: int, expected: int) -> DataFrame:
-        scale = bankers_round(F.least(F.lit(1.0), F.lit(float(expected)) / present), 4)
-        rows = base.withColumn("scale_factor", scale)
-        factor = F.col("scale_factor")
-        return rows.select(
-            F.lit(year).alias("year"),
-            F.lit(power.scenario_mode).alias("mode"),
-            factor,
-            "hour",
-            F.ceil(F.round(F.col("vehicles") * factor, 9)).alias("vehicles"),
-            F.ceil(F.round(F.col("events") * factor, 9)).alias("events"),
-            bankers_round(F.col("required_kw") * factor, 0).alias("required_kw"),
-            bankers_round(F.col("required_kw") * factor / 1000.0, 2).alias("required_mw"),
-        )
-
-    parts = []
-    for year in power.scenario_years:
-        expected = inflow.get(year, 0)
-        source = windows
-        if power.scenario_mode == "cherry-pick":
-            order = [F.desc("dwell_min"), "planned_start", "vehicle_code", "trip_id", "action_seq"]
-            source = windows.orderBy(*order).limit(expected)
-        parts.append(scaled(profile(source), year, expected))
-    return reduce(DataFrame.unionByName, parts).orderBy("year", "hour")
+    hours = windows.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"), F.lit("all").alias("_all"))
+    cells = hours.withColumn("_year", F.explode(years)).select("hour", "_all", "_year.*")
+    if power.scenario_mode == "cherry-pick":
+        order = [F.desc("dwell_min"), "planned_start", "vehicle_code", "trip_id", "action_seq"]
+        most = max([inflow.get(y, 0) for y in power.scenario_years], default=0)
+        places = ranked(windows, order, "_rank").where(F.col("_rank") <= most)
+        taken = places.withColumn("_year", F.explode(F.filter(years, lambda y: y["expected"] >= F.col("_rank"))))
+        keys = ["year"]
+        peaks = _hourly(taken.withColumn("year", F.col("_year.year")), keys, power)
+    else:
+        keys = ["_all"]
+        peaks = _hourly(windows.withColumn("_all", F.lit("all")), keys, power)
+    shown = _hourly_cells(cells, peaks, keys, "expected", *[c for c in ("year", "_all") if c not in keys])
+    scale = bankers_round(F.least(F.lit(1.0), F.col("expected").cast("double") / present), 4)
+    factor = F.col("scale_factor")
+    return shown.withColumn("scale_factor", scale).select(
+        "year",
+        F.lit(power.scenario_mode).alias("mode"),
+        "scale_factor",
+        "hour",
+        F.ceil(F.round(F.col("vehicles") * factor, 9)).alias("vehicles"),
+        F.ceil(F.round(F.col("events") * factor, 9)).alias("events"),
+        bankers_round(F.col("required_kw") * factor, 0).alias("required_kw"),
+        bankers_round(F.col("required_kw") * factor / 1000.0, 2).alias("required_mw"),
+    ).orderBy("year", "hour")
 
 
 # --- diagnostics ---------------------------------------------------------------------------------

@@ -64,7 +64,7 @@ def _selection(events: DataFrame, heat: DataFrame, scenario: Scenario, is_road:
         "totals": demand.charging_totals(events, scenario, is_road),
         "hourly": demand.hourly_demand_profile(events, scenario, is_road),
         "weekly": demand.weekly_demand_profile(events, scenario, is_road),
-        "slot_vehicles": demand.slot_vehicle_demand(events, scenario, is_road),
+        "slot_vehicles": demand.peak_slot_vehicles(events, scenario, is_road),
     }
 
 
