@@ -439,7 +439,9 @@ ANSWERS: dict[str, str] = {
             {pick(DIRECTION_LABELS, "bearing_bucket")} AS direction,
             {six("km_since_shift_start", "demand_kwh", "required_kw", "break_lat", "break_lon")} FROM breaks""",
     "break_diagnostics": """
-        SELECT reason, count(*) AS n FROM labelled GROUP BY reason
+        SELECT r.reason, count(l.reason) AS n
+        FROM (SELECT unnest(['included', 'invalid', 'implausible_speed', 'before_window', 'after_window']) AS reason) r
+        LEFT JOIN labelled l ON l.reason = r.reason GROUP BY r.reason
         UNION ALL SELECT 'reset', count(*) FROM labelled WHERE is_reset""",
     "quarter_slots": f"SELECT vehicle_code, break_start, slot_start, {six('overlap_hours')} FROM quarters",
     "break_quarter_profile": f"""

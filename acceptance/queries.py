@@ -1017,8 +1017,7 @@ def mode_value(d):
 
 @query
 def distinct_list(d):
-    places = F.array_join(F.array_sort(F.collect_set("start_address")), ", ")
-    return d.tables.daily_trips.groupBy("vehicle_code", "trip_date").agg(places.alias("addresses"))
+    return d.tables.daily_trips.groupBy("vehicle_code", "trip_date").agg(aggregates.distinct_list("start_address").alias("addresses"))
 
 
 @query

@@ -85,6 +85,16 @@ def mode_text(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Data
     return counted.groupBy(*keys).agg(best.alias(name))
 
 
+def distinct_list(value: str | Column, separator: str = ", ") -> Column:
+    """The distinct non-blank texts of a group in order, joined: an aggregate with one entry per distinct text.
+
+    Null and blank texts are left out; a group without others gives the empty text. For groups with few
+    distinct texts, such as the plates of a trip; ``first_values`` shows the first of many.
+    """
+    text = F.col(value) if isinstance(value, str) else value
+    return F.array_join(F.array_sort(F.collect_set(F.when(F.trim(text) != "", text))), separator)
+
+
 def first_values(df: DataFrame, keys: Sequence[str], value: str, name: str, visible: int) -> DataFrame:
     """The first ``visible`` distinct non-blank texts per group, ignoring case, and ``<name>_count``."""
     text = F.trim(F.col(value))

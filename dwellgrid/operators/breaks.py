@@ -36,6 +36,7 @@ ROUTE_QUALITY = "laag: lineaire ritprogressie"
 HALF_LINE_KM = 0.75
 RESET_VEHICLES = 5
 MM_PER_KM = 1_000_000
+REASONS = ("included", "invalid", "implausible_speed", "before_window", "after_window")
 
 
 def break_trips(trips: DataFrame, stops: DataFrame, flt: Filter = Filter()) -> DataFrame:
@@ -237,10 +238,11 @@ def break_events(labelled: DataFrame, breaks: Breaks = Breaks()) -> DataFrame:
 
 
 def break_diagnostics(labelled: DataFrame) -> DataFrame:
-    """Trips per reason, and how often a shift was reset."""
-    # One row per reason at most, plus resets as a reason of their own.
-    reasons = F.explode(F.filter(F.array("reason", F.when(F.col("is_reset"), "reset")), lambda r: r.isNotNull()))
-    return labelled.select(reasons.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """Trips per reason, and how often a shift was reset; reasons that do not occur count zero."""
+    counts = [F.count_if(F.col("reason") == reason).alias(reason) for reason in REASONS]
+    counted = labelled.agg(*counts, F.count_if("is_reset").alias("reset"))
+    pairs = [F.struct(F.lit(name).alias("reason"), F.col(name).alias("n")) for name in counted.columns]
+    return counted.select(F.explode(F.array(*pairs)).alias("_x")).select("_x.*")
 
 
 def _vehicle() -> Column:

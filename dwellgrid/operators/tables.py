@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dwellgrid.functions.clock import seconds
 from dwellgrid.functions.geo import haversine_km, location_id
 from dwellgrid.functions.text import text_or_empty, vehicle_key
-from dwellgrid.operators.aggregates import mode_value, quantiles
+from dwellgrid.operators.aggregates import distinct_list, mode_value, quantiles
 from dwellgrid.operators.filters import DAY_KEY, TRIP_KEY, not_administrative
 
 MIN_GAP_HOURS = 6.0
@@ -22,13 +22,12 @@ def _fleet_columns():
 
     These keep one counter per distinct value of a trip or a vehicle day, never its rows.
     """
-    plates = F.collect_set(F.nullif("plate", F.lit("")))
     return [
         F.coalesce(F.mode("carrier", True), F.lit("")).alias("carrier"),
         F.coalesce(F.mode("carrier_type", True), F.lit("")).alias("carrier_type"),
         F.coalesce(F.mode(F.nullif("plate", F.lit("")), True), F.lit("")).alias("plate"),
         F.coalesce(F.mode(F.nullif("plate_norm", F.lit("")), True), F.lit("")).alias("plate_norm"),
-        F.array_join(F.array_sort(plates), ", ").alias("plates"),
+        distinct_list("plate").alias("plates"),
     ]
 
 

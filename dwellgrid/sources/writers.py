@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ from dwellgrid.operators.power import (
 from dwellgrid.params import Filter, Power
 from dwellgrid.session import materialize
 
-FOCUS_WORDS = ("Groteweerd", "Nieuwegein")
-FOCUS_ALIAS = "Nieuwegein (Groteweerd 80)"
 FOCUS_POWER = Power(vehicle_classes=("own",), top_locations=50, scenario_years=(2027, 2030))
 
 HOURLY_COLUMNS = ["location_id", "name", "address", "hour", "vehicles", "events", "required_kw", "required_mw"]
@@ -53,8 +53,8 @@ def sink_heatmap_parquet(heatmap: DataFrame, path: str) -> None:
     heatmap.select(*HEATMAP_COLUMNS).write.parquet(path)
 
 
-def focus_location(locations: DataFrame, words=FOCUS_WORDS, alias: str = FOCUS_ALIAS) -> DataFrame:
-    """The location that matches the focus, else the one with the highest peak; one row."""
+def focus_location(locations: DataFrame, words: Sequence[str], alias: str) -> DataFrame:
+    """The location whose name or address holds one of the words, or whose name is part of the alias, else the one with the highest peak; one row."""
     named = F.contains(F.upper(F.lit(alias)), F.upper("name"))
     for word in words:
         named = named | F.upper("address").contains(word.upper()) | F.upper("name").contains(word.upper())
@@ -63,7 +63,7 @@ def focus_location(locations: DataFrame, words=FOCUS_WORDS, alias: str = FOCUS_A
 
 
 def export_focus_report(
-    actions: DataFrame, path: str, flt: Filter = Filter(), power: Power = FOCUS_POWER, words=FOCUS_WORDS, alias=FOCUS_ALIAS
+    actions: DataFrame, path: str, words: Sequence[str], alias: str, flt: Filter = Filter(), power: Power = FOCUS_POWER
 ) -> DataFrame:
     """Write the profiles of the focus location and the heatmap of all; returns the chosen location."""
     windows = power_windows(actions, flt, power)

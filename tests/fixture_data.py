@@ -95,7 +95,7 @@ def _action(carrier, code, kind, trip, plate, action, starts, ends, address):
     return trip_line(carrier, code, kind, trip, plate, starts, ends, "12", action, starts, ends, address)
 
 
-FOCUS = "Groteweerd 80, Nieuwegein"
+FOCUS = "Verzonnenweg 80, Voorbeeldstad"
 POWER_ACTIONS = [
     _action("Eigen Vervoer", "001", "Trekker met oplegger", "T1", "11-BZX-8", "travel", "01-1-2026 22:00:00", "01-1-2026 22:15:00", FOCUS),
     _action("Eigen Vervoer", "001", "Trekker met oplegger", "T1", "11-BZX-8", "wait_task_available", "01-1-2026 23:30:00", "02-1-2026 01:30:00", FOCUS),

@@ -134,7 +134,7 @@ def test_power_diagnostics(power):
 
 
 def test_focus_report(spark, power, tmp_path):
-    chosen = writers.export_focus_report(power.route_actions, f"{tmp_path}/report").first()
+    chosen = writers.export_focus_report(power.route_actions, f"{tmp_path}/report", ["Verzonnenweg"], "-").first()
     assert chosen.is_focus and chosen.address == FOCUS
     hourly = spark.read.option("header", True).csv(f"{tmp_path}/report/hourly_profile")
     assert hourly.columns == writers.HOURLY_COLUMNS and hourly.count() == 24
