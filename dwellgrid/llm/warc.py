@@ -190,13 +190,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payloads(found: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit has its response's payload."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit has its response's payload.
+
+    A page id can stand on several records, so the response of a revisit is the one of the id it refers to whose
+    payload has the digest that the revisit states.
+    """
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '<urn:page:(.*)>', 1), '') AS BIGINT)")
-    rows = found.select(number("record_id").alias("page_id"), F.col("kind").alias("record_type"), number("refers").alias("refers_to"), "payload_bytes", "digest")
-    full = rows.where("record_type = 'response' AND page_id IS NOT NULL").groupBy("page_id").agg(
-        F.min("payload_bytes").alias("full_bytes"), F.min("digest").alias("full_digest")
-    )
-    again = rows.where("record_type = 'revisit'").join(full.withColumnRenamed("page_id", "full_id"), F.col("refers_to") == F.col("full_id"), "left")
+    rows = found.select(number("record_id").alias("page_id"), F.col("kind").alias("record_type"), number("refers").alias("refers_to"), "payload_bytes", "digest", "stated")
+    full = rows.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(
+        F.col("page_id").alias("full_id"), F.col("digest").alias("full_digest")
+    ).agg(F.min("payload_bytes").alias("full_bytes"))
+    stated = F.regexp_replace("stated", "^sha256:", "")
+    again = rows.where("record_type = 'revisit'").join(full, (F.col("refers_to") == F.col("full_id")) & (stated == F.col("full_digest")), "left")
     return (
         rows.where("record_type = 'response'")
         .select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")

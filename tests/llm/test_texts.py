@@ -171,3 +171,18 @@ def test_pointer_jumping_keeps_the_chain_only():
     assert warc.reached(begin, after).tolist() == [True, False, True, False, True]
     assert warc.reached(np.array([3]), np.array([9])).tolist() == [False]
     assert gzip.decompress(gzip.compress(b"a")) == b"a"
+
+
+def test_archives_with_repeated_page_ids(spark, tmp_path):
+    a, b, c = "a" * 200, "b" * 150, "c" * 20
+    pages = [(1, a), (1, b), (2, a), (3, b), (3, b), (2, c), (1, c), (None, a), (4, None)]
+    df = spark.createDataFrame([(k, "http://x/", h, "row") for k, h in pages], "page_id long, url string, html string, digest string")
+    warc.write(df, str(tmp_path / "archive"))
+    got = warc.payloads(warc.read(spark, str(tmp_path / "archive"))).collect()
+    expected = []
+    for key, html in pages:
+        data = (html or "").encode()
+        least = min(k for k, h in pages if h == html and k is not None) if len(data) >= 100 else key
+        again = key is not None and key != least
+        expected.append((key, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", least if again else None))
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
