@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.bpe import KEPT, Pairs
+from dwellgrid.llm.bpe import Pairs
 from dwellgrid.llm.common import identified
 
 MARK = "▁"
@@ -36,8 +36,8 @@ COARSE = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 JOINED = regex.compile(rf"\p{{L}}\P{{L}}|[^\p{{L}}{MARK}]\p{{L}}")
 #: Ids of runs up to this length are kept for the next time; longer runs are searched as a stream.
 KEPT_WORD = 64
-#: States a worker holds before it begins anew.
-STATES = 200_000
+#: States, and bytes of words (each ``WORD`` beside its letters and ids), a worker holds before it begins anew.
+STATES, WORD_BYTES, WORD = 200_000, 64 << 20, 200
 
 
 class Model:
@@ -49,6 +49,7 @@ class Model:
         self.pairs = Pairs(tuple, lambda a, b: -pieces[a + b][1] if a + b in pieces else None)
         self.least = min((s for _, s in pieces.values()), default=0.0) - 10.0
         self.words: dict[str, tuple[int, ...]] = {}
+        self.word_bytes = 0
         # Where no piece joins a letter to another sign, all paths meet between the two.
         self.runs = COARSE if any(map(JOINED.search, pieces)) else FINE
         self.starts = {p[:k] for p in pieces for k in range(len(p) + 1)}
@@ -81,6 +82,12 @@ class Model:
         self.states: list[tuple[str, tuple[str | None, ...]]] = [("", (None,))]
         self.steps: list[dict[str, tuple[int, int, tuple[int, ...]]]] = [{}]
 
+    def forget(self) -> None:
+        """Drop all that was remembered of texts, so that the worker's next stage has the memory."""
+        self._forget()
+        self.words, self.word_bytes = {}, 0
+        self.pairs.whole, self.pairs.known = {}, {}
+
     def _spelled(self, letter: str) -> tuple[int, ...]:
         return tuple(self.raw[b] for b in letter.encode()) if self.raw else (self.unknown,)
 
@@ -180,9 +187,11 @@ class Model:
             short = len(word) <= KEPT_WORD
             found = self._short(word) if short and not self.unigram else tuple(chain.from_iterable(self.stream(word)))
             if short:
-                if len(self.words) >= KEPT:
+                if self.word_bytes >= WORD_BYTES:
                     self.words.clear()
+                    self.word_bytes = 0
                 self.words[word] = found
+                self.word_bytes += WORD + 4 * len(word) + 8 * len(found)
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -200,7 +209,7 @@ class Model:
 
 @lru_cache(maxsize=2)
 def opened(state: tuple) -> Model:
-    """The model of a worker process: later tasks find its words already searched."""
+    """The model of a worker process; a task forgets its texts when it ends."""
     pieces, raw, unknown, unigram, prefix = state
     return Model(dict(pieces), list(raw), unknown, unigram, prefix)
 
@@ -221,21 +230,24 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", value: str = "text"
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = opened(sent.value)
-        for part in parts:
-            for at in range(0, part.num_rows, 256):  # ids of a few texts at a time
-                some = part.slice(at, 256)
-                texts = some.column(2).to_pylist()
-                ids = [ready.encode(t) for t in texts]
-                restored = [ready.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-                counts = pa.array([len(i) for i in ids], pa.int64())
-                if digest:
-                    out = pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string())
-                else:
-                    out = pa.array(ids, last.type)
-                yield pa.record_batch(
-                    [some.column(0), some.column(1), counts, out, pa.array(restored, pa.bool_())],
-                    ["doc_id", "n_bytes", "n_tokens", last.name, "restored"],
-                )
+        try:
+            for part in parts:
+                for at in range(0, part.num_rows, 256):  # ids of a few texts at a time
+                    some = part.slice(at, 256)
+                    texts = some.column(2).to_pylist()
+                    ids = [ready.encode(t) for t in texts]
+                    restored = [ready.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                    counts = pa.array([len(i) for i in ids], pa.int64())
+                    if digest:
+                        out = pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string())
+                    else:
+                        out = pa.array(ids, last.type)
+                    yield pa.record_batch(
+                        [some.column(0), some.column(1), counts, out, pa.array(restored, pa.bool_())],
+                        ["doc_id", "n_bytes", "n_tokens", last.name, "restored"],
+                    )
+        finally:
+            ready.forget()
 
     rows = identified(docs, key, value).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = "ids_sha256 string" if digest else "ids array<int>"

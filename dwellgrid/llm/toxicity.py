@@ -302,7 +302,9 @@ def clean(docs: DataFrame, model: Model, key: str = "doc_id", value: str = "text
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ready(sent.value)
         for part in parts:
-            keep = [own.score(t or "") < 0.5 for t in part.column(at).to_pylist()]
-            yield part.filter(pa.array(keep, pa.bool_()))
+            for begin in range(0, part.num_rows, 256):  # the texts of a few rows at a time beside their batch
+                some = part.slice(begin, 256)
+                keep = [own.score(t.as_py() or "") < 0.5 for t in some.column(at)]
+                yield some.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)

@@ -72,3 +72,14 @@ def test_unigram_stream_finds_the_best_path(seed):
     ids = [i for part in model.stream(text) for i in part]
     assert "".join(names[i][0] for i in ids) == text
     assert sum(names[i][1] for i in ids) == pytest.approx(best[-1])
+
+
+def test_a_task_ends_without_what_it_remembered(monkeypatch):
+    model = pieces.Model.load(pieces.model_path("piece_bpe_32k.model"))
+    texts = [f"word{i} andere{i * 7} \u00e9{i}" for i in range(3000)]
+    expected = [model.encode(t) for t in texts]
+    model.forget()
+    assert not model.words and not model.pairs.known and not model.pairs.whole and len(model.states) == 1 and model.word_bytes == 0
+    monkeypatch.setattr(pieces, "WORD_BYTES", 20_000)
+    assert [model.encode(t) for t in texts] == expected
+    assert model.word_bytes < 21_000 and len(model.words) < 100
