@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.llm.bpe import Pairs
-from dwellgrid.llm.common import identified
+from dwellgrid.llm.common import identified, resident
 
 MARK = "▁"
 #: Runs of letters or of other signs, with the marks before them; and runs that end before a mark only.
@@ -82,12 +81,6 @@ class Model:
         self.states: list[tuple[str, tuple[str | None, ...]]] = [("", (None,))]
         self.steps: list[dict[str, tuple[int, int, tuple[int, ...]]]] = [{}]
 
-    def forget(self) -> None:
-        """Drop all that was remembered of texts, so that the worker's next stage has the memory."""
-        self._forget()
-        self.words, self.word_bytes = {}, 0
-        self.pairs.whole, self.pairs.known = {}, {}
-
     def _spelled(self, letter: str) -> tuple[int, ...]:
         return tuple(self.raw[b] for b in letter.encode()) if self.raw else (self.unknown,)
 
@@ -207,11 +200,14 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
 def opened(state: tuple) -> Model:
-    """The model of a worker process; a task forgets its texts when it ends."""
-    pieces, raw, unknown, unigram, prefix = state
-    return Model(dict(pieces), list(raw), unknown, unigram, prefix)
+    """The model of a worker process: later tasks of the stage find its words already searched."""
+
+    def build() -> Model:
+        pieces, raw, unknown, unigram, prefix = state
+        return Model(dict(pieces), list(raw), unknown, unigram, prefix)
+
+    return resident(("pieces", state), build)
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", value: str = "text", digest: bool = False) -> DataFrame:
@@ -230,24 +226,21 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", value: str = "text"
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = opened(sent.value)
-        try:
-            for part in parts:
-                for at in range(0, part.num_rows, 256):  # ids of a few texts at a time
-                    some = part.slice(at, 256)
-                    texts = some.column(2).to_pylist()
-                    ids = [ready.encode(t) for t in texts]
-                    restored = [ready.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-                    counts = pa.array([len(i) for i in ids], pa.int64())
-                    if digest:
-                        out = pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string())
-                    else:
-                        out = pa.array(ids, last.type)
-                    yield pa.record_batch(
-                        [some.column(0), some.column(1), counts, out, pa.array(restored, pa.bool_())],
-                        ["doc_id", "n_bytes", "n_tokens", last.name, "restored"],
-                    )
-        finally:
-            ready.forget()
+        for part in parts:
+            for at in range(0, part.num_rows, 256):  # ids of a few texts at a time
+                some = part.slice(at, 256)
+                texts = some.column(2).to_pylist()
+                ids = [ready.encode(t) for t in texts]
+                restored = [ready.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                counts = pa.array([len(i) for i in ids], pa.int64())
+                if digest:
+                    out = pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string())
+                else:
+                    out = pa.array(ids, last.type)
+                yield pa.record_batch(
+                    [some.column(0), some.column(1), counts, out, pa.array(restored, pa.bool_())],
+                    ["doc_id", "n_bytes", "n_tokens", last.name, "restored"],
+                )
 
     rows = identified(docs, key, value).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = "ids_sha256 string" if digest else "ids array<int>"

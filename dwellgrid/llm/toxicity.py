@@ -14,7 +14,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.common import identified, quoted
+from dwellgrid.llm.common import identified, quoted, resident
 from dwellgrid.session import materialize
 
 #: Labelled texts per class that the model is fitted on, at most.
@@ -243,9 +242,8 @@ def _contents(own: bytes, pieces: list[bytes]) -> tuple[bytes, bytes]:
     return base + own, base + b"\0" * len(own)  # the base lies equally far back in both
 
 
-@lru_cache(maxsize=2)
 def ready(state: tuple) -> Model:
-    return Model(*state)
+    return resident(("toxicity", state), lambda: Model(*state))
 
 
 def held_out(key) -> F.Column:

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from dwellgrid.llm import pieces, tokens
+from dwellgrid.llm import common, pieces, tokens
 
 ODD = list("  \n\t'’ÀÉßΣςİKÅé漢字😀123½_-—<|>!?&$%​　́")
 
@@ -74,12 +74,19 @@ def test_unigram_stream_finds_the_best_path(seed):
     assert sum(names[i][1] for i in ids) == pytest.approx(best[-1])
 
 
-def test_a_task_ends_without_what_it_remembered(monkeypatch):
+def test_remembered_words_are_bounded_by_bytes(monkeypatch):
     model = pieces.Model.load(pieces.model_path("piece_bpe_32k.model"))
     texts = [f"word{i} andere{i * 7} \u00e9{i}" for i in range(3000)]
     expected = [model.encode(t) for t in texts]
-    model.forget()
-    assert not model.words and not model.pairs.known and not model.pairs.whole and len(model.states) == 1 and model.word_bytes == 0
+    model.words, model.word_bytes = {}, 0
     monkeypatch.setattr(pieces, "WORD_BYTES", 20_000)
     assert [model.encode(t) for t in texts] == expected
     assert model.word_bytes < 21_000 and len(model.words) < 100
+
+
+def test_a_worker_holds_one_model(monkeypatch):
+    monkeypatch.setattr(common, "_resident", [])
+    built = []
+    for mark in ("a", "a", "b", "b", "a"):
+        assert common.resident((mark, (1, 2)), lambda: built.append(mark) or mark) == mark
+    assert built == ["a", "b", "a"] and len(common._resident) == 1
