@@ -97,6 +97,19 @@ def coordinate_key(lat, lon) -> Column:
     return F.format_string("%.5f:%.5f", bankers_round(lat, 5), bankers_round(lon, 5))
 
 
+def z_cell(lat, lon, degrees: float = 0.01) -> Column:
+    """Number of the cell of ``degrees`` on a curve that keeps neighbours together: the bits of row and column by turns."""
+
+    def spread(value: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+        return value
+
+    row = F.floor((column(lat) + 90.0) / degrees).cast("long")
+    col = F.floor((column(lon) + 180.0) / degrees).cast("long")
+    return F.shiftleft(spread(row), 1).bitwiseOR(spread(col))
+
+
 def location_id(lat, lon, address) -> Column:
     """Cell of about 100 m, or the address when there are no coordinates."""
     lat, lon = column(lat), column(lon)

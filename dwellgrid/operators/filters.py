@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -121,18 +122,29 @@ def _box(lat: str, lon: str, mid_lat: float, mid_lon: float, radius_km: float, l
     ]
 
 
+def _around(lat: str, lon: str, mid_lat: float, mid_lon: float, radius_km: float) -> list[Column]:
+    """Ranges that hold every point within the radius, twice as wide as that; near a pole or the date line latitudes only."""
+    from math import cos, radians
+
+    span = 2 * radius_km / KM_PER_LATITUDE
+    found = [F.col(lat).between(mid_lat - span, mid_lat + span)]
+    if abs(mid_lat) + span < 89.0:
+        wide = span / cos(radians(abs(mid_lat) + span))
+        if abs(mid_lon) + wide < 180.0:
+            found.append(F.col(lon).between(mid_lon - wide, mid_lon + wide))
+    return found
+
+
 def filter_within_radius(overnight: DataFrame, lat: float, lon: float, radius_km: float, flt: Filter) -> DataFrame:
     """Overnight events that start within a radius; the zone mode plays no part here."""
     flt = flt.normalized()
     lat, lon = max(-90.0, min(lat, 90.0)), max(-180.0, min(lon, 180.0))
     radius_km = max(0.1, min(radius_km, 5.0))
-    # Twice the radius and latitude only: the box must not cut what the distance would keep.
-    span = 2 * radius_km / KM_PER_LATITUDE
     return overnight.where(
         _all(
             [
                 F.col("day_km") >= 0,
-                F.col("start_lat").between(lat - span, lat + span),
+                *_around("start_lat", "start_lon", lat, lon, radius_km),
                 haversine_km("start_lat", "start_lon", lat, lon) <= radius_km,
                 *_common(flt),
             ]
@@ -140,6 +152,16 @@ def filter_within_radius(overnight: DataFrame, lat: float, lon: float, radius_km
     )
 
 
+def filter_depot(overnight: DataFrame, depot_id: str) -> DataFrame:
+    """Overnight events of one home location. Its id names a cell of places, which the scan can look for."""
+    depot_id = depot_id.strip()
+    conditions = [F.col("depot_id") == depot_id]
+    if cell := re.fullmatch(r"auto:(-?\d+\.\d{3}):(-?\d+\.\d{3})", depot_id):
+        for name, middle in zip(("start_lat", "start_lon"), map(float, cell.groups()), strict=True):
+            conditions.append(F.col(name).between(middle - 0.001, middle + 0.001))
+    return overnight.where(_all(conditions))
+
+
 def filter_road_selection(index: DataFrame, road: Road, flt: Filter) -> DataFrame:
     """Trips whose midpoint lies near the midpoint of the selected segment."""
     flt, road = flt.normalized(), road.for_selection()

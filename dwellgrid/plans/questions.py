@@ -9,6 +9,7 @@ from dwellgrid.operators import breaks as brk
 from dwellgrid.operators import demand, fleet, overview, roads
 from dwellgrid.operators import power as pwr
 from dwellgrid.operators.filters import (
+    filter_depot,
     filter_overnight,
     filter_road_selection,
     filter_within_radius,
@@ -68,8 +69,13 @@ def _selection(events: DataFrame, heat: DataFrame, scenario: Scenario, is_road:
     }
 
 
+def _chosen(rows: DataFrame) -> DataFrame:
+    """Stored once: every part of a selection reads the chosen rows, none searches the tables again."""
+    return materialize(rows, "chosen")
+
+
 def depot_selection(t: Tables, depot_id: str, flt: Filter = Filter(), scenario: Scenario = Scenario()) -> Parts:
-    chosen = filter_overnight(t.overnight_events.where(F.col("depot_id") == depot_id.strip()), t.stops, flt)
+    chosen = _chosen(filter_overnight(filter_depot(t.overnight_events, depot_id), t.stops, flt))
     events = demand.overnight_demand_events(chosen)
     parts = _selection(events, demand.selected_day_heat(t.stops, chosen), scenario, is_road=False)
     return {**parts, "daily_distances": parts["distances"], "daily_distribution": parts["distribution"]}
@@ -78,14 +84,14 @@ def depot_selection(t: Tables, depot_id: str, flt: Filter = Filter(), scenario:
 def stop_selection(
     t: Tables, lat: float, lon: float, radius_km: float = 0.5, flt: Filter = Filter(), scenario: Scenario = Scenario()
 ) -> Parts:
-    chosen = filter_within_radius(t.overnight_events, lat, lon, radius_km, flt)
+    chosen = _chosen(filter_within_radius(t.overnight_events, lat, lon, radius_km, flt))
     events = demand.overnight_demand_events(chosen, "trip_date")
     parts = _selection(events, demand.selected_day_heat(t.stops, chosen), scenario, is_road=False)
     return {**parts, "daily_distances": parts["distances"], "daily_distribution": parts["distribution"]}
 
 
 def road_selection(t: Tables, road: Road, flt: Filter = Filter(), scenario: Scenario = Scenario()) -> Parts:
-    chosen = filter_road_selection(t.road_selection_index, road, flt)
+    chosen = _chosen(filter_road_selection(t.road_selection_index, road, flt))
     events = demand.road_demand_events(chosen)
     days = demand.daily_distance_of_selection(t.vehicle_days, chosen)
     return {

@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellgrid.functions.geo import z_cell
 from dwellgrid.operators import ingest, tables
 
+#: Small enough to skip, large enough to read in one go.
+ROW_GROUP_BYTES = 16 << 20
+START = ("start_lat", "start_lon")
 STORED = ("route_actions", "stops", "daily_trips", "vehicle_days", "overnight_events", "road_selection_index")
 
 
@@ -28,26 +32,28 @@ class Tables:
         return tables.overnight_locations(self.overnight_events)
 
 
-def store(df: DataFrame, path: str) -> DataFrame:
+def store(df: DataFrame, path: str, place: tuple[str, str], *then: str) -> DataFrame:
     """Write one table by date, so that a date filter reads only the days it needs.
 
-    The rebalance hint sizes the files: days with much data are split, small ones are not scattered.
+    The rebalance hint sizes the files: days with much data are split, small ones are not scattered. In each file
+    rows follow the curve through the cells of their ``place`` (latitude, longitude), then the columns ``then``, and row
+    groups are small: a search around a place reads the row groups whose range of places meets its box.
     """
-    df.hint("rebalance", F.col("trip_date")).write.partitionBy("trip_date").parquet(path)
+    sized = df.hint("rebalance", F.col("trip_date")).sortWithinPartitions("trip_date", z_cell(*place), *then)
+    sized.write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("trip_date").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def store_tables(route_actions: DataFrame, stops: DataFrame, folder: str) -> Tables:
     """Store actions and stops, and derive the other tables each from the stored one before it."""
-    actions = store(route_actions, f"{folder}/route_actions")
-    stops = store(stops, f"{folder}/stops")
-    trips = store(tables.daily_trips(stops), f"{folder}/daily_trips")
-    days = store(tables.vehicle_days(trips), f"{folder}/vehicle_days")
+    actions = store(route_actions, f"{folder}/route_actions", ("lat", "lon"), "vehicle_code")
+    stops = store(stops, f"{folder}/stops", ("lat", "lon"), "vehicle_code")
+    trips = store(tables.daily_trips(stops), f"{folder}/daily_trips", START, "vehicle_code")
+    days = store(tables.vehicle_days(trips), f"{folder}/vehicle_days", START, "vehicle_code")
     candidates = tables.overnight_candidates(days)
     overnight = tables.overnight_events(candidates, tables.overnight_home_location(candidates))
-    overnight = store(overnight, f"{folder}/overnight_events")
-    # Stored, so that a selection's bounding box on the midpoints skips row groups.
-    index = store(tables.road_selection_index(trips), f"{folder}/road_selection_index")
+    overnight = store(overnight, f"{folder}/overnight_events", START, "depot_id")
+    index = store(tables.road_selection_index(trips), f"{folder}/road_selection_index", ("mid_lat", "mid_lon"))
     return Tables(actions, stops, trips, days, overnight, index)
 
 
