@@ -15,6 +15,7 @@ from dwellgrid.functions.text import (
     text_or_empty,
 )
 from dwellgrid.operators.ingest import prepared_stops
+from dwellgrid.sources.quoted import breaks_inside_quotes, scan_quoted_csv
 
 VARIANTS = ("full", "eigen", "charter")
 
@@ -58,7 +59,10 @@ CHARTER_VEHICLE_HEADERS = {
 
 
 def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All columns as text; an empty field is null, quoted or not."""
+    """All columns as text, and ``filename``; an empty field is null, quoted or not.
+
+    Spark's reader splits files at any line end, so files with line breaks inside quotes go another way.
+    """
     raw = (
         spark.read.option("header", True)
         .option("inferSchema", False)
@@ -68,7 +72,12 @@ def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .option("enforceSchema", False)
         .csv(paths if isinstance(paths, str) else list(paths))
     )
-    return raw.select([F.nullif(quoted(name), F.lit("")).alias(name) for name in raw.columns])
+    names = raw.columns
+    if breaks_inside_quotes(spark, paths):
+        raw = scan_quoted_csv(spark, paths, names)
+    else:
+        raw = raw.select("*", F.input_file_name().alias("filename"))
+    return raw.select(*[F.nullif(quoted(name), F.lit("")).alias(name) for name in names], "filename")
 
 
 def scan_trip_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -76,7 +85,7 @@ def scan_trip_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     Files with the same header are best passed as one folder: each path is one header.
     """
-    parts = [_csv(spark, path).withColumn("filename", F.input_file_name()) for path in paths]
+    parts = [_csv(spark, path) for path in paths]
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
 
 
