@@ -517,10 +517,34 @@ def _snap_width(row: str) -> Column:
     return F.when(edge > 89.0, 400.0).otherwise(SNAP_CELL / F.cos(F.radians(edge)))
 
 
+def segment_cells(segments: DataFrame) -> DataFrame:
+    """Each segment ``a``, ``b`` once per cell (``_x``, ``_y``) that it comes near.
+
+    It is clipped to every row of cells and the rows next to it, so a segment enters a few cells per row it
+    crosses, however it lies, not all cells of its bounding box.
+    """
+    low, high = F.least("a.lat", "b.lat"), F.greatest("a.lat", "b.lat")
+    rows = segments.withColumn("_x", F.explode(F.sequence(cell(low, SNAP_CELL) - 1, cell(high, SNAP_CELL) + 1)))
+    rise = F.col("b.lat") - F.col("a.lat")
+
+    def along(lat: Column, level: float) -> Column:
+        """Share of the segment at a latitude, held to the segment; ``level`` where it follows a parallel."""
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lat - F.col("a.lat")) / F.nullif(rise, F.lit(0.0))))
+        return F.when(rise == 0, level).otherwise(share)
+
+    # What is near a place in the row lies in it or one row further on.
+    south, north = (F.col("_x") - 1) * SNAP_CELL, (F.col("_x") + 2) * SNAP_CELL
+    ends = [F.col("a.lon") + along(lat, level) * (F.col("b.lon") - F.col("a.lon")) for lat, level in ((south, 0.0), (north, 1.0))]
+    width = _snap_width("_x")
+    columns = F.sequence(cell(F.least(*ends), width) - 1, cell(F.greatest(*ends), width) + 1)
+    return rows.withColumn("_y", F.explode(columns))
+
+
 def snap_to_road(lines: DataFrame, roads: DataFrame) -> DataFrame:
     """Draw demand lines along the nearest road within 2 km; lines without one are left out.
 
-    Road segments are entered in every cell they come near, so a line looks in its own cell only.
+    Road segments are entered in every cell they come near, so a line looks in its own cell only. Segments travel with
+    the number of their road; its shape is joined to what was chosen.
     """
     centre = ((F.col("lat1") + F.col("lat2")) / 2.0, (F.col("lon1") + F.col("lon2")) / 2.0)
     here = lines.withColumns({"_lat": centre[0], "_lon": centre[1]})
@@ -529,24 +553,21 @@ def snap_to_road(lines: DataFrame, roads: DataFrame) -> DataFrame:
         F.slice("coordinates", F.lit(1), F.size("coordinates") - 1).alias("a"),
         F.slice("coordinates", F.lit(2), F.size("coordinates") - 1).alias("b"),
     )
-    segments = roads.select(
-        F.col("segment_id").alias("road_id"), "coordinates", F.posexplode(pairs).alias("_no", "_pair")
-    ).select("road_id", "coordinates", "_no", "_pair.*")
-
-    def cells(axis: str, size) -> Column:
-        low, high = F.least(f"a.{axis}", f"b.{axis}"), F.greatest(f"a.{axis}", f"b.{axis}")
-        return F.explode(F.sequence(cell(low, size) - 1, cell(high, size) + 1))
-
-    spread = segments.withColumn("_x", cells("lat", SNAP_CELL)).withColumn("_y", cells("lon", _snap_width("_x")))
+    numbered = roads.select(F.col("segment_id").alias("road_id"), "coordinates", F.monotonically_increasing_id().alias("_road"))
+    numbered = materialize(numbered, "roads")
+    segments = numbered.select("road_id", "_road", F.posexplode(pairs).alias("_no", "_pair")).select("road_id", "_road", "_no", "_pair.*")
     km = point_segment_km("_lat", "_lon", F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     best = (
         here.select("segment_id", "_lat", "_lon", "_x", "_y")
-        .join(spread, ["_x", "_y"])
+        .join(segment_cells(segments), ["_x", "_y"])
         .withColumn("_km", km)
         .where(F.col("_km") <= SNAP_KM)
         .groupBy("segment_id")
-        .agg(F.min_by(F.struct("road_id", "coordinates"), F.struct("_km", "road_id", "_no")).alias("_road"))
+        .agg(F.min_by("_road", F.struct("_km", "road_id", "_no", "_road")).alias("_road"))
     )
-    return here.drop("_lat", "_lon", "_x", "_y").join(best, "segment_id").select(
-        *lines.columns, F.col("_road.road_id").alias("road_id"), F.col("_road.coordinates").alias("coordinates")
+    return (
+        here.drop("_lat", "_lon", "_x", "_y")
+        .join(best, "segment_id")
+        .join(numbered, "_road")
+        .select(*lines.columns, "road_id", "coordinates")
     )

@@ -298,3 +298,26 @@ def test_no_limit_gives_all_rows(spark):
     heat = spark.range(301_000).select(F.lit(52.0).alias("lat"), (F.col("id") / 1e5).alias("lon"), F.lit(2.0).alias("weight"))
     assert roads.road_heat(heat, Filter(road_top_percent=100)).count() == 301_000
     assert roads.road_heat(heat, Filter(road_top_percent=50)).count() == 150_500
+
+
+@pytest.mark.parametrize("lat", [0.0, 52.0, 69.0])
+def test_segments_enter_the_cells_they_come_near_and_few_others(spark, lat):
+    """A diagonal of n cells is in O(n) of them, and every place within reach of a segment finds it in its own cell."""
+    draw = random.Random(int(lat))
+    ends = [(lat, 5.0, lat + 2.0, 9.0), (lat, 5.0, lat, 7.0), (lat, 5.0, lat + 1.5, 5.0), (lat + 1, 8.0, lat, 5.0), (lat, 5.0, lat, 5.0), (lat, 5.0, lat + 0.001, 7.0)]
+    shape = "no int, a struct<lat:double,lon:double>, b struct<lat:double,lon:double>"
+    segments = spark.createDataFrame([(i, (e[0], e[1]), (e[2], e[3])) for i, e in enumerate(ends)], shape)
+    entered = materialize(roads.segment_cells(segments).select("no", "a", "b", "_x", "_y"), "cells")
+    counts = {r.no: r["count"] for r in entered.groupBy("no").count().collect()}
+    assert counts[0] <= 12 * (2.0 + 4.0) / 0.02 and counts[4] == 9
+    spots = []
+    for la1, lo1, la2, lo2 in ends:
+        for _ in range(150):
+            t = draw.random()
+            spots.append((la1 + t * (la2 - la1) + draw.uniform(-0.03, 0.03), lo1 + t * (lo2 - lo1) + draw.uniform(-0.05, 0.05)))
+    df = spark.createDataFrame(spots, "_lat double, _lon double")
+    df = df.withColumn("_x", nearest.cell("_lat", roads.SNAP_CELL)).withColumn("_y", nearest.cell("_lon", roads._snap_width("_x")))
+    km = geo.point_segment_km("_lat", "_lon", F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    found = df.join(entered, ["_x", "_y"]).where(km <= roads.SNAP_KM).select("_lat", "_lon", "no")
+    every = df.crossJoin(segments).where(km <= roads.SNAP_KM).select("_lat", "_lon", "no")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect())) != []
