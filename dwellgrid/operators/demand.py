@@ -297,14 +297,16 @@ def busy_windows(events: DataFrame, scenario: Scenario = Scenario(), is_road: bo
     )
 
 
-def charging_totals(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
+def charging_totals(
+    events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False, runs: DataFrame | None = None
+) -> DataFrame:
     """Energy, the weekly peak and how many plugs that peak takes."""
     plug = scenario.normalized().kw_per_plug
     totals = event_loads(events, scenario, is_road).agg(
         F.count(F.lit(1)).alias("events"),
         (F.coalesce(F.sum("demand_kwh"), F.lit(0.0)) / 1000.0).alias("_mwh"),
     )
-    peak = load_stretches(event_loads(events, scenario, is_road)).agg(
+    peak = (load_stretches(event_loads(events, scenario, is_road)) if runs is None else runs).agg(
         F.coalesce(F.max(bankers_round(F.col("required_kw") / 1000.0, 2)), F.lit(0.0))
     )
     return totals.withColumn("_peak", peak.scalar()).select(
@@ -320,7 +322,10 @@ def charging_totals(events: DataFrame, scenario: Scenario = Scenario(), is_road:
 
 
 def load_stretches(loads: DataFrame) -> DataFrame:
-    """Vehicles, events, energy and power per run of clock hours that are alike."""
+    """Vehicles, events, energy and power per run of clock hours that are alike.
+
+    The totals and profiles below take it as ``runs`` where it is stored, and work it out otherwise.
+    """
     return stretches(loads, [], "start_time", "end_time")
 
 
@@ -336,9 +341,11 @@ def _cell_columns(*leading: str) -> list:
     ]
 
 
-def hourly_demand_profile(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
+def hourly_demand_profile(
+    events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False, runs: DataFrame | None = None
+) -> DataFrame:
     """Per hour of the day the dated hour with most vehicles, then most power; 24 rows."""
-    slots = first_slots(load_stretches(event_loads(events, scenario, is_road)), 24)
+    slots = first_slots(load_stretches(event_loads(events, scenario, is_road)) if runs is None else runs, 24)
     order = F.struct("vehicles", "required_kw", -micros("slot"))
     best = F.max_by(F.struct("vehicles", "events", "demand_kwh", "required_kw"), order)
     peaks = slots.groupBy(F.hour("slot").alias("hour")).agg(best.alias("_best"))
@@ -346,11 +353,11 @@ def hourly_demand_profile(events: DataFrame, scenario: Scenario = Scenario(), is
     return hours.join(peaks, "hour", "left").select(*_cell_columns("hour")).orderBy("hour")
 
 
-def weekly_peaks(loads: DataFrame) -> DataFrame:
+def weekly_peaks(runs: DataFrame) -> DataFrame:
     """Per weekday and hour the dated hour (``slot``) with most power, then most vehicles; at most 168 rows."""
     order = F.struct("required_kw", "vehicles", -micros("slot"))
     best = F.max_by(F.struct("slot", "vehicles", "events", "demand_kwh", "required_kw"), order).alias("_best")
-    slots = first_slots(load_stretches(loads), 168)
+    slots = first_slots(runs, 168)
     return slots.groupBy(F.weekday("slot").alias("day_index"), F.hour("slot").alias("hour")).agg(best)
 
 
@@ -364,14 +371,14 @@ def in_slots(loads: DataFrame, peaks: DataFrame) -> DataFrame:
 
 
 def weekly_demand_profile(
-    events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False, listed: int = 40
+    events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False, listed: int = 40, runs: DataFrame | None = None
 ) -> DataFrame:
     """Per weekday and hour the dated hour with most power, then most vehicles; 168 rows.
 
     Each shows the first ``listed`` plates and codes; ``peak_slot_vehicles`` has all of them as rows.
     """
     loads = event_loads(events, scenario, is_road)
-    peaks = materialize(weekly_peaks(loads), "weekly-peaks")
+    peaks = weekly_peaks(materialize(load_stretches(loads), "runs") if runs is None else runs)
     touched = in_slots(loads, peaks)
     plates = touched.select("slot", F.explode(split_plates("plates")).alias("plate"))
     plate_lists = first_values(plates, ["slot"], "plate", "plates", listed).drop("plates_count")
@@ -422,10 +429,12 @@ def slot_vehicle_demand(events: DataFrame, scenario: Scenario = Scenario(), is_r
     return _vehicles_of_slots(hour_slots(event_loads(events, scenario, is_road)))
 
 
-def peak_slot_vehicles(events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False) -> DataFrame:
+def peak_slot_vehicles(
+    events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False, runs: DataFrame | None = None
+) -> DataFrame:
     """The dated hour that each weekday and hour of the weekly profile shows, with all its vehicles."""
     loads = event_loads(events, scenario, is_road)
-    peaks = materialize(weekly_peaks(loads), "weekly-peaks")
+    peaks = weekly_peaks(load_stretches(loads) if runs is None else runs)
     rows = _vehicles_of_slots(in_slots(loads, peaks))
     # A slot is one weekday and hour, so no lookup is needed.
     return rows.select(F.weekday("slot").alias("day_index"), F.hour("slot").alias("hour"), *rows.columns)

@@ -55,6 +55,8 @@ def overnight_ranking(
 
 
 def _selection(events: DataFrame, heat: DataFrame, scenario: Scenario, is_road: bool) -> Parts:
+    # One sweep over the events serves the totals and all profiles.
+    runs = materialize(demand.load_stretches(demand.event_loads(events, scenario, is_road)), "runs")
     return {
         "summary": demand.selection_summary(events, scenario, is_road),
         "distances": demand.distance_statistics(events),
@@ -62,10 +64,10 @@ def _selection(events: DataFrame, heat: DataFrame, scenario: Scenario, is_road:
         "heat": heat,
         "vehicles": demand.selection_vehicles(events, scenario, is_road),
         "busy_windows": demand.busy_windows(events, scenario, is_road),
-        "totals": demand.charging_totals(events, scenario, is_road),
-        "hourly": demand.hourly_demand_profile(events, scenario, is_road),
-        "weekly": demand.weekly_demand_profile(events, scenario, is_road),
-        "slot_vehicles": demand.peak_slot_vehicles(events, scenario, is_road),
+        "totals": demand.charging_totals(events, scenario, is_road, runs),
+        "hourly": demand.hourly_demand_profile(events, scenario, is_road, runs),
+        "weekly": demand.weekly_demand_profile(events, scenario, is_road, runs=runs),
+        "slot_vehicles": demand.peak_slot_vehicles(events, scenario, is_road, runs),
     }
 
 
