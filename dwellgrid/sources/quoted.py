@@ -32,7 +32,7 @@ def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     read = spark.read.option("lineSep", "\n").text(paths if isinstance(paths, str) else list(paths))
     return read.select(
         F.col("value").alias("_line"), F.input_file_name().alias("_file"), F.col("_metadata.file_block_start").alias("_range"),
-        F.monotonically_increasing_id().alias("_at"), F.rlike("value", F.lit(_OPENS)).alias("_opens"),
+        F.monotonically_increasing_id().alias("_at"), (F.contains("value", F.lit('"')) & F.rlike("value", F.lit(_OPENS))).alias("_opens"),
     )
 
 
