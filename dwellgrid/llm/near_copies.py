@@ -6,12 +6,13 @@ text order: texts agree on a sketch if they share these k-mers and their order,
 similarity. At similarity s about s^3 of the k-mers are shared, so two texts agree on a sketch with
 probability (s^3 / (2 - s^3))^2 or more, 0.118 at 0.8, and on none of 48 with 0.002.
 
-Texts of up to ``SHORT`` words have too few k-mers for that and go another way, which loses nothing: the
-longer text of a pair is cut into one segment more than the pair may have edits, so that one segment stands
-whole in the shorter text, not far from its place. Each text has the keys of its own segments and of the
-stretches that could be a segment of a text up to a fifth longer.
+Texts of up to ``SHORT`` words have too few k-mers for that and go another way, which loses nothing. An edit
+touches one word, so similar texts share all words but as many as the longer one may have edits, E. Put the
+words of every text into one order; then at least three shared words are among the first E + 3 of both. Each
+text has a key for every three of those. Words are ordered by how many short texts hold them, rare ones first, so
+that a stretch which many texts share makes no keys where a text has rarer words.
 
-Documents with a sketch or a segment in common are candidates, and a banded alignment of their words
+Documents with a sketch or three rare words in common are candidates, and a banded alignment of their words
 decides: similar means that at most a fifth of the longer text's words have to be edited.
 
 Equal texts are one class. In each bucket all classes are first compared with one of them, in a few rounds
@@ -23,6 +24,7 @@ is aligned has met a bound that loses nothing (word counts in bins differ by at
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.llm.alignment import banded
-from dwellgrid.llm.common import identified
+from dwellgrid.llm.common import identified, quoted
 from dwellgrid.llm.components import components
 from dwellgrid.session import materialize
 
 WORDS = 3
 SIMILARITY = 0.8
 SKETCHES, PICKED = 48, 2
-#: Words of a text up to which pairs are found by segments.
-SHORT = 24
+#: Words of a text up to which pairs are found by rare words, and the words of such a key.
+SHORT, TOGETHER = 24, 3
+#: Counters of words, by hash: they only choose the order of words, any order finds every pair.
+COUNTERS = 1 << 16
 #: Rounds in which a bucket is compared with one of its members; the tables that the first of them looks at.
 ROUNDS, FIRST_TABLES = 3, 6
 BINS = 64
@@ -111,45 +115,66 @@ def limit(longer: int) -> int:
     return int(longer * (1 - SIMILARITY) + 1e-9)
 
 
-def segments(n: int) -> list[tuple[int, int, int, int]]:
-    """``longer, segment, begin, end``: the stretches of a text of ``n`` words that can be a segment of one of ``longer`` words.
+#: The shortest text that one of more than ``SHORT`` words can be similar to.
+SKETCHED = SHORT + 1 - limit(SHORT + 1)
+#: For each number of words the places of those that make a key.
+CHOICES = [np.array(list(combinations(range(n), TOGETHER)), np.int64).reshape(-1, TOGETHER) for n in range(limit(SHORT) + TOGETHER + 1)]
 
-    Before an untouched segment lie at most as many edits as segments, behind it no more than are left:
-    one of the segments meets both bounds on how far it has moved.
-    """
-    out = []
-    for longer in range(n, SHORT + 1):
-        edits, more = limit(longer), longer - n
-        if more > edits:
-            break
-        if not edits:
-            continue  # equal texts are one class
-        cuts = [longer * i // (edits + 1) for i in range(edits + 2)]
-        for i in range(edits + 1):
-            begin, size = cuts[i], cuts[i + 1] - cuts[i]
-            for at in range(max(0, begin - i, begin - more - (edits - i)), min(n - size, begin + i, begin - more + edits - i) + 1):
-                out.append((longer, i, at, at + size))
-    return out
 
+def rare(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys of a short text: every three of its first words in the order of ``counts``."""
+    edits = limit(len(words))
+    if not limit(len(words) + 1):
+        return np.empty(0, np.uint64)  # so few words that only equal texts are similar, and those are one class
+    seen: dict[int, int] = {}
+    times = np.empty(len(words), np.uint64)
+    for i, word in enumerate(words.tolist()):
+        times[i] = seen[word] = seen.get(word, -1) + 1
+    labelled = mixed(words + times * np.uint64(0x9E3779B97F4A7C15))
+    order = np.lexsort((labelled, counts[(words % np.uint64(COUNTERS)).astype(np.int64)]))
+    first = labelled[order[: edits + TOGETHER]]
+    key = np.full(len(CHOICES[len(first)]), TOGETHER, np.uint64)
+    for column in CHOICES[len(first)].T:
+        key = mixed(key * np.uint64(31) + first[column])
+    return key
 
-#: For texts of each length up to ``SHORT`` their stretches; the shortest text that a longer one than ``SHORT`` can be similar to.
-STRETCHES = [segments(n) for n in range(SHORT + 1)]
-SKETCHED = SHORT + 1 - limit(SHORT + 1)
+
+NO_COUNTS = np.zeros(COUNTERS, np.int64)
 
 
-def keys(words: np.ndarray) -> np.ndarray:
-    """The bucket keys of a text: of its sketches, of its stretches, or of both for texts that have both kinds of partners."""
+def keys(words: np.ndarray, counts: np.ndarray = NO_COUNTS) -> np.ndarray:
+    """The bucket keys of a text: of its sketches, of its rare words, or of both for texts that have both kinds of partners."""
     n = len(words)
     if n > SHORT:
         return sketch(words)
-    row = words.tolist()
-    short = {xxhash.xxh64_intdigest(repr((longer, i, row[begin:end]))) for longer, i, begin, end in STRETCHES[n]}
-    found = np.fromiter(sorted(short), np.uint64, len(short))
+    found = rare(words, counts)
     return np.concatenate([sketch(words), found]) if n >= SKETCHED else found
 
 
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How many different short texts hold the words of each counter; the driver sees a row per counter."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = Hashes(), np.zeros(COUNTERS, np.int64)
+        for part in parts:
+            for text in part.column(0).to_pylist():
+                words = np.unique(tokens(text, known))
+                if len(words):
+                    np.add.at(counts, (words % np.uint64(COUNTERS)).astype(np.int64), 1)
+        held = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(held), pa.array(counts[held])], ["counter", "n"])
+
+    # Splitting ends soon after the words of a short text, however long the text is.
+    short = docs.where(F.size(F.split("text", r"\s+", SHORT + 3)) <= SHORT + 2).select("text").distinct()
+    counts = NO_COUNTS.copy()
+    for row in short.mapInArrow(batches, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+        counts[row.counter] = row.n
+    return counts
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, node, n_words, bins, buckets`` of ``doc_id, text``; ``node`` is a digest of the text."""
+    counts = word_counts(docs)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
@@ -161,7 +186,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     words = tokens(text, known)
                     sizes.append(len(words))
                     bins.append(np.bincount((words >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32))
-                    buckets.append(keys(words).view(np.int64))
+                    buckets.append(keys(words, counts).view(np.int64))
                 yield pa.record_batch(
                     [
                         some.column(0), some.column(1), pa.array(sizes, pa.int32()),
@@ -266,11 +291,12 @@ def _near(pairs: DataFrame, shape: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, key: str = "doc_id", value: str = "text") -> DataFrame:
     """The documents, with all their columns, without the later ones of each class.
 
-    Of rows that repeat both key and text one stays.
+    Of rows that repeat both key and text one stays, the first by its other columns as JSON text.
     """
     heads = groups(docs, key, value).where("kept OR class_id IS NULL").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
     heads = materialize(heads, "kept")
     text = F.coalesce(F.col(value), F.lit(""))
     found = docs.withColumn("__digest", node(text)).join(heads, (F.col("__digest") == F.col("__node")) & F.col(key).cast("long").eqNullSafe(F.col("__id")))
-    window = found.groupBy("__digest", F.col(key).alias("__key")).agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return window.select("row.*")
+    others = [quoted(c) for c in docs.columns if c != value]
+    first = F.min_by(F.struct(*map(quoted, docs.columns)), F.to_json(F.struct(*others)))
+    return found.groupBy("__digest", quoted(key).alias("__key")).agg(first.alias("row")).select("row.*")

@@ -174,3 +174,48 @@ def test_benchmark_passages(spark):
     assert found == wanted | {500: set()}
     left = decontamination.clean(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, t in found.items() if not t}
+
+
+def test_short_texts_with_a_common_stretch(spark):
+    """Many short texts share most of their words: their buckets stay small, and every similar pair is found."""
+    rng = random.Random(11)
+    stretch = [f"s{i}" for i in range(12)]
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for _ in range(400):
+        other = [rng.choice(words) for _ in range(8)]
+        at = rng.randrange(9)
+        rows.append((len(rows), " ".join(other[:at] + stretch + other[at:])))
+    for i in range(0, 60, 2):  # four of twenty words changed: similar
+        near = rows[i][1].split()
+        for at in rng.sample(range(20), 4):
+            near[at] = "x" + rng.choice(words)
+        rows.append((len(rows), " ".join(near)))
+    rows += [(5000, rows[0][1]), (5001, ""), (5002, None)]
+    texts = [(t or "").split() for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            longer = max(len(texts[i]), len(texts[j]))
+            if texts[i] == texts[j] or alignment.banded(texts[i], texts[j], near_copies.limit(longer)) is not None:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_copies.groups(docs).collect()}
+    assert [found[i] for i, _ in rows] == [rows[g][0] for g in group]
+    known, counts = near_copies.Hashes(), near_copies.word_counts(docs.fillna("", ["text"]))
+    sizes: dict[int, int] = {}
+    for words_ in texts:
+        for key in near_copies.rare(near_copies.tokens(" ".join(words_), known), counts).tolist():
+            sizes[key] = sizes.get(key, 0) + 1
+    assert sum(n * (n - 1) // 2 for n in sizes.values()) < 20 * len(rows)
+
+
+def test_no_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, node int")
+    assert near_copies.groups(docs).count() == 0 and near_copies.keep_first(docs).count() == 0
+
+
+def test_repeated_keys_keep_the_least_row(spark):
+    rows = [(1, "one two three", 7), (1, "one two three", 5), (1, "four five", 9), (2, "four five", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    assert {tuple(r) for r in near_copies.keep_first(docs).collect()} == {(1, "one two three", 5), (1, "four five", 9)}
