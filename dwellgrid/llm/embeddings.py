@@ -24,7 +24,7 @@ from dwellgrid.llm.components import components
 from dwellgrid.session import materialize
 
 COSINE = 0.9
-TABLES, AXES = 16, 3
+AXES = 3
 #: Members of a bucket that are compared at once; larger buckets are compared block by block.
 BLOCK = 1500
 
@@ -40,16 +40,26 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def width_of(size: int) -> int:
+    """The power of two that vectors of ``size`` components are padded to."""
+    return 1 << max(1, (size - 1).bit_length())
+
+
+def tables_of(size: int) -> int:
+    """Tables for vectors of ``size`` components: the more axes there are, the less often near vectors take the same one."""
+    return max(16, 4 * (width_of(size).bit_length() - 3))
+
+
 def buckets(vectors: np.ndarray) -> np.ndarray:
     """Keys of unit vectors: one row each, two keys per table (its own and its runner-up)."""
     count, size = vectors.shape
-    width = 1 << max(1, (size - 1).bit_length())
+    width, tables = width_of(size), tables_of(size)
     padded = np.zeros((count, width))
     padded[:, :size] = vectors
-    signs = np.random.default_rng(9021).choice([-1.0, 1.0], (TABLES, AXES, 3, width))
-    out = np.empty((count, 2 * TABLES), np.int64)
+    signs = np.random.default_rng(9021).choice([-1.0, 1.0], (tables, AXES, 3, width))
+    out = np.empty((count, 2 * tables), np.int64)
     rows = np.arange(count)
-    for t in range(TABLES):
+    for t in range(tables):
         best, second, margin = [], [], []
         for a in range(AXES):
             x = padded
@@ -80,15 +90,16 @@ def hashed(classes: DataFrame) -> DataFrame:
             vectors = part.column(3)
             sizes, flat = np.asarray(pc.list_value_length(vectors)), np.asarray(vectors.flatten())
             starts = np.cumsum(sizes) - sizes
-            keys = np.empty((part.num_rows, 2 * TABLES), np.int64)
+            numbers = np.array([2 * tables_of(n) for n in sizes.tolist()], np.int64)
+            ends = np.concatenate([[0], np.cumsum(numbers)])
+            keys = np.empty(ends[-1], np.int64)
             for size in np.unique(sizes):
                 places = np.flatnonzero(sizes == size)
                 for at in range(0, len(places), 2048):
                     some = places[at : at + 2048]
                     x = flat[starts[some][:, None] + np.arange(size)]
-                    keys[some] = buckets(x / np.linalg.norm(x, axis=1)[:, None])
-            ends = pa.array(np.arange(0, keys.size + 1, 2 * TABLES, dtype=np.int32))
-            columns = [*part.columns, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, keys.ravel())]
+                    keys[ends[some][:, None] + np.arange(numbers[some[0]])] = buckets(x / np.linalg.norm(x, axis=1)[:, None])
+            columns = [*part.columns, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)]
             yield pa.record_batch(columns, ["node", "first_id", "copies", "vector", "size", "keys"])
 
     rows = classes.select("node", "first_id", "copies", "vector")
@@ -104,7 +115,7 @@ def _compare(key: int, own: np.ndarray, nodes: list[str], copies: np.ndarray, x:
     a, b = np.nonzero(near)
     if not len(a):
         return
-    tables = np.arange(2 * TABLES) // 2
+    tables = np.arange(keys.shape[1]) // 2
     here = int(np.flatnonzero((keys == key).any(axis=0))[0]) // 2
     earliest = np.full(len(a), here)
     lowest = np.full(len(a), np.iinfo(np.int64).max)
@@ -171,15 +182,17 @@ def linked(classes: DataFrame) -> DataFrame:
                 continue
             marks = np.stack([np.asarray(part.column(c), dtype=np.int64) for c in range(4)])
             own, nodes, copies = np.asarray(part.column(4)), part.column(5).to_pylist(), np.asarray(part.column(6))
-            flat, keys = np.asarray(part.column(7).flatten()), np.asarray(part.column(8).flatten()).reshape(-1, 2 * TABLES)
+            flat, keys = np.asarray(part.column(7).flatten()), np.asarray(part.column(8).flatten())
             starts = np.concatenate([[0], np.cumsum(marks[1])])
+            places = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(part.column(8))))])
             cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), part.num_rows]
             for begin, end in zip(cuts, cuts[1:]):
                 mark = tuple(marks[:, begin].tolist())
                 if held and held[0][0] != mark:
                     close()
                 x = flat[starts[begin] : starts[end]].reshape(end - begin, -1)
-                held.append((mark, own[begin:end], nodes[begin:end], copies[begin:end], x, keys[begin:end]))
+                k = keys[places[begin] : places[end]].reshape(end - begin, -1)
+                held.append((mark, own[begin:end], nodes[begin:end], copies[begin:end], x, k))
             if found:
                 yield batch()
         if held:

@@ -219,3 +219,34 @@ def test_repeated_keys_keep_the_least_row(spark):
     rows = [(1, "one two three", 7), (1, "one two three", 5), (1, "four five", 9), (2, "four five", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
     assert {tuple(r) for r in near_copies.keep_first(docs).collect()} == {(1, "one two three", 5), (1, "four five", 9)}
+
+
+@pytest.mark.parametrize("size", [64, 384, 768])
+def test_recall_of_wide_vectors(size):
+    """Pairs at the threshold itself, the hardest ones, share a bucket whatever the dimension."""
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(400, size))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(axis=1)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    y = embeddings.COSINE * x + np.sqrt(1 - embeddings.COSINE**2) * away
+    one, other = embeddings.buckets(x), embeddings.buckets(y)
+    assert np.mean([bool(set(a) & set(b)) for a, b in zip(one.tolist(), other.tolist())]) >= 0.95
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in (3, 64, 200, 768):
+        for _ in range(10):
+            v = rng.normal(size=size)
+            rows += [(len(rows), v.tolist()), (len(rows) + 1, (v * 2 + rng.normal(size=size) * 0.02).tolist())]
+    rows += [(900, [1.0, None]), (901, [float("inf"), 1.0]), (902, [])]
+    found = {r.vec_id: r for r in embeddings.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x = [np.array(v) / np.linalg.norm(v) for _, v in rows[:80]]
+    for i in range(80):
+        near = [j for j in range(80) if j != i and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.9]
+        assert found[i].n_links == len(near)
+    assert all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i in (900, 901, 902))
+    assert embeddings.near_copies(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
