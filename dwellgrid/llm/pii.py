@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 WORD = r"\p{L}{3,}"
 #: A word discloses an entity if it takes this share of its information and stands with it in so many different texts.
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
-BLOCK = 128
+BLOCK = 32
 
 SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
@@ -44,19 +44,23 @@ def total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
 
-def before(lengths: Column) -> Column:
-    """For each element the sum of those before it; in blocks, so that long arrays take no square of their size."""
-    count = F.size(lengths)
-    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))))
-    blocks = F.coalesce(blocks, F.array().cast("array<int>"))
-    return let(
-        blocks,
-        lambda sums: F.transform(
-            lengths,
-            lambda _, i: total(F.slice(sums, F.lit(1), F.floor(i / BLOCK).cast("int")))
-            + total(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)),
-        ),
-    )
+def before(lengths: Column, levels: int = 3) -> Column:
+    """For each element the sum of those before it: the blocks before its own, found alike, and the rest of its block.
+
+    With three levels the steps grow with the elements up to some ten million of them.
+    """
+    if not levels:
+        return let(lengths, lambda all_: F.transform(all_, lambda _, i: total(F.slice(all_, F.lit(1), i))))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+
+    # Whatever an inner function reads is bound first: an expression there would be worked out for each element.
+    def placed(all_: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(all_)), lambda i: (i < F.size(all_)) & (i % BLOCK == 0))
+        sums = F.transform(starts, lambda i: total(F.slice(all_, i + 1, F.lit(BLOCK))))
+        own = lambda i: total(F.slice(all_, block(i) * BLOCK + 1, i % BLOCK))
+        return let(before(sums, levels - 1), lambda ahead: F.transform(all_, lambda _, i: F.get(ahead, block(i)) + own(i)))
+
+    return let(lengths, placed)
 
 
 def found(text: Column, pattern: Column, kind: Column, keep: Callable[[Column], Column]) -> Column:
@@ -64,17 +68,19 @@ def found(text: Column, pattern: Column, kind: Column, keep: Callable[[Column],
     size = lambda parts: F.transform(parts, lambda p: F.length(p))
 
     def placed(hits: Column) -> Column:
+        # Between two hits lies a piece of the split: the start of a hit is what the pieces up to it and the hits before it measure.
+        def spans(at: Column) -> Column:
+            def span(h: Column, i: Column) -> Column:
+                return let(
+                    F.get(at["gaps"], i) + F.get(at["lengths"], i) + F.get(at["own"], i),
+                    lambda start: F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(h)).alias("stop"), h.alias("value")),
+                )
+
+            return F.transform(hits, span)
+
         return let(
-            F.struct(before(size(F.split(text, pattern, -1))).alias("gaps"), before(size(hits)).alias("own"), size(F.split(text, pattern, -1)).alias("lengths")),
-            lambda at: F.transform(
-                hits,
-                lambda h, i: F.struct(
-                    kind.alias("kind"),
-                    (F.get(at["gaps"], i) + F.get(at["lengths"], i) + F.get(at["own"], i)).alias("start"),
-                    (F.get(at["gaps"], i) + F.get(at["lengths"], i) + F.get(at["own"], i) + F.length(h)).alias("stop"),
-                    h.alias("value"),
-                ),
-            ),
+            size(F.split(text, pattern, -1)),
+            lambda lengths: let(F.struct(before(lengths).alias("gaps"), before(size(hits)).alias("own"), lengths.alias("lengths")), spans),
         )
 
     none = F.array().cast(SPAN)

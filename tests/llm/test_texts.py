@@ -7,9 +7,11 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dwellgrid.llm import html, pii, toxicity, warc
 from dwellgrid.session import new_folder
@@ -186,3 +188,20 @@ def test_archives_with_repeated_page_ids(spark, tmp_path):
         again = key is not None and key != least
         expected.append((key, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", least if again else None))
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
+def test_places_of_many_finds(spark):
+    """Sums before each element at every block edge, and the places of 40,000 finds in one text."""
+    for n in (0, 1, pii.BLOCK, pii.BLOCK + 1, pii.BLOCK**2, pii.BLOCK**2 + 1, 5 * pii.BLOCK**2):
+        sizes = [(7 * i) % 5 for i in range(n)]
+        found = spark.createDataFrame([(sizes,)], "x array<int>").select(pii.before(F.col("x")).alias("y")).first().y
+        assert found == list(accumulate([0, *sizes]))[:-1], n
+    parts = ["é" * (i % 3) + f"10.0.{i % 7}.{i % 300} " for i in range(40_000)]
+    text = "".join(parts)
+    found = spark.createDataFrame([(text,)], "text string").select(pii.base_spans(F.col("text")).alias("s")).first().s
+    wanted, at = [], 0
+    for i, part in enumerate(parts):
+        if i % 300 <= 255:
+            wanted.append(("ip", at + i % 3, at + len(part) - 1, part.strip("é ")))
+        at += len(part)
+    assert [tuple(s) for s in found if s.kind == "ip"] == wanted
