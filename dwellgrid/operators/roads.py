@@ -318,10 +318,16 @@ def split_road_chains(chains: DataFrame) -> DataFrame:
 def simplify_polyline(points: str | Column, most: int = 80, aim: int = 78) -> Column:
     """More than ``most`` points: every n-th and the last."""
     points = F.col(points) if isinstance(points, str) else points
-    count = F.size(points)
-    step = F.ceil(count / float(aim))
-    thinned = F.filter(points, lambda p, i: (i % step == 0) | (i == count - 1))
-    return F.when(count <= most, points).otherwise(thinned)
+
+    def thinned(line: Column) -> Column:
+        count = F.size(line)
+        step = F.ceil(count / float(aim)).cast("int")
+        places = F.sequence(F.lit(0), count - 1, step)
+        kept = F.transform(F.when((count - 1) % step == 0, places).otherwise(F.concat(places, F.array(count - 1))), lambda i: F.get(line, i))
+        return F.when(count <= most, line).otherwise(kept)
+
+    # A lambda evaluates whatever it names for each entry: the line gets a name, so that it is made once.
+    return F.get(F.transform(F.array(points), thinned), F.lit(0))
 
 
 def road_name(lat, lon) -> Column:
