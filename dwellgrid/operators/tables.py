@@ -187,13 +187,13 @@ def overnight_locations(events: DataFrame) -> DataFrame:
         F.avg("start_lon").alias("lon"),
         F.count(F.lit(1)).alias("events"),
         F.count_distinct("vehicle_key").alias("unique_vehicles"),
-        F.coalesce(F.percentile("gap_hours", 0.5), F.lit(0.0)).alias("median_gap_hours"),
         F.coalesce(F.sum("day_km"), F.lit(0.0)).alias("total_day_km"),
     )
     vehicles_share = F.least(F.lit(1.0), F.col("unique_vehicles") / 25.0)
     events_share = F.least(F.lit(1.0), F.col("events") / 100.0)
     return (
         totals.join(mode_value(events, key, "start_address", "_address"), key, "left")
+        .join(quantiles(events, key, "gap_hours", {"median_gap_hours": 0.5}), key, "left")
         .join(quantiles(events, key, "day_km", {"p95_day_km": 0.95}), key, "left")
         .select(
             "depot_id",
@@ -202,7 +202,7 @@ def overnight_locations(events: DataFrame) -> DataFrame:
             F.coalesce("_address", F.lit("")).alias("address"),
             "events",
             "unique_vehicles",
-            "median_gap_hours",
+            F.coalesce("median_gap_hours", F.lit(0.0)).alias("median_gap_hours"),
             F.coalesce("p95_day_km", F.lit(0.0)).alias("p95_day_km"),
             "total_day_km",
             (vehicles_share * 0.6 + events_share * 0.4).alias("confidence"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellgrid.operators import roads
+from dwellgrid.operators import roads, tables
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -19,3 +19,11 @@ def test_simplify_polyline_makes_the_line_once(spark):
     for n, t in thin.collect():
         step = -(-n // 78) if n else 0
         assert t == (None if n is None else [i + 1 for i in range(n) if n <= 80 or i % step == 0 or i == n - 1])
+
+
+def test_overnight_locations_gather_no_gaps(spark):
+    columns = "depot_id string, vehicle_key string, start_lat double, start_lon double, start_address string, gap_hours double, day_km double"
+    rows = [("d", f"v{i}", 52.0, 5.0, "a", float(gap), 10.0) for i, gap in enumerate((6, 7, 9, 30))] + [("e", "v", 52.0, 5.0, "a", None, None)]
+    found = tables.overnight_locations(spark.createDataFrame(rows, columns))
+    assert {r.depot_id: r.median_gap_hours for r in found.collect()} == {"d": 8.0, "e": 0.0}
+    assert "percentile(" not in _plan(found)
