@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dwellgrid.session import materialize
+from dwellgrid.session import materialize_buckets
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,11 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges:
     by = [F.col(c) for c in (*keys, *order, *rest, "_own")]
     held = df.withColumn("_own", F.monotonically_increasing_id())
     spread = held.repartitionByRange(ranges, *by) if ranges else held.repartitionByRange(*by)
-    placed = spread.sortWithinPartitions(*by).drop("_own").withColumn("_at", F.monotonically_increasing_id())
-    return materialize(placed, "ordered").withColumn("_range", F.shiftright("_at", 33))
+    placed = spread.sortWithinPartitions(*by).drop("_own").withColumns(
+        {"_at": F.monotonically_increasing_id(), "_range": F.spark_partition_id().cast("long")}
+    )
+    # A range is in one bucket, so scans over ranges read it as it lies.
+    return materialize_buckets(placed, "ordered", "_range", ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def by_key(

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+from fixture_data import STOPS_SCHEMA, stop_rows
 from pyspark.sql import functions as F
 
-from dwellgrid.operators import roads, tables
+from dwellgrid.operators import ingest, roads, tables
+from dwellgrid.operators.ordered import Step, by_key
+from dwellgrid.plans.tables import STORED, TablesOnDemand
+from dwellgrid.session import new_folder
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -21,6 +27,22 @@ def test_simplify_polyline_makes_the_line_once(spark):
         assert t == (None if n is None else [i + 1 for i in range(n) if n <= 80 or i % step == 0 or i == n - 1])
 
 
+def test_scans_over_ranges_move_no_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), "id", F.lit("wide").alias("w"))
+    steps = [Step("before", "sum", F.lit(1))]
+    done = by_key(df, ["k"], ["id"], lambda rows, scan: scan(scan(rows, steps), [Step("again", "sum", F.lit(1))]), 4)
+    assert {(r.k, r.id, r.before, r.again) for r in done.collect()} == {(i % 7, i, i // 7, i // 7) for i in range(1000)}
+    assert "hashpartitioning(_range" not in _plan(done, "executedPlan")
+
+
+def test_tables_are_stored_when_asked_for(spark):
+    folder, rows = new_folder(spark, "on-demand"), spark.createDataFrame(stop_rows(), STOPS_SCHEMA)
+    found = TablesOnDemand(lambda: 1 / 0, lambda: ingest.enrich_ze_zone(ingest.prepared_stops(rows)), folder)
+    assert found.daily_trips.count() == found.daily_trips.select("trip_id", "trip_date", "vehicle_code").distinct().count() > 0
+    assert set(os.listdir(folder)) == {"stops", "daily_trips"} < set(STORED)
+    assert all(name.endswith(".zstd.parquet") for _, _, names in os.walk(folder) for name in names if name.startswith("part-"))
+
+
 def test_overnight_locations_gather_no_gaps(spark):
     columns = "depot_id string, vehicle_key string, start_lat double, start_lon double, start_address string, gap_hours double, day_km double"
     rows = [("d", f"v{i}", 52.0, 5.0, "a", float(gap), 10.0) for i, gap in enumerate((6, 7, 9, 30))] + [("e", "v", 52.0, 5.0, "a", None, None)]
