@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
@@ -184,19 +186,56 @@ def _doubled(state: DataFrame) -> DataFrame:
     return state.select(*columns)
 
 
-def _settle(part: pd.DataFrame) -> pd.DataFrame:
-    """What is certain of the chains in one stretch of a path: ``chain_id, place`` of each edge, null where open.
+def _settle_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``edge_id, chain_id, pos`` from rows in order of path, stretch and place, each stretch when its last row is there.
+
+    A call per stretch costs far more than most stretches do, so all that lie in a batch of rows are settled together.
+    What is held is a batch and the one stretch that goes on after it.
+    """
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        starts = _starts(rows)
+        held = rows.iloc[starts[-1] :] if starts else None
+        if len(starts) > 1:
+            yield _settle_rows(rows.iloc[: starts[-1]], starts)
+    if held is not None:
+        yield _settle_rows(held, [0, len(held)])
+
+
+def _starts(rows: pd.DataFrame) -> list[int]:
+    """Where stretches begin."""
+    path, stretch = rows["path"].to_numpy(), rows["_stretch"].to_numpy()
+    changes = (path[1:] != path[:-1]) | (stretch[1:] != stretch[:-1])
+    return [0, *(np.flatnonzero(changes) + 1).tolist()] if len(rows) else []
+
+
+def _settle_rows(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+    ids = rows["edge_id"].tolist()
+    rank = list(zip(-rows["n_passes"], -rows["n_vehicles"], *[rows[c] for c in _ENDS], ids, strict=True))
+    names = ("length_km", "_steps", "_closed", "_edges", "_open_before", "_open_after")
+    values = [rows[c].tolist() for c in names]
+    chains, places = [], []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        chain, place = _settle(rank[a:b], *[v[a:b] for v in values])
+        chains += [ids[a + c] if c >= 0 else None for c in chain]
+        places += [p if c >= 0 else None for c, p in zip(chain, place, strict=True)]
+    return pd.DataFrame({"edge_id": ids, "chain_id": chains, "pos": pd.array(places, dtype="Int32")})
+
+
+def _settle(
+    rank: list[tuple], length: list[float], steps: list[int], closed: list[bool], edges: list, open_before: list[bool], open_after: list[bool]
+) -> tuple[list[int], list[int]]:
+    """What is certain of the chains in one stretch of a path: chain (its first edge) and place of each edge, -1 where open.
 
     Edges come in falling priority. One that is left grows a chain, first backward, then forward, while it stays
     short. Beyond an open end of the stretch everything is possible: edges that a chain from there could take, and
     all that the chain of such an edge could take in turn, are doubtful. A chain that meets a doubtful edge is so, too.
     """
-    part = part.sort_values("_x", ignore_index=True)
-    n, length, steps = len(part), part["length_km"].tolist(), part["_steps"].tolist()
-    closed = bool(part["_closed"].iloc[0])
-    around = part["_edges"].iloc[0] - 1  # the last place of a ring, which the first follows
+    n = len(rank)
+    around = edges[0] - 1  # the last place of a ring, which the first follows
     before = [i - 1 if i and steps[i] in (steps[i - 1] + 1, steps[i - 1] - around) else -1 for i in range(n)]
-    if closed:
+    if closed[0]:
         before[0] = n - 1
     after = [-1] * n
     for i, j in enumerate(before):
@@ -216,13 +255,11 @@ def _settle(part: pd.DataFrame) -> pd.DataFrame:
             if i == first:
                 return
 
-    if part["_open_before"].iloc[0]:
+    if open_before[0]:
         doubt(0, after, 0.0)
-    if part["_open_after"].iloc[n - 1]:
+    if open_after[n - 1]:
         doubt(n - 1, before, 0.0)
-    ids = part["edge_id"].tolist()
-    rank = zip(-part["n_passes"], -part["n_vehicles"], *[part[c] for c in _ENDS], ids, range(n), strict=True)
-    for *_, seed in sorted(rank):
+    for seed in sorted(range(n), key=rank.__getitem__):
         if chain[seed] >= 0:
             continue
         members, km, sure = [seed], length[seed], not doubtful[seed]
@@ -242,9 +279,7 @@ def _settle(part: pd.DataFrame) -> pd.DataFrame:
         else:
             doubt(seed, before, 0.0)
             doubt(seed, after, 0.0)
-    return pd.DataFrame(
-        {"edge_id": ids, "chain_id": [ids[c] if c >= 0 else None for c in chain], "pos": [p if c >= 0 else None for c, p in zip(chain, place, strict=True)]}
-    )
+    return chain, place
 
 
 def contract_road_chains(edges: DataFrame, stretch_km: float = STRETCH_KM) -> DataFrame:
@@ -280,7 +315,8 @@ def contract_road_chains(edges: DataFrame, stretch_km: float = STRETCH_KM) -> Da
             }
         )
         cut = cut.withColumn("_stretch", F.when(closed, 0).otherwise(F.col("_stretch")))
-        settled = cut.groupBy("path", "_stretch").applyInPandas(_settle, "edge_id string, chain_id string, pos int")
+        ordered = cut.repartition("path", "_stretch").sortWithinPartitions("path", "_stretch", "_x")
+        settled = ordered.mapInPandas(_settle_stretches, "edge_id string, chain_id string, pos int")
         settled = materialize(settled, "settled")
         done = done.unionByName(settled.where("chain_id is not null"))
         open_ = settled.where("chain_id is null").select("edge_id")

@@ -6,6 +6,7 @@ import random
 from math import asin, cos, radians, sin, sqrt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,27 @@ def test_segments_enter_the_cells_they_come_near_and_few_others(spark, lat):
     found = df.join(entered, ["_x", "_y"]).where(km <= roads.SNAP_KM).select("_lat", "_lon", "no")
     every = df.crossJoin(segments).where(km <= roads.SNAP_KM).select("_lat", "_lon", "no")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect())) != []
+
+
+def _short_paths(n):
+    """Paths of three edges, two stretches each, in the order they are handed to a task."""
+    rows = [
+        (f"e{p:03d}{i}", f"e{p:03d}0", i // 2, float(i), i, 3.0, (p * 7 + i * 5) % 4 + 1, 1, 52.0, 5.0 + i, 52.0, 6.0 + i, False, None, False, False)
+        for p in range(n)
+        for i in range(3)
+    ]
+    names = "edge_id path _stretch _x _steps length_km n_passes n_vehicles lat1 lon1 lat2 lon2 _closed _edges _open_before _open_after"
+    return pd.DataFrame(rows, columns=names.split()).astype({"_edges": "float64"})
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_stretches_are_settled_many_at_a_time(spark, size):
+    rows = _short_paths(40)
+    parts = list(roads._settle_stretches(rows.iloc[i : i + size] for i in range(0, len(rows), size)))
+    assert len(parts) <= 2 if size == 1000 else len(parts) > 2
+    found = pd.concat(parts, ignore_index=True)
+    assert found["edge_id"].tolist() == rows["edge_id"].tolist()
+    for _, stretch in found.merge(rows, on="edge_id").groupby(["path", "_stretch"]):
+        busiest = stretch.sort_values(["n_passes", "lon1"], ascending=[False, True])["edge_id"].iloc[0]
+        assert set(stretch["chain_id"]) == {busiest} and sorted(stretch["pos"]) == list(range(len(stretch)))
+    assert list(roads._settle_stretches(iter([]))) == []
