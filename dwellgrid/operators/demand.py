@@ -227,10 +227,14 @@ def fixed_distance_distribution(values: DataFrame, value: str = "day_km") -> Dat
 def selection_vehicles(
     events: DataFrame, scenario: Scenario = Scenario(), is_road: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """The vehicles by the energy they need, the first ``limit`` of them or all."""
+    """The vehicles by the energy they need, the first ``limit`` of them or all.
+
+    The loads are stored, because totals, quantiles and lists read them: a selection made distinct is shuffled once.
+    """
     key = ["vehicle"]
     rate = scenario.normalized().kwh_per_km
     loads = event_loads(events, scenario, is_road)
+    loads = materialize(loads.select("vehicle", "vehicle_code", "plates", "distance_km", "gap_hours", "required_kw"), "loads")
     totals = loads.groupBy(*key).agg(
         F.count(F.lit(1)).alias("days"),
         F.sum("distance_km").alias("_km"),

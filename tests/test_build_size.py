@@ -7,7 +7,7 @@ import os
 from fixture_data import STOPS_SCHEMA, stop_rows
 from pyspark.sql import functions as F
 
-from dwellgrid.operators import ingest, roads, tables
+from dwellgrid.operators import demand, ingest, roads, tables
 from dwellgrid.operators.ordered import Step, by_key
 from dwellgrid.plans.tables import STORED, TablesOnDemand
 from dwellgrid.session import new_folder
@@ -49,3 +49,13 @@ def test_overnight_locations_gather_no_gaps(spark):
     found = tables.overnight_locations(spark.createDataFrame(rows, columns))
     assert {r.depot_id: r.median_gap_hours for r in found.collect()} == {"d": 8.0, "e": 0.0}
     assert "percentile(" not in _plan(found)
+
+
+def test_vehicles_of_a_selection_read_it_once(spark):
+    columns = "vehicle_code string, plates string, plate string, trip_date date, trip_id string, trip_start timestamp_ntz, trip_end timestamp_ntz, "
+    columns += "start_lat double, start_lon double, start_address string, distance_km double"
+    rows = [(f"W{i % 2}", f"p{i % 2}", None, None, f"T{i}", None, None, 52.0, 5.0, "a", 10.0 * i) for i in range(4)]
+    events = demand.road_demand_events(spark.createDataFrame(rows + rows, columns))
+    found = demand.selection_vehicles(events, is_road=True)
+    assert [(r.codes, r.days, r.total_km, r.p95_km) for r in found.collect()] == [("W1", 2, 40.0, 29.0), ("W0", 2, 20.0, 19.0)]
+    assert "trip_id" not in _plan(found) and "distinct" not in _plan(found).lower() and "LogicalRDD" not in _plan(found)
