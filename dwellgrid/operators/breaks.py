@@ -161,9 +161,10 @@ def shift_sessions(
                 "prev_lon": F.col("_previous.end_lon"),
             }
         )
-        # Places repeat far more than trips do: each pair of places is looked up once.
+        # Places repeat far more than trips do: each pair of places is looked up once. Stored, so that Spark knows how few
+        # pairs there are and takes them to the trips, which then stay in their ranges.
         moves = seen.where("_rested").select(*move).distinct()
-        near = _near_resets(moves, resets, breaks.reset_radius_km).withColumn("_near", F.lit(True))
+        near = materialize(_near_resets(moves, resets, breaks.reset_radius_km), "near").withColumn("_near", F.lit(True))
         flagged = seen.join(near, move, "left").withColumn(
             "is_reset", F.col("_rested") & F.coalesce("_near", F.lit(False))
         )

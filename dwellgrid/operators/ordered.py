@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ PLACE = ("_range", "_at")
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """``df`` as a stored table with ``_range`` and, rising within and over ranges, ``_at``.
+    """``df`` as a stored table with ``_range``, a number without order, and, rising within and over ranges, ``_at``.
 
     All other columns are the last keys of the order, so only rows equal in everything are open among themselves; a
     number spreads even those over ranges. Without ``ranges`` the session's number of shuffle partitions holds.
@@ -46,11 +47,25 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges:
     by = [F.col(c) for c in (*keys, *order, *rest, "_own")]
     held = df.withColumn("_own", F.monotonically_increasing_id())
     spread = held.repartitionByRange(ranges, *by) if ranges else held.repartitionByRange(*by)
-    placed = spread.sortWithinPartitions(*by).drop("_own").withColumns(
-        {"_at": F.monotonically_increasing_id(), "_range": F.spark_partition_id().cast("long")}
-    )
+    buckets = _buckets(df.sparkSession, ranges)
+    numbers, partition = F.array(*map(F.lit, _bucket_numbers(df.sparkSession, buckets))), F.spark_partition_id()
+    number = F.coalesce(F.get(numbers, partition), -1 - partition.cast("long"))
+    placed = spread.sortWithinPartitions(*by).drop("_own").withColumns({"_at": F.monotonically_increasing_id(), "_range": number})
     # A range is in one bucket, so scans over ranges read it as it lies.
-    return materialize_buckets(placed, "ordered", "_range", ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize_buckets(placed, "ordered", "_range", buckets)
+
+
+def _buckets(spark: SparkSession, ranges: int | None) -> int:
+    return ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@cache
+def _bucket_numbers(spark: SparkSession, buckets: int) -> list[int]:
+    """One number for each bucket: ranges named after them share no bucket, and a task sorts one range and not several."""
+    # All buckets are met after about ``buckets * log(buckets)`` numbers.
+    names = spark.range(buckets * (buckets.bit_length() + 16)).groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("_bucket"))
+    found = dict(names.agg(F.min("id")).collect())
+    return [found.get(b, -1 - b) for b in range(buckets)]
 
 
 def by_key(
@@ -107,20 +122,22 @@ def _carried(local: DataFrame, steps: Sequence[Step]) -> DataFrame:
     }
     state = [ends[s.kind](F.col(f"_in_{i}"), F.col(f"_own_{i}")).alias(f"s{i}") for i, s in enumerate(steps)]
     ranges = local.groupBy("_range").agg(
-        F.min_by("_key", "_at").alias("_first"), F.max_by(F.struct("_key", *state), "_at").alias("_last")
+        F.min("_at").alias("_from"), F.min_by("_key", "_at").alias("_first"), F.max_by(F.struct("_key", *state), "_at").alias("_last")
     )
-    # A range asks for its first key before it answers for its last.
-    ask = ranges.select("_range", F.lit(0).alias("_turn"), F.col("_first").alias("_key"), *[F.lit(None).alias(f"s{i}") for i in range(len(steps))])
-    tell = ranges.select("_range", F.lit(1).alias("_turn"), "_last._key", *[F.col(f"_last.s{i}").alias(f"s{i}") for i in range(len(steps))])
-    earlier = W.partitionBy("_key").orderBy("_range", "_turn").rowsBetween(W.unboundedPreceding, -1)
+    # A range asks for its first key before it answers for its last; one row is both, so that rows are scanned once for it.
+    turn = F.explode(F.array(F.lit(0), F.lit(1)))
     told = F.col("_turn") == 1
+    both = ranges.withColumn("_turn", turn).select(
+        "_range", "_from", "_turn", F.when(told, F.col("_last._key")).otherwise(F.col("_first")).alias("_key"),
+        *[F.when(told, F.col(f"_last.s{i}")).alias(f"s{i}") for i in range(len(steps))],
+    )
+    earlier = W.partitionBy("_key").orderBy("_from", "_turn").rowsBetween(W.unboundedPreceding, -1)
     carries = {
         "lag": lambda c: F.last(F.when(told, c), ignorenulls=True).over(earlier),
         "sum": lambda c: F.sum(c).over(earlier),
         "max": lambda c: F.max(c).over(earlier),
         "last": lambda c: F.last(c, ignorenulls=True).over(earlier),
     }
-    both = tell.unionByName(ask)
     found = both.select(
         "_range", "_turn", F.col("_key").alias("_first"), *[carries[s.kind](F.col(f"s{i}")).alias(f"_carry_{i}") for i, s in enumerate(steps)]
     )

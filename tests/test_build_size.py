@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime, timedelta
 
 from fixture_data import STOPS_SCHEMA, stop_rows
 from pyspark.sql import functions as F
 
-from dwellgrid.operators import demand, ingest, roads, tables
-from dwellgrid.operators.ordered import Step, by_key
+from dwellgrid.operators import breaks, demand, ingest, roads, tables
+from dwellgrid.operators.ordered import Step, by_key, in_ranges
 from dwellgrid.plans.tables import STORED, TablesOnDemand
 from dwellgrid.session import new_folder
 
@@ -59,3 +60,25 @@ def test_vehicles_of_a_selection_read_it_once(spark):
     found = demand.selection_vehicles(events, is_road=True)
     assert [(r.codes, r.days, r.total_km, r.p95_km) for r in found.collect()] == [("W1", 2, 40.0, 29.0), ("W0", 2, 20.0, 19.0)]
     assert "trip_id" not in _plan(found) and "distinct" not in _plan(found).lower() and "LogicalRDD" not in _plan(found)
+
+
+def test_a_task_of_a_scan_holds_one_range_and_rows_are_read_once_for_what_ranges_carry(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("k"), "id")
+    held = in_ranges(df, ["k"], ["id"], 16)
+    assert held.select("_range").distinct().count() == 16
+    per_bucket = held.groupBy(F.pmod(F.hash("_range"), F.lit(16)).alias("b")).agg(F.count_distinct("_range").alias("n"))
+    assert [r.n for r in per_bucket.collect()] == [1] * 16
+    done = by_key(df, ["k"], ["id"], lambda rows, scan: scan(rows, [Step("before", "sum", F.lit(1))]), 4)
+    assert _plan(done).count("Relation ") == 2
+
+
+def test_shifts_move_trips_only_into_their_order(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(f"W{i % 3}", f"T{i}", at + timedelta(hours=13 * i), at + timedelta(hours=13 * i + 1), 52.0, 5.0, 52.0, 5.0, 40.0) for i in range(60)]
+    columns = "vehicle_code string, trip_id string, trip_start timestamp_ntz, trip_end timestamp_ntz, start_lat double, start_lon double, "
+    trips = spark.createDataFrame(rows, columns + "end_lat double, end_lon double, distance_km double")
+    for ranges in (1, 4):
+        done = breaks.shift_sessions(trips, ranges=ranges)
+        plan = _plan(done, "executedPlan")
+        assert "hashpartitioning(prev_lat" not in plan and "hashpartitioning(_range" not in plan
+        assert {(r.trip_id, r.shift_id, r.is_reset) for r in done.collect()} == {(f"T{i}", i // 3 + 1, i >= 3) for i in range(60)}
