@@ -9,7 +9,7 @@ range. Every key takes this path, whatever its size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dwellgrid.session import materialize_buckets
+from dwellgrid.session import materialize, materialize_buckets
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def by_key(
 ) -> DataFrame:
     """Run ``work`` with a scan over ``keys``, each in ``order`` and then by all other columns. Null keys are keys.
 
-    ``work`` may scan several times and must keep the columns ``PLACE``.
+    ``work`` may scan several times and must keep the columns ``PLACE``, unless it ends with ``over_runs``.
     """
 
     def scan(rows: DataFrame, steps: Sequence[Step]) -> DataFrame:
@@ -82,6 +82,22 @@ def by_key(
     return work(in_ranges(df, keys, order, ranges), scan).drop(*PLACE)
 
 
+def over_runs(rows: DataFrame, group: Sequence[str], kinds: Mapping[str, tuple[Callable[[str], Column], Column]]) -> DataFrame:
+    """Per group an aggregate of ``value`` for each ``name: (kind, value)``, where each group lies side by side in the order.
+
+    A kind, such as the least, is its own merger. Groups are found within the ranges, where the rows lie, and stored; only
+    the first and the last of a range can go on in another, and only these are moved and merged.
+    """
+    valued = rows.select(*PLACE, *group, *[value.alias(name) for name, (_, value) in kinds.items()])
+    ends = [F.min("_at").alias("_from"), F.max("_at").alias("_to")]
+    aggregates = [kind(name).alias(name) for name, (kind, _) in kinds.items()]
+    held = materialize(valued.groupBy("_range", *group).agg(*ends, *aggregates), "runs")
+    ranges = held.groupBy("_range").agg(F.min("_from").alias("_low"), F.max("_to").alias("_high"))
+    found = held.join(F.broadcast(ranges), "_range")  # one row per range of the shuffle
+    at_end = (F.col("_from") == F.col("_low")) | (F.col("_to") == F.col("_high"))
+    return found.where(~at_end).select(*group, *kinds).unionByName(found.where(at_end).groupBy(*group).agg(*aggregates))
+
+
 def _scan(rows: DataFrame, keys: Sequence[str], steps: Sequence[Step]) -> DataFrame:
     here = W.partitionBy("_range", *keys).orderBy("_at")
     before = here.rowsBetween(W.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from dwellgrid.functions.text import text_or_empty, vehicle_key
 from dwellgrid.operators.aggregates import mode_text
 from dwellgrid.operators.demand import hour_slots
 from dwellgrid.operators.filters import CHARGE_WINDOW_ACTIONS, TRIP_KEY, filter_power_actions
-from dwellgrid.operators.ordered import Scan, Step, by_key
+from dwellgrid.operators.ordered import Scan, Step, by_key, over_runs
 from dwellgrid.operators.overview import first_rows
 from dwellgrid.operators.ranking import ranked
 from dwellgrid.operators.sweep import first_slots, stretches
@@ -57,31 +57,35 @@ def presence_windows(actions: DataFrame, ranges: int | None = None) -> DataFrame
     keys, order = ["vehicle_key", "trip_date", "trip_id"], ["planned_start", "action_seq"]
     usable = power_events(actions).where(F.col("planned_end") > F.col("planned_start"))
     place = F.lower("location_id")
+    arrival = F.when(F.lower("action") == "travel", F.col("planned_end")).otherwise(F.col("planned_start"))
+    carried = [c for c in WINDOW_COLUMNS if c not in (*keys, "planned_start", "planned_end", "dwell_min")]
 
     def stays(rows: DataFrame, scan: Scan) -> DataFrame:
         seen = scan(rows, [Step("_place_before", "lag", place)])
         moved = seen.withColumn("_moved", F.when(F.col("_place_before") == place, 0).otherwise(1))
-        return scan(moved, [Step("_moves", "sum", F.col("_moved"))]).withColumn(
-            "_stay", F.col("_moves") + F.col("_moved")
-        )
-
-    numbered = by_key(usable, keys, order, stays, ranges)
-    arrival = F.when(F.lower("action") == "travel", F.col("planned_end")).otherwise(F.col("planned_start"))
-    carried = [c for c in WINDOW_COLUMNS if c not in (*keys, "planned_start", "planned_end", "dwell_min")]
-    grouped = numbered.groupBy(*keys, "_stay").agg(
-        F.min(arrival).alias("planned_start"),
-        F.max("planned_end").alias("planned_end"),
-        F.bool_or(F.lower("action").isin(*CHARGE_WINDOW_ACTIONS)).alias("_charges"),
-        F.min_by(F.struct(*carried), F.struct(*order)).alias("_first"),
-    )
+        numbered = scan(moved, [Step("_moves", "sum", F.col("_moved"))]).withColumn("_stay", F.col("_moves") + F.col("_moved"))
+        kinds = {
+            "_arrival": (F.min, arrival),
+            "_until": (F.max, F.col("planned_end")),
+            "_charges": (F.bool_or, F.lower("action").isin(*CHARGE_WINDOW_ACTIONS)),
+            "_first": (F.min, _first_row(order, carried)),
+        }
+        return over_runs(numbered, [*keys, "_stay"], kinds)
+
+    grouped = by_key(usable, keys, order, stays, ranges)
     return (
-        grouped.where(F.col("_charges") & (F.col("planned_end") > F.col("planned_start")))
-        .select(*keys, "planned_start", "planned_end", "_first.*")
+        grouped.where(F.col("_charges") & (F.col("_until") > F.col("_arrival")))
+        .select(*keys, F.col("_arrival").alias("planned_start"), F.col("_until").alias("planned_end"), "_first._row.*")
         .withColumn("dwell_min", _minutes("planned_start", "planned_end"))
         .select(*WINDOW_COLUMNS)
     )
 
 
+def _first_row(order: list[str], carried: list[str]) -> Column:
+    """Its least value is the first row in the order."""
+    return F.struct(F.struct(*order).alias("_order"), F.struct(*carried).alias("_row"))
+
+
 def merge_presence_windows(
     windows: DataFrame, gap_min: float = MERGE_GAP_MINUTES, ranges: int | None = None
 ) -> DataFrame:
@@ -93,25 +97,23 @@ def merge_presence_windows(
     ).otherwise(F.col("vehicle_key"))
     named = windows.withColumns({"_vehicle": F.lower(identity), "_place": F.lower("location_id")})
     gap = int(gap_min * 60_000_000)
+    carried = [c for c in WINDOW_COLUMNS if c not in ("planned_start", "planned_end", "dwell_min")]
 
     def runs(rows: DataFrame, scan: Scan) -> DataFrame:
         seen = scan(rows, [Step("_until", "max", F.col("planned_end"))])
         follows = micros("planned_start") <= micros("_until") + gap
         opened = seen.withColumn("_opens", F.when(follows, 0).otherwise(1))
-        return scan(opened, [Step("_opened", "sum", F.col("_opens"))]).withColumn(
-            "_run", F.col("_opened") + F.col("_opens")
-        )
+        numbered = scan(opened, [Step("_opened", "sum", F.col("_opens"))]).withColumn("_run", F.col("_opened") + F.col("_opens"))
+        kinds = {
+            "_begin": (F.min, F.col("planned_start")),
+            "_end": (F.max, F.col("planned_end")),
+            "_first": (F.min, _first_row(order, carried)),
+        }
+        return over_runs(numbered, [*keys, "_run"], kinds)
 
-    numbered = by_key(named, keys, order, runs, ranges)
-    carried = [c for c in WINDOW_COLUMNS if c not in ("planned_start", "planned_end", "dwell_min")]
     return (
-        numbered.groupBy(*keys, "_run")
-        .agg(
-            F.min("planned_start").alias("planned_start"),
-            F.max("planned_end").alias("planned_end"),
-            F.min_by(F.struct(*carried), F.struct(*order)).alias("_first"),
-        )
-        .select("planned_start", "planned_end", "_first.*")
+        by_key(named, keys, order, runs, ranges)
+        .select(F.col("_begin").alias("planned_start"), F.col("_end").alias("planned_end"), "_first._row.*")
         .withColumn("dwell_min", _minutes("planned_start", "planned_end"))
         .select(*WINDOW_COLUMNS)
     )

@@ -8,8 +8,8 @@ from datetime import datetime, timedelta
 from fixture_data import STOPS_SCHEMA, stop_rows
 from pyspark.sql import functions as F
 
-from dwellgrid.operators import breaks, demand, ingest, roads, tables
-from dwellgrid.operators.ordered import Step, by_key, in_ranges
+from dwellgrid.operators import breaks, demand, ingest, power, roads, tables
+from dwellgrid.operators.ordered import Step, by_key, in_ranges, over_runs
 from dwellgrid.plans.tables import STORED, TablesOnDemand
 from dwellgrid.session import new_folder
 
@@ -82,3 +82,25 @@ def test_shifts_move_trips_only_into_their_order(spark):
         plan = _plan(done, "executedPlan")
         assert "hashpartitioning(prev_lat" not in plan and "hashpartitioning(_range" not in plan
         assert {(r.trip_id, r.shift_id, r.is_reset) for r in done.collect()} == {(f"T{i}", i // 3 + 1, i >= 3) for i in range(60)}
+
+
+def test_runs_are_put_together_where_they_lie(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), "id", F.floor(F.col("id") / 700).alias("run"), (F.col("id") * 7 % 1000).alias("v"))
+    kinds = {"least": (F.min, F.col("v")), "most": (F.max, F.col("id")), "odd": (F.bool_or, F.col("v") % 5 == 3)}
+    plain = df.groupBy("k", "run").agg(*[kind(value).alias(name) for name, (kind, value) in kinds.items()]).collect()
+    for ranges in (1, 3, 50):
+        done = by_key(df, ["k"], ["id"], lambda rows, scan: over_runs(rows, ["k", "run"], kinds), ranges)
+        assert sorted(map(tuple, done.collect())) == sorted(map(tuple, plain)) and len(plain) == 10
+
+
+def test_presence_windows_shuffle_only_what_ranges_share(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(f"W{i % 3}", f"T{i // 9}", i % 9, "pause", at + timedelta(minutes=20 * i), at + timedelta(minutes=20 * i + 15), f"p{i // 40}") for i in range(360)]
+    columns = "vehicle_code string, trip_id string, action_seq int, action string, planned_start timestamp_ntz, planned_end timestamp_ntz, location_id string"
+    texts = {c: F.lit("") for c in ("plate", "plate_norm", "vehicle_class", "location_name", "address", "vehicle_type")}
+    numbers = {c: F.lit(1.0) for c in ("trip_km", "segment_km", "dwell_min", "lat", "lon")}
+    actions = spark.createDataFrame(rows, columns).withColumns({**texts, **numbers, "trip_date": F.to_date("planned_start")})
+    for make in (power.presence_windows, lambda a, ranges: power.merge_presence_windows(power.presence_windows(a, 1), ranges=ranges)):
+        found = [make(actions, ranges=ranges) for ranges in (1, 5)]
+        assert "Window" not in _plan(found[1])
+        assert sorted(map(tuple, found[0].collect()), key=str) == sorted(map(tuple, found[1].collect()), key=str)
