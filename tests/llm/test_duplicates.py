@@ -250,3 +250,38 @@ def test_vectors_of_several_lengths(spark):
         assert found[i].n_links == len(near)
     assert all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i in (900, 901, 902))
     assert embeddings.near_copies(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_long_texts_with_a_common_passage(spark, monkeypatch):
+    """Many long texts share most of their words, but too few to be similar: few pairs are made, the similar ones are found."""
+    rng = random.Random(12)
+    passage = [f"s{i}" for i in range(110)]
+    words = [f"w{i}" for i in range(20_000)]
+    rows = []
+    for _ in range(300):
+        other = [rng.choice(words) for _ in range(40)]
+        at = rng.randrange(41)
+        rows.append((len(rows), " ".join(other[:at] + passage + other[at:])))
+    for i in range(0, 60, 2):  # 30 of 150 words changed: similar
+        near = rows[i][1].split()
+        for at in rng.sample(range(150), 30):
+            near[at] = "x" + rng.choice(words)
+        rows.append((len(rows), " ".join(near)))
+    made, stored = {}, near_copies.materialize
+
+    def counted(df, label):
+        table = stored(df, label)
+        made.setdefault(label, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    found = {r.doc_id: r.class_id for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [t.split() for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alignment.banded(texts[i], texts[j], 30) is not None:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert [found[i] for i in range(len(rows))] == group
+    assert sum(made["pairs"]) < 10 * len(rows)
