@@ -113,6 +113,11 @@ def z_cell(lat, lon, degrees: float = 0.01) -> Column:
 def location_id(lat, lon, address) -> Column:
     """Cell of about 100 m, or the address when there are no coordinates."""
     lat, lon = column(lat), column(lon)
-    known = F.format_string("auto:%.3f:%.3f", F.round(lat, 3), F.round(lon, 3))
+    rounded = F.round(lat, 3), F.round(lon, 3)
+    written = F.format_string("auto:%.3f:%.3f", *rounded)
+    # The same text, written faster; what rounds to zero keeps its sign above.
+    plain = [(F.abs(x) >= 0.001) & (F.abs(x) < 1e6) for x in rounded]
+    digits = [x.cast("decimal(9,3)").cast("string") for x in rounded]
+    known = F.when(plain[0] & plain[1], F.concat(F.lit("auto:"), digits[0], F.lit(":"), digits[1])).otherwise(written)
     unknown = F.concat(F.lit("unknown_location:"), F.coalesce(column(address), F.lit("missing")))
     return F.when(lat.isNull() | lon.isNull(), unknown).otherwise(known)

@@ -37,13 +37,20 @@ def text_or_empty(value) -> Column:
 def parse_timestamp(*candidates) -> Column:
     """First candidate that reads as a timestamp in any accepted layout, else null."""
     attempts = [
-        F.try_to_timestamp(blank_to_null(candidate), F.lit(layout))
-        for candidate in candidates
-        for layout in TIMESTAMP_LAYOUTS
+        attempt
+        for text in map(column, candidates)
+        for attempt in (_full_stamp(text), *[F.try_to_timestamp(blank_to_null(text), F.lit(layout)) for layout in TIMESTAMP_LAYOUTS])
     ]
     return F.coalesce(*attempts).cast("timestamp_ntz") if attempts else F.lit(None).cast("timestamp_ntz")
 
 
+def _full_stamp(text: Column) -> Column:
+    """The first layout with all its digits, as most exports write it: turned round and cast, far faster than by a layout."""
+    turned = F.concat(F.substring(text, 7, 4), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 1, 2), F.substring(text, 11, 9))
+    full = F.rlike(text, F.lit(r"\A[0-9]{2}-[0-9]{2}-[1-9][0-9]{3} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"))
+    return F.when(full, turned.try_cast("timestamp"))
+
+
 def parse_decimal(value) -> Column:
     """Number with either decimal mark; with a comma present, dots separate thousands."""
     text = blank_to_null(value)

@@ -80,7 +80,9 @@ def mode_text(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Data
     """Most frequent non-blank text per group ignoring case and outer blanks, smallest on a tie."""
     text = F.trim(F.col(value))
     shown = df.where(text != "").select(*keys, text.alias("_text"), F.upper(text).alias("_fold"))
-    counted = shown.groupBy(*keys, "_fold").agg(F.count(F.lit(1)).alias("_n"), F.min("_text").alias("_text"))
+    # Spellings are counted first: a least text among all rows would sort them.
+    spelled = shown.groupBy(*keys, "_fold", "_text").agg(F.count(F.lit(1)).alias("_n"))
+    counted = spelled.groupBy(*keys, "_fold").agg(F.sum("_n").alias("_n"), F.min("_text").alias("_text"))
     best = F.min_by("_text", F.struct(-F.col("_n"), F.col("_fold")))
     return counted.groupBy(*keys).agg(best.alias(name))
 

@@ -98,17 +98,89 @@ def over_runs(rows: DataFrame, group: Sequence[str], kinds: Mapping[str, tuple[C
     return found.where(~at_end).select(*group, *kinds).unionByName(found.where(at_end).groupBy(*group).agg(*aggregates))
 
 
-def _scan(rows: DataFrame, keys: Sequence[str], steps: Sequence[Step]) -> DataFrame:
+def by_runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    opens: Callable[[DataFrame, Scan], DataFrame],
+    kinds: Mapping[str, tuple[Callable[[Column], Column], Column]],
+    keep: Column | None = None,
+    ranges: int | None = None,
+) -> DataFrame:
+    """One row per run of a key's rows: the columns of its first row, and for each ``name: (kind, value)`` the least or greatest value.
+
+    ``opens`` adds ``_opens``, 1 where a row begins a run and else 0. It must say the same of a run's first row when the
+    runs before it stand for their rows, so that runs found within the ranges can be put together like rows; only those of
+    the first and the last key of a range can go on in another, and only these are scanned over the ranges. ``keep`` says
+    which whole runs are wanted; the others are not stored. A kind is ``F.min`` or ``F.max``.
+    """
+    rows = in_ranges(df, keys, order, ranges)
+    held = materialize(_runs_within(rows, keys, opens, kinds, keep), "runs-within")
+    others = [c for c in rows.columns if c not in (*PLACE, *keys, *kinds)]
+
+    def scan(found: DataFrame, steps: Sequence[Step]) -> DataFrame:
+        return _scan(found, keys, steps)
+
+    opened = opens(held.where("_cut"), scan)
+    numbered = scan(opened, [Step("_run", "sum", F.col("_opens"))]).withColumn("_run", F.col("_run") + F.col("_opens"))
+    first = F.struct("_at", F.struct(*others).alias("_row"))
+    merged = over_runs(numbered, [*keys, "_run"], {**{n: (kind, F.col(n)) for n, (kind, _) in kinds.items()}, "_first": (F.min, first)})
+    merged = merged.select(*keys, *kinds, "_first._row.*")
+    whole = held.where(~F.col("_cut")).drop("_cut", *PLACE)
+    return whole.unionByName(merged if keep is None else merged.where(keep))
+
+
+def _runs_within(rows: DataFrame, keys: Sequence[str], opens, kinds, keep: Column | None) -> DataFrame:
+    """Runs as they are within their ranges, and whether they are of a key that another range may hold too (``_cut``).
+
+    All windows have one order. Run numbers only rise, so the greatest pair of run number and value is of the run a row is
+    in, and its last row knows the run.
+    """
+    here = W.partitionBy("_range", *keys).orderBy("_at")
+    through, all_ = here.rowsBetween(W.unboundedPreceding, W.currentRow), here.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    run = F.col("_run")
+
+    def scan(found: DataFrame, steps: Sequence[Step]) -> DataFrame:
+        inside = _inside(keys)
+        return found.select("*", *[(inside[s.kind](s)["v"] if s.kind == "lag" else inside[s.kind](s)).alias(s.name) for s in steps])
+
+    def so_far(kind, value: Column) -> Column:
+        if kind is F.max:
+            return F.max(F.struct(run, value.alias("v"))).over(through)["v"]
+        return F.min(F.struct(-run, value.isNull(), value.alias("v"))).over(through)["v"]
+
+    first = F.when(F.col("_opens") == 1, F.struct(*[c for c in rows.columns if c not in (*keys, *kinds, "_range")]))
+    numbered = opens(rows, scan).select(
+        *rows.columns, "_opens", F.sum("_opens").over(through).alias("_run"), F.lead("_opens", 1, 1).over(here).alias("_ends"),
+        F.min("_at").over(all_).alias("_from"), F.max("_at").over(all_).alias("_to"),
+    )
+    told = numbered.select(
+        "_range", *keys, "_ends", "_from", "_to", F.last(first, ignorenulls=True).over(through).alias("_first"),
+        *[so_far(kind, value).alias(name) for name, (kind, value) in kinds.items()],
+    )
+    sides = rows.groupBy("_range").agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    found = told.where(F.col("_ends") == 1).join(F.broadcast(sides), "_range")  # one row per range of the shuffle
+    cut = (F.col("_from") == F.col("_low")) | (F.col("_to") == F.col("_high"))
+    found = found.select("_range", *keys, *kinds, "_first.*", cut.alias("_cut"))
+    return found if keep is None else found.where(F.col("_cut") | keep)
+
+
+def _inside(keys: Sequence[str]) -> Mapping[str, Callable[[Step], Column]]:
+    """Running values within a range."""
     here = W.partitionBy("_range", *keys).orderBy("_at")
     before = here.rowsBetween(W.unboundedPreceding, -1)
     through = here.rowsBetween(W.unboundedPreceding, W.currentRow)
     # Wrapped, so that a null value differs from "no such row in this range".
-    inside = {
+    return {
         "lag": lambda s: F.lag(F.struct(s.value.alias("v"))).over(here),
         "sum": lambda s: F.coalesce(F.sum(s.value).over(before), F.lit(0)),
         "max": lambda s: F.max(s.value).over(before),
         "last": lambda s: F.last(s.value, ignorenulls=True).over(through),
     }
+
+
+def _scan(rows: DataFrame, keys: Sequence[str], steps: Sequence[Step]) -> DataFrame:
+    inside = _inside(keys)
     local = rows.select(
         "*", F.struct(*keys).alias("_key"),
         *[inside[s.kind](s).alias(f"_in_{i}") for i, s in enumerate(steps)], *[s.value.alias(f"_own_{i}") for i, s in enumerate(steps)],

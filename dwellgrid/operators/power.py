@@ -11,7 +11,7 @@ from dwellgrid.functions.text import text_or_empty, vehicle_key
 from dwellgrid.operators.aggregates import mode_text
 from dwellgrid.operators.demand import hour_slots
 from dwellgrid.operators.filters import CHARGE_WINDOW_ACTIONS, TRIP_KEY, filter_power_actions
-from dwellgrid.operators.ordered import Scan, Step, by_key, over_runs
+from dwellgrid.operators.ordered import Scan, Step, by_runs
 from dwellgrid.operators.overview import first_rows
 from dwellgrid.operators.ranking import ranked
 from dwellgrid.operators.sweep import first_slots, stretches
@@ -55,35 +55,24 @@ def presence_windows(actions: DataFrame, ranges: int | None = None) -> DataFrame
     window, and begins when the vehicle arrives: at the end of a travel action.
     """
     keys, order = ["vehicle_key", "trip_date", "trip_id"], ["planned_start", "action_seq"]
-    usable = power_events(actions).where(F.col("planned_end") > F.col("planned_start"))
+    # The end comes last, so that it settles the order only of rows that are equal in all a stay shows of its first one.
+    columns = [*[c for c in WINDOW_COLUMNS if c not in ("planned_end", "dwell_min")], "planned_end"]
+    usable = power_events(actions).select(*columns).where(F.col("planned_end") > F.col("planned_start"))
     place = F.lower("location_id")
     arrival = F.when(F.lower("action") == "travel", F.col("planned_end")).otherwise(F.col("planned_start"))
-    carried = [c for c in WINDOW_COLUMNS if c not in (*keys, "planned_start", "planned_end", "dwell_min")]
 
-    def stays(rows: DataFrame, scan: Scan) -> DataFrame:
+    def moves(rows: DataFrame, scan: Scan) -> DataFrame:
         seen = scan(rows, [Step("_place_before", "lag", place)])
-        moved = seen.withColumn("_moved", F.when(F.col("_place_before") == place, 0).otherwise(1))
-        numbered = scan(moved, [Step("_moves", "sum", F.col("_moved"))]).withColumn("_stay", F.col("_moves") + F.col("_moved"))
-        kinds = {
-            "_arrival": (F.min, arrival),
-            "_until": (F.max, F.col("planned_end")),
-            "_charges": (F.bool_or, F.lower("action").isin(*CHARGE_WINDOW_ACTIONS)),
-            "_first": (F.min, _first_row(order, carried)),
-        }
-        return over_runs(numbered, [*keys, "_stay"], kinds)
-
-    grouped = by_key(usable, keys, order, stays, ranges)
-    return (
-        grouped.where(F.col("_charges") & (F.col("_until") > F.col("_arrival")))
-        .select(*keys, F.col("_arrival").alias("planned_start"), F.col("_until").alias("planned_end"), "_first._row.*")
-        .withColumn("dwell_min", _minutes("planned_start", "planned_end"))
-        .select(*WINDOW_COLUMNS)
-    )
-
+        return seen.withColumn("_opens", F.when(F.col("_place_before") == place, 0).otherwise(1))
 
-def _first_row(order: list[str], carried: list[str]) -> Column:
-    """Its least value is the first row in the order."""
-    return F.struct(F.struct(*order).alias("_order"), F.struct(*carried).alias("_row"))
+    kinds = {
+        "_arrival": (F.min, arrival),
+        "planned_end": (F.max, F.col("planned_end")),
+        "_charges": (F.max, F.lower("action").isin(*CHARGE_WINDOW_ACTIONS)),
+    }
+    counts = F.col("_charges") & (F.col("planned_end") > F.col("_arrival"))
+    stays = by_runs(usable, keys, order, moves, kinds, counts, ranges).withColumn("planned_start", F.col("_arrival"))
+    return stays.withColumn("dwell_min", _minutes("planned_start", "planned_end")).select(*WINDOW_COLUMNS)
 
 
 def merge_presence_windows(
@@ -95,28 +84,17 @@ def merge_presence_windows(
     identity = F.when(
         F.trim("vehicle_key") == "", F.concat_ws("|", "vehicle_code", "plate")
     ).otherwise(F.col("vehicle_key"))
-    named = windows.withColumns({"_vehicle": F.lower(identity), "_place": F.lower("location_id")})
+    named = windows.drop("dwell_min").withColumns({"_vehicle": F.lower(identity), "_place": F.lower("location_id")})
     gap = int(gap_min * 60_000_000)
-    carried = [c for c in WINDOW_COLUMNS if c not in ("planned_start", "planned_end", "dwell_min")]
 
-    def runs(rows: DataFrame, scan: Scan) -> DataFrame:
+    def parts(rows: DataFrame, scan: Scan) -> DataFrame:
         seen = scan(rows, [Step("_until", "max", F.col("planned_end"))])
         follows = micros("planned_start") <= micros("_until") + gap
-        opened = seen.withColumn("_opens", F.when(follows, 0).otherwise(1))
-        numbered = scan(opened, [Step("_opened", "sum", F.col("_opens"))]).withColumn("_run", F.col("_opened") + F.col("_opens"))
-        kinds = {
-            "_begin": (F.min, F.col("planned_start")),
-            "_end": (F.max, F.col("planned_end")),
-            "_first": (F.min, _first_row(order, carried)),
-        }
-        return over_runs(numbered, [*keys, "_run"], kinds)
+        return seen.withColumn("_opens", F.when(follows, 0).otherwise(1))
 
-    return (
-        by_key(named, keys, order, runs, ranges)
-        .select(F.col("_begin").alias("planned_start"), F.col("_end").alias("planned_end"), "_first._row.*")
-        .withColumn("dwell_min", _minutes("planned_start", "planned_end"))
-        .select(*WINDOW_COLUMNS)
-    )
+    kinds = {"_begin": (F.min, F.col("planned_start")), "planned_end": (F.max, F.col("planned_end"))}
+    merged = by_runs(named, keys, order, parts, kinds, ranges=ranges).withColumn("planned_start", F.col("_begin"))
+    return merged.withColumn("dwell_min", _minutes("planned_start", "planned_end")).select(*WINDOW_COLUMNS)
 
 
 def power_windows(actions: DataFrame, flt: Filter = Filter(), power: Power = Power()) -> DataFrame:
@@ -144,8 +122,12 @@ def load_stretches(windows: DataFrame, keys: list[str], power: Power) -> DataFra
 
 
 def _hourly(windows: DataFrame, keys: list[str], power: Power) -> DataFrame:
+    return _busiest(load_stretches(windows, keys, power), keys)
+
+
+def _busiest(loads: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and hour of the day the dated hour with most power, then most vehicles."""
-    slots = first_slots(load_stretches(windows, keys, power), 24)
+    slots = first_slots(loads, 24)
     order = F.struct("required_kw", "vehicles", -micros("slot"))
     best = F.max_by(F.struct("vehicles", "events", "required_kw", F.col("slot").cast("date").alias("date")), order)
     return slots.groupBy(*keys, F.hour("slot").alias("hour")).agg(best.alias("_best"))
@@ -173,49 +155,80 @@ def _by_place(windows: DataFrame) -> DataFrame:
     return windows.withColumn("_place", F.lower("location_id"))
 
 
-def hourly_power_profile(windows: DataFrame, power: Power = Power()) -> DataFrame:
-    """24 rows per location, zeros included."""
+def place_loads(windows: DataFrame, power: Power = Power()) -> DataFrame:
+    """The stretches of every place, stored: peaks and hours of places both come from them."""
+    return materialize(load_stretches(_by_place(windows), ["_place"], power), "place-loads")
+
+
+def hourly_power_profile(windows: DataFrame, power: Power = Power(), loads: DataFrame | None = None) -> DataFrame:
+    """24 rows per location, zeros included; ``loads`` are the ``place_loads`` of these or more windows, if already there."""
     placed = _by_place(windows)
-    places = placed.groupBy("_place").agg(F.min("location_id").alias("location_id"))
-    cells = _hourly_cells(hours_of(places.select("_place")), _hourly(placed, ["_place"], power), ["_place"])
+    busiest = _hourly(placed, ["_place"], power) if loads is None else _busiest(loads, ["_place"])
+    places = placed.select("_place", "location_id").distinct().groupBy("_place").agg(F.min("location_id").alias("location_id"))
+    cells = _hourly_cells(hours_of(places.select("_place")), busiest, ["_place"])
     return cells.join(places, "_place").select("location_id", *[c for c in cells.columns if c != "_place"])
 
 
-def _presence_columns() -> list[Column]:
+def _presence(windows: DataFrame, key: str) -> DataFrame:
+    """Per key who was present, for how long and where.
+
+    Vehicles and trips are told apart by a grouping each, and what is left of both is added up with the counts and sums;
+    distinct counts in one aggregation would repeat every row for each of them.
+    """
     vehicle = F.upper("vehicle_key")
-    return [
-        F.count_distinct(vehicle).alias("vehicles"),
-        F.count_distinct(F.when(F.col("vehicle_class") == "own", vehicle)).alias("own"),
-        F.count_distinct(F.when(F.col("vehicle_class") == "charter", vehicle)).alias("charter"),
-        F.count_distinct(F.upper("trip_id")).alias("trips"),
-        F.count(F.lit(1)).alias("events"),
-        bankers_round(F.avg("dwell_min"), 1).alias("avg_dwell_min"),
-    ]
+    present = windows.where(vehicle.isNotNull()).groupBy(key, vehicle.alias("_vehicle")).agg(
+        *[F.coalesce(F.max(F.col("vehicle_class") == kind), F.lit(False)).alias(f"_{kind}") for kind in ("own", "charter")]
+    )
+    trips = windows.where(F.col("trip_id").isNotNull()).select(key, F.upper("trip_id").alias("_trip")).distinct()
+    apart = {
+        "vehicles": present.groupBy(key).agg(F.count(F.lit(1)).alias("vehicles"), *[F.count_if(f"_{k}").alias(k) for k in ("own", "charter")]),
+        "trips": trips.groupBy(key).agg(F.count(F.lit(1)).alias("trips")),
+    }
 
+    def known(name: str) -> Column:
+        return F.when(F.col(name) != 0, F.col(name))
+
+    measured = {"lat": known("lat"), "lon": known("lon"), "dwell": F.col("dwell_min")}
+    sums = [f(value).alias(f"_{n}_{name}") for name, value in measured.items() for n, f in (("sum", F.sum), ("n", F.count))]
+    rows = windows.groupBy(key, "location_id").agg(F.count(F.lit(1)).alias("events"), *sums)
+    for found in apart.values():
+        rows = rows.unionByName(found, allowMissingColumns=True)
+    added = [c for c in rows.columns if c not in (key, "location_id")]
+    totals = rows.groupBy(key).agg(F.min("location_id").alias("location_id"), *[F.sum(c).alias(c) for c in added])
+
+    def mean(name: str) -> Column:
+        return F.when(F.col(f"_n_{name}") > 0, F.col(f"_sum_{name}") / F.col(f"_n_{name}"))
+
+    return totals.select(
+        key,
+        "location_id",
+        *[bankers_round(F.coalesce(mean(name), F.lit(0.0)), 6).alias(name) for name in ("lat", "lon")],
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in ("vehicles", "own", "charter", "trips")],
+        "events",
+        bankers_round(mean("dwell"), 1).alias("avg_dwell_min"),
+    )
 
-def _peak(windows: DataFrame, key: str, power: Power) -> DataFrame:
-    runs = load_stretches(windows, [key], power)
-    return runs.groupBy(key).agg(bankers_round(F.max("required_kw"), 0).alias("peak_kw"))
 
+def _peak(loads: DataFrame, key: str) -> DataFrame:
+    return loads.groupBy(key).agg(bankers_round(F.max("required_kw"), 0).alias("peak_kw"))
 
-def power_location_profile(windows: DataFrame, power: Power = Power(), top_n: int | None = None) -> DataFrame:
+
+def power_location_profile(
+    windows: DataFrame, power: Power = Power(), top_n: int | None = None, loads: DataFrame | None = None
+) -> DataFrame:
     """Locations by peak power; the top ``top_n``, or as many as the arguments ask for.
 
-    Names and addresses are counted only for the locations that can be among them.
+    Names and addresses are counted only for the locations that can be among them. ``loads`` are the ``place_loads`` of
+    the windows, if already there.
     """
     power = power.normalized()
     limit = power.top_locations if top_n is None else top_n
     placed = _by_place(windows)
     key = ["_place"]
 
-    def centre(name: str) -> Column:
-        mean = F.avg(F.when(F.col(name) != 0, F.col(name)))
-        return bankers_round(F.coalesce(mean, F.lit(0.0)), 6).alias(name)
-
-    totals = placed.groupBy(*key).agg(
-        F.min("location_id").alias("location_id"), centre("lat"), centre("lon"), *_presence_columns()
-    )
-    measured = totals.join(_peak(placed, "_place", power), key, "left").withColumn("peak_kw", F.coalesce("peak_kw", F.lit(0.0)))
+    totals = _presence(placed, "_place")
+    loads = load_stretches(placed, key, power) if loads is None else loads
+    measured = totals.join(_peak(loads, "_place"), key, "left").withColumn("peak_kw", F.coalesce("peak_kw", F.lit(0.0)))
     measured = materialize(measured, "places")
     by = [F.desc("peak_kw"), F.desc("vehicles")]
     last = first_rows(measured.orderBy(*by), limit).agg(F.min(F.struct("peak_kw", "vehicles"))).scalar()
@@ -238,8 +251,8 @@ def power_location_profile(windows: DataFrame, power: Power = Power(), top_n: in
 def power_daily_metrics(windows: DataFrame, power: Power = Power()) -> DataFrame:
     """Per trip date: who was present, and the peak of that day's windows."""
     dated = windows.withColumnRenamed("trip_date", "date")
-    totals = dated.groupBy("date").agg(*_presence_columns())
-    peaks = _peak(dated, "date", power)
+    totals = _presence(dated, "date").drop("location_id", "lat", "lon")
+    peaks = _peak(load_stretches(dated, ["date"], power), "date")
     return totals.join(peaks, "date", "left").withColumn("peak_kw", F.coalesce("peak_kw", F.lit(0.0))).orderBy("date")
 
 
@@ -247,14 +260,17 @@ def top_power_days(daily: DataFrame) -> DataFrame:
     return daily.orderBy(F.desc("peak_kw"), F.desc("vehicles"), "date").limit(10)
 
 
-def power_heatmap(windows: DataFrame, power: Power = Power()) -> DataFrame:
+def power_heatmap(windows: DataFrame, power: Power = Power(), loads: DataFrame | None = None) -> DataFrame:
     """24 hours of each of the top locations."""
-    top = power_location_profile(windows, power).select(
+    loads = place_loads(windows, power) if loads is None else loads
+    top = power_location_profile(windows, power, loads=loads).select(
         "location_id", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "address").alias("location_name")
     )
     top = materialize(top, "top-places")
-    shown = _by_place(windows).join(_by_place(top).select("_place"), "_place", "left_semi").drop("_place")
-    return hourly_power_profile(shown, power).join(top, "location_id").select(
+    places = _by_place(top).select("_place")
+    shown = _by_place(windows).join(places, "_place", "left_semi").drop("_place")
+    hourly = hourly_power_profile(shown, power, loads.join(places, "_place", "left_semi"))
+    return hourly.join(top, "location_id").select(
         "location_id", "location_name", "hour", "vehicles", "required_kw", "required_mw"
     )
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 from datetime import datetime, timedelta
 
 from fixture_data import STOPS_SCHEMA, stop_rows
 from pyspark.sql import functions as F
 
 from dwellgrid.operators import breaks, demand, ingest, power, roads, tables
-from dwellgrid.operators.ordered import Step, by_key, in_ranges, over_runs
+from dwellgrid.operators.ordered import Step, by_key, by_runs, in_ranges, over_runs
 from dwellgrid.plans.tables import STORED, TablesOnDemand
 from dwellgrid.session import new_folder
 
@@ -104,3 +105,51 @@ def test_presence_windows_shuffle_only_what_ranges_share(spark):
         found = [make(actions, ranges=ranges) for ranges in (1, 5)]
         assert "Window" not in _plan(found[1])
         assert sorted(map(tuple, found[0].collect()), key=str) == sorted(map(tuple, found[1].collect()), key=str)
+
+
+def test_runs_of_a_key_over_many_ranges(spark):
+    draw = random.Random(3)
+    rows = [(k, b, b + draw.choice((0, 1, 2, 3, 90)), f"{k}{i}") for k, n in (("a", 400), ("b", 3), (None, 40)) for i in range(n) for b in [draw.randrange(3 * n)]]
+    rows += [("a", 5, 700, "long"), ("c", 1, None, "no end"), ("c", 2, 3, "end")]
+    df = spark.createDataFrame(rows, "k string, b int, e int, name string")
+    expected = []
+    for key in {k for k, *_ in rows}:
+        until = None
+        for _, b, e, name in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2] is not None, r[2], r[3])):
+            if until is None or b > until + 1:
+                expected.append([key, b, e, name, b, False])
+            run = expected[-1]
+            until = max((x for x in (until, e) if x is not None), default=None)
+            run[2] = max((x for x in (run[2], e) if x is not None), default=None)
+            run[4], run[5] = min(run[4], b), run[5] or b % 5 == 0
+
+    def opens(rows, scan):
+        seen = scan(rows, [Step("_until", "max", F.col("e"))])
+        return seen.withColumn("_opens", F.when(F.col("b") <= F.col("_until") + 1, 0).otherwise(1))
+
+    kinds = {"e": (F.max, F.col("e")), "least": (F.min, F.col("b")), "five": (F.max, F.col("b") % 5 == 0)}
+    columns = ["k", "b", "e", "name", "least", "five"]
+    for ranges in (1, 3, 50):
+        found = by_runs(df, ["k"], ["b", "e"], opens, kinds, ranges=ranges).select(columns)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, expected), key=str) and len(expected) > 5
+        kept = by_runs(df, ["k"], ["b", "e"], opens, kinds, F.col("e") > 100, ranges).select(columns)
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted((tuple(r) for r in expected if r[2] and r[2] > 100), key=str)
+
+
+def test_windows_are_not_repeated_for_distinct_counts(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(f"w{i % 4}", f"v{i % 4}", "own" if i % 4 else "charter", at.date(), f"t{i // 2}", f"P{i % 3}", float(i % 2), 10.0 * i, at, at + timedelta(hours=1 + i)) for i in range(12)]
+    rows += [(None, "x", "own", at.date(), None, "p0", 0.0, 20.0, at, at + timedelta(hours=2))]
+    columns = "vehicle_key string, vehicle_code string, vehicle_class string, trip_date date, trip_id string, location_id string, lat double, "
+    windows = spark.createDataFrame(rows, columns + "dwell_min double, planned_start timestamp_ntz, planned_end timestamp_ntz")
+    windows = windows.withColumns({"lon": F.lit(0.0), "location_name": F.lower("location_id"), "address": F.lit("")})
+    daily = power.power_daily_metrics(windows)
+    assert "Expand" not in _plan(daily)
+    assert [tuple(r)[1:7] for r in daily.collect()] == [(4, 3, 1, 6, 13, 52.3)]
+    places = {r.location_id: r for r in power.power_location_profile(windows, power.Power(top_locations=None)).collect()}
+    assert {p: (r.vehicles, r.own, r.charter, r.trips, r.events, r.lat, r.lon, r["name"]) for p, r in places.items()} == {
+        "P0": (4, 3, 1, 4, 5, 1.0, 0.0, "p0"), "P1": (4, 3, 1, 4, 4, 1.0, 0.0, "p1"), "P2": (4, 3, 1, 4, 4, 1.0, 0.0, "p2")
+    }
+    cells = {(r.location_id, r.hour): (r.vehicles, r.required_kw) for r in power.hourly_power_profile(windows).collect()}
+    loads = power.place_loads(windows)
+    assert cells == {(r.location_id, r.hour): (r.vehicles, r.required_kw) for r in power.hourly_power_profile(windows, loads=loads).collect()}
