@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from dwellgrid.operators.power import (
 from dwellgrid.params import Filter, Power
 from dwellgrid.session import materialize
 
-FOCUS_POWER = Power(vehicle_classes=("own",), top_locations=50, scenario_years=(2027, 2030))
+FOCUS_POWER = Power(vehicle_classes=("own",), top_locations=None, scenario_years=(2027, 2030))
 
 HOURLY_COLUMNS = ["location_id", "name", "address", "hour", "vehicles", "events", "required_kw", "required_mw"]
 DAILY_COLUMNS = [
@@ -65,9 +66,13 @@ def focus_location(locations: DataFrame, words: Sequence[str], alias: str) -> Da
 def export_focus_report(
     actions: DataFrame, path: str, words: Sequence[str], alias: str, flt: Filter = Filter(), power: Power = FOCUS_POWER
 ) -> DataFrame:
-    """Write the profiles of the focus location and the heatmap of all; returns the chosen location."""
+    """Write the profiles of the focus location and the heatmap of all; returns the chosen location.
+
+    Every location is a candidate, however low its peak. ``top_locations`` shortens the heatmap, not the choice.
+    """
     windows = power_windows(actions, flt, power)
-    chosen = materialize(focus_location(power_location_profile(windows, power), words, alias), "focus")
+    every = replace(power, top_locations=None)
+    chosen = materialize(focus_location(power_location_profile(windows, every), words, alias), "focus")
     here = windows.join(
         chosen.select(F.lower("location_id").alias("_place")), F.lower("location_id") == F.col("_place"), "left_semi"
     )

@@ -142,6 +142,24 @@ def test_focus_report(spark, power, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/report/heatmap_parquet").count() == 24
 
 
+def test_focus_is_found_below_the_top_and_the_heatmap_is_whole(spark, tmp_path):
+    at = datetime(2026, 1, 1)
+    rows = [(f"W{i}", f"T{i}", "pause", at, datetime(2026, 1, 1 + i // 20, 2 + i % 20), f"p{i:02}", f"Straat {i:02}") for i in range(60)]
+    columns = "vehicle_code string, trip_id string, action string, planned_start timestamp_ntz, planned_end timestamp_ntz, location_id string, address string"
+    texts = {c: F.lit("") for c in ("plate", "plate_norm", "location_name", "vehicle_type")}
+    numbers = {c: F.lit(1.0) for c in ("trip_km", "segment_km", "dwell_min", "lat", "lon")}
+    fixed = {"vehicle_class": F.lit("own"), "trip_date": F.to_date("planned_start"), "action_seq": F.lit(0)}
+    actions = spark.createDataFrame(rows, columns).withColumns({**texts, **numbers, **fixed})
+    chosen = writers.export_focus_report(actions, f"{tmp_path}/report", ["straat 59"], "-").first()
+    assert (chosen.is_focus, chosen.location_id) == (True, "p59")
+    cells = spark.read.parquet(f"{tmp_path}/report/heatmap_parquet")
+    assert cells.count() == 60 * 24 == spark.read.option("header", True).csv(f"{tmp_path}/report/heatmap_csv").count()
+    power = Power(vehicle_classes=("own",), top_locations=7)
+    chosen = writers.export_focus_report(actions, f"{tmp_path}/short", ["straat 59"], "-", power=power).first()
+    assert (chosen.is_focus, chosen.location_id) == (True, "p59")
+    assert spark.read.parquet(f"{tmp_path}/short/heatmap_parquet").count() == 7 * 24
+
+
 def test_unknown_addresses_stay_in_actions_only(spark):
     rows = [("W1", "T1", "travel", "01-01-2026 08:00", "Nergens 1"), ("W1", "T1", "Administrative", "x", "Nergens 1")]
     columns = ["Wagen Code", "Tripnummer", "Actie soort", "Gepland vanaf (Trip actie)", "Adres"]
