@@ -243,9 +243,13 @@ def power_location_profile(
             F.coalesce("_address", F.lit("")).alias("address"),
             "lat", "lon", "vehicles", "own", "charter", "trips", "events", "avg_dwell_min", "peak_kw",
         )
-        .orderBy(*by, F.upper("name"), "location_id")
     )
-    return first_rows(ranked, limit)
+    return top_places(ranked, limit)
+
+
+def top_places(profile: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of a location profile in its order, or all of them."""
+    return first_rows(profile.orderBy(F.desc("peak_kw"), F.desc("vehicles"), F.upper("name"), "location_id"), limit)
 
 
 def power_daily_metrics(windows: DataFrame, power: Power = Power()) -> DataFrame:
@@ -260,10 +264,16 @@ def top_power_days(daily: DataFrame) -> DataFrame:
     return daily.orderBy(F.desc("peak_kw"), F.desc("vehicles"), "date").limit(10)
 
 
-def power_heatmap(windows: DataFrame, power: Power = Power(), loads: DataFrame | None = None) -> DataFrame:
-    """24 hours of each of the top locations."""
+def power_heatmap(
+    windows: DataFrame, power: Power = Power(), loads: DataFrame | None = None, profile: DataFrame | None = None
+) -> DataFrame:
+    """24 hours of each of the top locations; ``loads`` and the ``profile`` of all places of the windows, if already there."""
     loads = place_loads(windows, power) if loads is None else loads
-    top = power_location_profile(windows, power, loads=loads).select(
+    if profile is None:
+        top = power_location_profile(windows, power, loads=loads)
+    else:
+        top = top_places(profile, power.normalized().top_locations)
+    top = top.select(
         "location_id", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "address").alias("location_name")
     )
     top = materialize(top, "top-places")

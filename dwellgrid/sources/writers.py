@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.operators.power import (
     hourly_power_profile,
+    place_loads,
     power_daily_metrics,
     power_heatmap,
     power_location_profile,
@@ -71,13 +72,17 @@ def export_focus_report(
     Every location is a candidate, however low its peak. ``top_locations`` shortens the heatmap, not the choice.
     """
     windows = power_windows(actions, flt, power)
+    loads = place_loads(windows, power)
     every = replace(power, top_locations=None)
-    chosen = materialize(focus_location(power_location_profile(windows, every), words, alias), "focus")
-    here = windows.join(
-        chosen.select(F.lower("location_id").alias("_place")), F.lower("location_id") == F.col("_place"), "left_semi"
-    )
-    hourly = hourly_power_profile(here, power).join(chosen.select("location_id", "name", "address"), "location_id")
-    heatmap = power_heatmap(windows, power)
+    profile = materialize(power_location_profile(windows, every, loads=loads), "focus-profile")
+    chosen = materialize(focus_location(profile, words, alias), "focus")
+    place = chosen.select(F.lower("location_id").alias("_place"))
+    # What every file reads several times is stored, and so is the heatmap, which goes into two files.
+    here = windows.join(place, F.lower("location_id") == F.col("_place"), "left_semi")
+    here = materialize(here, "focus-windows")
+    hourly = hourly_power_profile(here, power, loads.join(place, "_place", "left_semi"))
+    hourly = materialize(hourly.join(chosen.select("location_id", "name", "address"), "location_id"), "focus-hours")
+    heatmap = materialize(power_heatmap(windows, power, loads, profile), "heatmap")
     sink_hourly_csv(hourly.orderBy("hour"), f"{path}/hourly_profile")
     sink_daily_csv(power_daily_metrics(here, power), f"{path}/daily_metrics")
     sink_scenario_csv(scenario_profiles(here, power), f"{path}/scenarios")

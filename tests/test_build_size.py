@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from dwellgrid.operators import breaks, demand, ingest, power, roads, tables
 from dwellgrid.operators.ordered import Step, by_key, by_runs, in_ranges, over_runs
 from dwellgrid.plans.tables import STORED, TablesOnDemand
-from dwellgrid.session import new_folder
+from dwellgrid.session import new_folder, shared_folder
+from dwellgrid.sources import writers
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -151,5 +152,27 @@ def test_windows_are_not_repeated_for_distinct_counts(spark):
         "P0": (4, 3, 1, 4, 5, 1.0, 0.0, "p0"), "P1": (4, 3, 1, 4, 4, 1.0, 0.0, "p1"), "P2": (4, 3, 1, 4, 4, 1.0, 0.0, "p2")
     }
     cells = {(r.location_id, r.hour): (r.vehicles, r.required_kw) for r in power.hourly_power_profile(windows).collect()}
-    loads = power.place_loads(windows)
+    loads, all_ = power.place_loads(windows), power.Power(top_locations=None)
+    profile = power.power_location_profile(windows, all_, loads=loads)
+    for asked in (all_, power.Power(top_locations=2)):
+        plain, given = power.power_heatmap(windows, asked), power.power_heatmap(windows, asked, loads, profile)
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, given.collect()))
     assert cells == {(r.location_id, r.hour): (r.vehicles, r.required_kw) for r in power.hourly_power_profile(windows, loads=loads).collect()}
+
+
+def test_the_focus_report_measures_its_places_once(spark, tmp_path):
+    at = datetime(2026, 1, 1)
+    rows = [(f"W{i}", f"T{i}", i, "pause", at, at + timedelta(hours=2 + i), f"p{i % 2}") for i in range(4)]
+    columns = "vehicle_code string, trip_id string, action_seq int, action string, planned_start timestamp_ntz, planned_end timestamp_ntz, location_id string"
+    texts = {c: F.lit("") for c in ("plate", "plate_norm", "location_name", "address", "vehicle_type")}
+    numbers = {c: F.lit(1.0) for c in ("trip_km", "segment_km", "dwell_min", "lat", "lon")}
+    fixed = {"vehicle_class": F.lit("own"), "trip_date": F.to_date("planned_start")}
+    actions = spark.createDataFrame(rows, columns).withColumns({**texts, **numbers, **fixed})
+
+    def stored() -> int:
+        folder = f"{shared_folder(spark)}/dwellgrid"
+        return sum(name.startswith("places-") for name in os.listdir(folder)) if os.path.exists(folder) else 0
+
+    before = stored()
+    writers.export_focus_report(actions, f"{tmp_path}/report", ["nowhere"], "-")
+    assert stored() - before == 1
