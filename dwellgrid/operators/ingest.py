@@ -159,8 +159,10 @@ def typed_rows(raw: DataFrame, geocode: DataFrame | None = None) -> DataFrame:
 
 
 def numbered_rows(raw: DataFrame, geocode: DataFrame | None = None) -> DataFrame:
-    """Typed and numbered rows, stored: the raw text is parsed once and the rows are put in order once."""
-    return materialize(sequence_actions(materialize(typed_rows(raw, geocode), "typed")), "numbered")
+    """Typed and numbered rows. The raw text is parsed once and the rows are put in order once, both stored; the numbers are
+    worked out where the rows are read, as most questions start from actions or from stops and not from both.
+    """
+    return sequence_actions(materialize(typed_rows(raw, geocode), "typed"))
 
 
 def route_actions(numbered: DataFrame) -> DataFrame:

@@ -46,6 +46,19 @@ def test_tables_are_stored_when_asked_for(spark):
     assert all(name.endswith(".zstd.parquet") for _, _, names in os.walk(folder) for name in names if name.startswith("part-"))
 
 
+def test_numbered_rows_are_not_stored_again(spark):
+    columns = ["Wagen Code", "Tripnummer", "Actie soort", "Gepland vanaf (Trip actie)", "Adres", "lat", "lon"]
+    raw = spark.createDataFrame([("W1", f"T{i // 3}", "travel", f"01-01-2026 0{i}:00:00", "A", "52", "5") for i in range(6)], columns)
+
+    def stored() -> set[str]:
+        return set(os.listdir(f"{shared_folder(spark)}/dwellgrid"))
+
+    spark.range(1).write.parquet(new_folder(spark, "any"))
+    before = stored()
+    assert sorted((r.trip_id, r.action_seq) for r in ingest.build_route_actions(raw).collect()) == [(f"T{i // 3}", i % 3) for i in range(6)]
+    assert sorted(name.split("-")[0] for name in stored() - before) == ["ordered", "typed"]
+
+
 def test_overnight_locations_gather_no_gaps(spark):
     columns = "depot_id string, vehicle_key string, start_lat double, start_lon double, start_address string, gap_hours double, day_km double"
     rows = [("d", f"v{i}", 52.0, 5.0, "a", float(gap), 10.0) for i, gap in enumerate((6, 7, 9, 30))] + [("e", "v", 52.0, 5.0, "a", None, None)]
